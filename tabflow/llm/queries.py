@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabflow.llm import decontam, minhash, mixing, sharding
+from tabflow.llm import decontam, langid, minhash, mixing, sharding, warc
 from tabflow.llm.common import read_table
 
 
@@ -22,6 +22,14 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
     "op3_source_mix": op3_source_mix,
+    "op4_language_id": op4_language_id,
+    "op8_warc": op8_warc,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
@@ -79,5 +89,19 @@ s AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.quota,
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(a + size, quota % source_size) - a) END AS BIGINT) AS taken
 FROM s
+""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p),
+b AS (SELECT h, array_to_string([
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + (CAST(floor((strpos('0123456789abcdef', h[5 * (k // 4) + 1]) - 1) * 65536 + (strpos('0123456789abcdef', h[5 * (k // 4) + 2]) - 1) * 4096
+                + (strpos('0123456789abcdef', h[5 * (k // 4) + 3]) - 1) * 256 + (strpos('0123456789abcdef', h[5 * (k // 4) + 4]) - 1) * 16
+                + (strpos('0123456789abcdef', h[5 * (k // 4) + 5]) - 1)) AS BIGINT) >> (15 - 5 * (k % 4))) % 32, 1)
+        FOR k IN range(32)], '') AS b32 FROM (SELECT DISTINCT h FROM d)),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM d)
+SELECT page_id, payload_bytes, b32 AS payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
+FROM m JOIN b USING (h)
 """,
 }
