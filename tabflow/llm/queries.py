@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabflow.llm import decontam, html, langid, minhash, mixing, sharding, warc
+from tabflow.llm import decontam, fingerprint, html, langid, minhash, mixing, packing, sharding, warc
 from tabflow.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"))
 
@@ -34,6 +38,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
+    "op6_fingerprints": op6_fingerprints,
     "op7_html_text": op7_html_text,
     "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
