@@ -119,20 +119,23 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
     bounds = facts.agg(F.percentile_approx("page_id", [i / shards for i in range(1, shards)], 10_000).alias("b")).first()["b"] if shards > 1 else []
     cuts = sorted(set(bounds or []))
     copies = facts.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
-    known = rows.withColumn("digest", F.sha1("payload")).join(copies.withColumn("dup", F.lit(True)), "digest", "left")
+    # payloads move once: which rows revisit travels beside them as marks
+    marks = facts.join(copies, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "digest", "first_id").distinct()
     shard = F.lit(0)
     if cuts:
         held = F.array(*[F.lit(c) for c in cuts])
         shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter(held, lambda b: b <= F.col("page_id"))))
-    dealt = known.select(shard.alias("shard"), "page_id", "url", "payload", "first_id", F.coalesce("dup", F.lit(False)).alias("dup"))
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "payload")
+    none = F.lit(None)
+    records = rows.select(shard.alias("shard"), "page_id", F.lit(1).alias("kind"), "url", "payload", none.cast("string").alias("digest"), none.cast(rows.schema["page_id"].dataType).alias("first_id"))
+    marked = marks.select(shard.alias("shard"), "page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", "first_id")
+    dealt = records.unionByName(marked).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
     system, at = pafs.FileSystem.from_uri(root)
     system.create_dir(f"{at}/archive", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         attempt = f"{context.stageId()}-{context.taskAttemptId()}" if context else "0"
-        roll, last, ordinal = None, None, 0
+        roll, last, seen, first = None, None, {}, {}
         done: list[tuple] = []
         for batch in batches:
             for r in batch.to_pylist():
@@ -141,11 +144,16 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
                         roll.close()
                         done += roll.done
                     roll = _Roll(f"{root}/archive", r["shard"], attempt)
-                key = (r["page_id"], r["payload"])
-                ordinal = ordinal + 1 if key == last else 0
-                last = key
-                revisit = r["dup"] and not (r["page_id"] == r["first_id"] and ordinal == 0)
-                roll.add(page_record(r["page_id"], r["url"], r["payload"], r["first_id"], revisit, ordinal))
+                if (r["shard"], r["page_id"]) != last:
+                    last, seen, first = (r["shard"], r["page_id"]), {}, {}
+                if not r["kind"]:
+                    first[r["digest"]] = r["first_id"]
+                    continue
+                digest = hashlib.sha1(r["payload"]).hexdigest()
+                ordinal = seen.get(digest, 0)  # of rows with this id and payload
+                seen[digest] = ordinal + 1
+                again = ordinal > 0 and len(r["payload"]) >= min_revisit_bytes
+                roll.add(page_record(r["page_id"], r["url"], r["payload"], first.get(digest, r["page_id"]), again or digest in first, ordinal))
         if roll is not None:
             roll.close()
             done += roll.done
