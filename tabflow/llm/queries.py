@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabflow.llm import decontam, fingerprint, html, langid, minhash, mixing, packing, sharding, warc
+from tabflow.llm import decontam, fingerprint, html, langid, lm, minhash, mixing, packing, sharding, warc
 from tabflow.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
+    "op5_lm_score": op5_lm_score,
     "op6_fingerprints": op6_fingerprints,
     "op7_html_text": op7_html_text,
     "op8_warc": op8_warc,
