@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame, name: str = "__tf_key") -> DataFrame:
+    """``docs`` with a column that names each row, the same whenever the plan runs again.
+
+    Rows of Parquet files are named by file and place, so nothing is written; of another
+    plan the rows are numbered once and written.
+    """
+    try:
+        return docs.withColumn(name, F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index").cast("string")))
+    except AnalysisException:
+        return materialise(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "keyed")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; texts that are ASCII throughout take the faster ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import SPACED, materialise
+from tabflow.llm.common import SPACED, keyed, materialise
 
 #: Slots that a schedule has at least, unless the corpus has fewer tokens; and tokens a block has at most.
 LEAST_SLOTS, MOST_TOKENS = 100_000, 4096
@@ -139,15 +139,15 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Documents of which nothing is taken go.  All columns are kept; ``n_chars`` follows a cut.
     """
-    tagged = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix_docs")
+    named = keyed(docs)
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACED)).cast("long")
-    sizes = materialise(tagged.select(F.col("__rid").alias("rid"), "doc_id", "source", size.alias("size")), "mix_sizes")
+    sizes = materialise(named.select(F.col("__tf_key").alias("rid"), "doc_id", "source", size.alias("size")), "mix_sizes")
     _, _, taken = mix(sizes, seed)
     sums = taken.groupBy("rid").agg(F.sum("tokens").alias("taken")).join(sizes.select("rid", "size"), "rid")
-    copies = sums.select(F.col("rid").alias("__rid"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("__copy"), "taken", "size")
+    copies = sums.select(F.col("rid").alias("__tf_key"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("__copy"), "taken", "size")
     words = F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size")).cast("int")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("__words")), "")
-    out = tagged.join(copies.select("__rid", words.alias("__words"), (words < F.col("size")).alias("__part")), "__rid")
+    out = named.join(copies.select("__tf_key", words.alias("__words"), (words < F.col("size")).alias("__part")), "__tf_key")
     out = out.withColumn("text", F.when(F.col("__part"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__part"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
