@@ -192,7 +192,7 @@ def evaluate_asserts(ctx: Context) -> list[dict]:
 
         def fill(e: E.Expr, counts: dict[str, int] = counts) -> E.Expr:
             if isinstance(e, E.Call) and e.name == "row_count":
-                return E.Lit(counts[e.args[0].name])
+                return E.Lit(counts[e.args[0].name.lower()])
             if isinstance(e, E.Binary):
                 return E.Binary(e.op, fill(e.left), fill(e.right))
             if isinstance(e, E.Logic):
