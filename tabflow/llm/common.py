@@ -15,7 +15,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -41,10 +42,39 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tabflow/{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on, rows of whole texts go to Python a few MB at a time; both sides hold a batch or two.
+
+    This lowers a session setting, which stays: plans are lazy and read it when they run.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    if before <= 0 or before > rows:
+        spark.conf.set(key, str(rows))
+
+
+#: Paths that the innermost ``scratch`` is to delete, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised within are deleted at the end; what is to last is written with ``keep=True``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and nothing is computed twice."""
     spark = df.sparkSession
     path = work_path(spark, name)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,7 +92,7 @@ def keyed(docs: DataFrame, name: str = "__tf_key") -> DataFrame:
     try:
         return docs.withColumn(name, F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index").cast("string")))
     except AnalysisException:
-        return materialise(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "keyed")
+        return materialise(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "keyed", keep=True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import keyed, lower_ascii, materialise, words
+from tabflow.llm.common import keyed, lower_ascii, materialise, scratch, words
 
 #: Words: no ASCII control, space, digit-free punctuation; digits, letters and everything beyond ASCII stay.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,6 +114,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, least_items: int = 2) -> Da
 def clean_documents(docs: DataFrame, items: DataFrame, least_items: int = 2) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
     named = keyed(docs)
-    found = decontaminate(named.select(F.col("__tf_key").alias("doc_id"), "text"), items, least_items)
-    bad = materialise(found.where("contaminated").select(F.col("doc_id").alias("__tf_key")), "contaminated")
+    with scratch(docs.sparkSession):
+        found = decontaminate(named.select(F.col("__tf_key").alias("doc_id"), "text"), items, least_items)
+        bad = materialise(found.where("contaminated").select(F.col("doc_id").alias("__tf_key")), "contaminated", keep=True)
     return named.join(bad, "__tf_key", "left_anti").select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.llm.common import _powers, by_volume, mix64, text_bytes
+from tabflow.llm.common import _powers, bounded_batches, by_volume, mix64, text_bytes
 
 #: Phrases are named over LEVELS rounds of parsing, which makes them about 15 bytes long.
 LEVELS = 3
@@ -115,6 +115,7 @@ def fingerprint_column(docs: DataFrame, carry: list[str], text_col: str = "text"
                 prints = pa.array([printed(f) for f in fingerprints(texts[part])], pa.string())
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in carry], prints], names=[*carry, "fingerprint"])
 
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("fingerprint", T.StringType())])
     return docs.select(*carry, F.col(text_col).cast("string").alias("__tf_text")).mapInArrow(work, schema)
 
@@ -166,6 +167,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     dealt to ranges of ids; the largest of each range is also sent to the range above, which
     needs it as the next of its smallest, so texts are shuffled once and no order is global.
     """
+    bounded_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
     count, top = docs.agg(F.count(F.lit(1)), F.max(key)).first()

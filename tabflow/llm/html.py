@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.llm.common import by_volume
+from tabflow.llm.common import bounded_batches, by_volume
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag; in the first group character references count.
@@ -440,6 +440,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), html_
                 cols = [pa.array([d[1] for d in done], pa.string()), pa.array([d[0] for d in done], pa.string()), pa.array([len(d[0]) for d in done], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in carry], *cols], names=[*carry, "title", "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     made = [T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     schema = T.StructType([*[pages.schema[c] for c in carry], *made])
     return pages.select(*carry, F.col(html_col).cast("string").alias("__tf_html")).mapInArrow(work, schema)

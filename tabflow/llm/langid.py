@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.llm.common import by_volume, lower_bytes, text_bytes
+from tabflow.llm.common import bounded_batches, by_volume, lower_bytes, text_bytes
 
 UNDETERMINED = "und"
 #: Families of language codes; a code that isn't listed belongs to the family "other".
@@ -174,6 +174,7 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 
 def learn(docs: DataFrame) -> Model:
     """Fit on a bounded sample: of each of at most MAX_LANGS languages, the rows whose id has the smallest hashes."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     per = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, len(langs))))
@@ -193,12 +194,16 @@ def learn(docs: DataFrame) -> Model:
 
 def predictions(docs: DataFrame, model: Model, carry: list[str], named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``carry`` columns with the predicted language and its score (columns ``named``) for the whole text of each row.  Only the text enters a prediction."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    text = "text" if "text" in carry and isinstance(docs.schema["text"].dataType, T.StringType) else "__tf_text"
+    rows = docs.select(*carry) if text in carry else docs.select(*carry, F.col("text").cast("string").alias(text))
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column("__tf_text").to_pylist()
+            texts = batch.column(text).to_pylist()
             for part in by_volume(texts, BATCH_CHARS):
                 own = texts[part]
                 bins, first = trigram_bins(own)
@@ -211,7 +216,6 @@ def predictions(docs: DataFrame, model: Model, carry: list[str], named: tuple[st
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in carry], pa.array(names, pa.string()), pa.array(scores)], names=[*carry, *named])
 
-    rows = docs.select(*carry, F.col("text").cast("string").alias("__tf_text"))
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField(named[0], T.StringType()), T.StructField(named[1], T.DoubleType())])
     return rows.mapInArrow(predict, schema)
 

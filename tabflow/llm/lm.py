@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import by_volume, lower_bytes, materialise, mix64, span_hashes, text_bytes, word_spans
+from tabflow.llm.common import bounded_batches, by_volume, lower_bytes, materialise, mix64, span_hashes, text_bytes, word_spans
 from tabflow.llm.langid import held_out
 
 #: Contexts: the last 1 to 5 bytes, and as the sixth the word so far, as far as it lies in these.
@@ -328,7 +328,7 @@ def train(docs: DataFrame, training: Column) -> tuple[Model, DataFrame, int, int
     key.  Grams with the same two last context bytes meet in a partition and become bit
     counts of the hashed contexts there; the table of these has a fixed size.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     rows = docs.where(training).select(text_column(docs).alias("text"))
     counted = materialise(rows.mapInArrow(_count_batches, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts")
     tokens = counted.where("kind = 0").select(F.col("key").alias("h"), "n")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import by_volume, lower_bytes, materialise, mix64, span_hashes, text_bytes, word_spans
+from tabflow.llm.common import bounded_batches, by_volume, keyed, lower_bytes, materialise, mix64, scratch, span_hashes, text_bytes, word_spans
 
 SHINGLE = 5
 #: Links: PER_HUNDRED percent of the union at least.
@@ -18,7 +18,9 @@ PER_HUNDRED = 85
 BANDS, ROWS = 16, 4
 #: Buckets of the frequency sketch that orders shingles (it bears on speed alone).
 SKETCH_BITS = 20
-BATCH_CHARS = 1 << 20
+#: Bits of the filter that says which sets a join may need.
+FILTER_BITS = 24
+BATCH_CHARS = 1 << 19
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SIGMA, _PI = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -108,12 +110,27 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def signed(docs: DataFrame) -> DataFrame:
     """rid, doc_id, set size, 128-bit set name, band keys and the full set of each document; written once."""
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
     schema = f"rid long, doc_id {kind}, n long, f1 long, f2 long, bands array<long>, shingles binary"
     return materialise(rows.mapInArrow(_sign_batches, schema), "minhash")
 
 
+def members_only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose gid is in ``ids``, and a few others, without moving any row.
+
+    A bitmap of fixed size (``2**FILTER_BITS`` bits, in words of 64) holds a hash of each id and
+    is broadcast; what it lets through falsely a later join drops.
+    """
+    at = F.pmod(F.xxhash64("gid"), F.lit(1 << FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(at & 63L as int))")
+    marked = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    tagged = sets.select("gid", "n", "shingles", at.alias("at")).withColumn("word", F.shiftright("at", 6))
+    kept = tagged.join(F.broadcast(marked), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return kept.select("gid", "n", "shingles")
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
@@ -129,7 +146,8 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold.  Only sets that are in a pair are moved."""
+    sets = members_only(sets, pairs.select(F.explode(F.array("a", "b")).alias("gid")))
     left = sets.select(F.col("gid").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
     right = sets.select(F.col("gid").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
     sized = (100 * F.least("na", "nb")) >= (PER_HUNDRED * F.greatest("na", "nb"))
@@ -236,14 +254,15 @@ def links(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     buckets = materialise(own.join(sizes, ["band", "key"]), "buckets")
     central = buckets.groupBy("gid").agg(F.sum("size").alias("central"))
     hubs = buckets.join(central, "gid").groupBy("band", "key").agg(F.max(F.struct("central", -F.col("gid"))).alias("h")).select("band", "key", (-F.col("h")["col2"]).alias("hub"))
-    pairs = buckets.join(hubs, ["band", "key"]).where("gid != hub").select(F.col("gid").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = materialise(buckets.join(hubs, ["band", "key"]).where("gid != hub").select(F.col("gid").alias("a"), F.col("hub").alias("b")).distinct(), "star_pairs")
     sets = full.select(F.col("rid").alias("gid"), "n", "shingles")
     stars = materialise(verified(pairs, sets), "stars")
     comps = connected_components(stars, "star_components")
     placed = buckets.join(comps.withColumnRenamed("node", "gid"), "gid", "left").select("band", "key", "gid", F.coalesce("comp", "gid").alias("comp"))
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "key")
     open_ = materialise(placed.join(mixed, ["band", "key"], "left_semi").select("gid", "comp").distinct(), "open")
-    more = verified(prefix_candidates(sets.join(open_, "gid")), sets)
+    near = materialise(prefix_candidates(members_only(sets, open_).join(open_, "gid")), "candidates")
+    more = verified(near, sets)
     return nodes, stars, materialise(more, "pairs")
 
 
@@ -266,7 +285,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group: the first row of its smallest doc_id; all columns are kept."""
-    tagged = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()), "dedup_docs")
-    found = near_duplicates(tagged.select(F.col("__rid").alias("doc_id"), "text"))
-    return tagged.join(found.where("kept").select(F.col("doc_id").alias("__rid")), "__rid", "left_semi").select(*docs.columns)
+    """One document of each group, a row of its smallest doc_id; all columns are kept.
+
+    Rows are compared by doc_id first (null last) and by their own name then, so that of
+    repeated rows one stays.
+    """
+    named = keyed(docs)
+    whole = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    ordered = named.withColumn("__tf_key", F.concat(F.coalesce(whole, F.lit("~")), F.lit(":"), F.col("__tf_key")))
+    with scratch(docs.sparkSession):
+        found = near_duplicates(ordered.select(F.col("__tf_key").alias("doc_id"), "text"))
+        dropped = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("__tf_key")), "dropped", keep=True)
+    return ordered.join(dropped, "__tf_key", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import SPACED, keyed, materialise
+from tabflow.llm.common import SPACED, keyed, materialise, scratch
 
 #: Slots that a schedule has at least, unless the corpus has fewer tokens; and tokens a block has at most.
 LEAST_SLOTS, MOST_TOKENS = 100_000, 4096
@@ -141,9 +141,11 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """
     named = keyed(docs)
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACED)).cast("long")
-    sizes = materialise(named.select(F.col("__tf_key").alias("rid"), "doc_id", "source", size.alias("size")), "mix_sizes")
-    _, _, taken = mix(sizes, seed)
-    sums = taken.groupBy("rid").agg(F.sum("tokens").alias("taken")).join(sizes.select("rid", "size"), "rid")
+    with scratch(docs.sparkSession):
+        sizes = materialise(named.select(F.col("__tf_key").alias("rid"), "doc_id", "source", size.alias("size")), "mix_sizes")
+        _, _, taken = mix(sizes, seed)
+        sums = taken.groupBy("rid").agg(F.sum("tokens").alias("taken")).join(sizes.select("rid", "size"), "rid")
+        sums = materialise(sums, "mix_taken", keep=True)
     copies = sums.select(F.col("rid").alias("__tf_key"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("__copy"), "taken", "size")
     words = F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size")).cast("int")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("__words")), "")

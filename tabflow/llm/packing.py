@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import work_path
+from tabflow.llm.common import bounded_batches, work_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before this vocabulary's merges.
@@ -129,6 +129,7 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
     gives no rows; a null doc_id stays null.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text) + 4)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))

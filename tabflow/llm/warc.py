@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import materialise, work_path
+from tabflow.llm.common import bounded_batches, materialise, work_path
 
 #: Payload bytes of a shard, about, and compressed bytes at which a file is closed and the next begun.
 SHARD_BYTES, ROLL_BYTES = 8 << 20, 4 << 20
@@ -111,6 +111,7 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
     doesn't name don't count.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     facts = materialise(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size")), "warc_facts")
