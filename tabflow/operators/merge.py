@@ -17,73 +17,54 @@ MANY = "MERGE_MANY_MANY: more than one table has several rows for a key"
 def merge(tables: Sequence[Relation], by: Sequence[str], flags: Sequence[str | None], line: int | None = None) -> Relation:
     """Full outer by key, missing keys matching; ``flags`` name presence columns.
 
-    Within a key, rows are aligned by position, and a table with fewer rows repeats its last
-    (only one table may have several: else the run fails where the rows are read).  Of
-    columns with one name the last table present in the row gives the value.
+    Of a key only one table may have several rows (else the run fails where the rows are
+    read); the others repeat their only one.  Of columns with one name the last table that
+    has the key gives the value.  All tables meet in one union, which is shuffled once by
+    the key: the rows of the table with several (else of the first that has the key) stay,
+    and windows over the key bring the others' rows to them.
     """
     if not by:
         raise invalid("DATASTEP_MISSING_BY", "merge needs by", line)
-    keys = [tables[0].resolve(k, line) for k in by]
-    sided, spines = [], []
-    several = sum(frozenset(t.resolve(k, line) for k in by) not in t.unique for t in tables)
-    at = hidden_name("i")
+    names = [tables[0].resolve(k, line) for k in by]
+    keys = [f"__tf_k{i}" for i in range(len(by))]
+    sides, owns = [], []
     for n, t in enumerate(tables):
         own = [t.resolve(k, line) for k in by]
-        key = [f"__tf_k{i}" for i in range(len(by))]
-        df = t.df.select(*[t.col(c).alias(k) for c, k in zip(own, key, strict=True)], *[t.col(c).alias(f"__tf_{n}_{c}") for c in t.columns if c not in own], *[F.col(f"`{o}`").alias(f"__tf_{n}_o{i}") for i, o in enumerate(t.order)])
-        if frozenset(own) in t.unique:
-            df = df.withColumn("__tf_i", F.lit(0)).withColumn("__tf_n", F.lit(1))
-        else:
-            group = Window.partitionBy(*key)
-            rank = group.orderBy(*[F.col(f"__tf_{n}_o{i}").asc_nulls_first() for i in range(len(t.order))])
-            df = df.withColumn("__tf_i", F.row_number().over(rank) - 1).withColumn("__tf_n", F.count(F.lit(1)).over(group).cast("int"))
-        df = df.drop(*[f"__tf_{n}_o{i}" for i in range(len(t.order))])
-        sided.append((df, key))
-        spines.append(df.where("__tf_i = 0").select(*key, "__tf_n"))
-    key = sided[0][1]
-    if len(tables) == 1 or several == 0:
-        rows = reduce(lambda a, b: a.unionByName(b), [s.select(*key) for s in spines]).distinct().withColumn(at, F.lit(0))
-    else:
-        spine = reduce(lambda a, b: a.unionByName(b), spines).groupBy(*key).agg(F.max("__tf_n").alias("n"), F.count_if(F.col("__tf_n") > 1).alias("many"))
-        length = F.when(F.col("many") > 1, F.raise_error(F.lit(MANY)).cast("int")).otherwise(F.col("n")) if several > 1 else F.col("n")
-        rows = spine.select(*key, F.explode(F.sequence(F.lit(0), length - 1)).alias(at))
-    present: list[Column] = []
-    for n, (df, _) in enumerate(sided):
-        side = df.select(*[F.col(k).alias(f"{k}_r") for k in key], F.col("__tf_i").alias("__tf_ri"), F.col("__tf_n").alias(f"__tf_n{n}"), *[F.col(c) for c in df.columns if c.startswith(f"__tf_{n}_")], F.lit(True).alias(f"__tf_p{n}"))
-        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in key])
-        if several:
-            # rows beyond a table's last take its last: the position is looked up capped, with the count carried by key
-            counts = spines[n].select(*[F.col(k).alias(f"{k}_c") for k in key], F.col("__tf_n").alias(f"__tf_c{n}"))
-            rows = rows.join(counts, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_c")) for k in key]), "left").drop(*[f"{k}_c" for k in key])
-            match = match & (F.least(F.col(at), F.col(f"__tf_c{n}") - 1) == F.col("__tf_ri"))
-        rows = rows.join(side, match, "left").drop(*[f"{k}_r" for k in key], "__tf_ri", f"__tf_n{n}")
-        present.append(F.coalesce(F.col(f"__tf_p{n}"), F.lit(False)))
-    values: dict[str, Column] = {}
-    order: list[str] = []
-    for i, k in enumerate(keys):
-        values[k] = F.col(f"__tf_k{i}")
-        order.append(k)
+        owns.append(own)
+        value = F.struct(*[t.col(c).alias(f"c{i}") for i, c in enumerate(t.columns)])
+        place = F.struct(*[F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(t.order)])
+        sides.append(t.df.select(*[t.col(c).alias(k) for c, k in zip(own, keys, strict=True)], F.lit(n).alias("__tf_t"), value.alias(f"__tf_v{n}"), place.alias(f"__tf_o{n}")))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+    group = Window.partitionBy(*keys)
+    rows = rows.select("*", *[F.count_if(F.col("__tf_t") == n).over(group).alias(f"__tf_n{n}") for n in range(len(tables))], *[F.first(f"__tf_v{n}", ignorenulls=True).over(group).alias(f"__tf_w{n}") for n in range(len(tables))])
+    counts = [F.col(f"__tf_n{n}") for n in range(len(tables))]
+    several = reduce(lambda a, b: a + b, [(c > 1).cast("int") for c in counts])
+    lead = F.coalesce(*[F.when(c > 1, n) for n, c in enumerate(counts)], *[F.when(c > 0, n) for n, c in enumerate(counts)])
+    if len(tables) > 1:
+        lead = F.when(several > 1, F.raise_error(F.lit(MANY)).cast("int")).otherwise(lead)
+    rows = rows.where(F.col("__tf_t") == lead)
+    at = hidden_name("i")
+    within = Window.partitionBy(*keys).orderBy(*[F.col(f"__tf_o{n}").asc_nulls_first() for n in range(len(tables))])
+    rows = rows.withColumn(at, F.row_number().over(within))
+    values: dict[str, Column] = {k: F.col(c) for k, c in zip(names, keys, strict=True)}
     columns: list[str] = []
     for n, t in enumerate(tables):
-        own = {t.resolve(k, line) for k in by}
-        for c in t.columns:
-            if c in own:
-                name = keys[[t.resolve(k, line) for k in by].index(c)]
-                if name not in columns:
-                    columns.append(name)
-                continue
-            mine = F.col(f"`__tf_{n}_{c}`")
-            if c in values:
-                values[c] = F.when(present[n], mine).otherwise(values[c])
+        mine = F.when(F.col("__tf_t") == n, F.col(f"__tf_v{n}")).otherwise(F.col(f"__tf_w{n}"))
+        for i, c in enumerate(t.columns):
+            if c in owns[n]:
+                name = names[owns[n].index(c)]
+            elif c in values:
+                name = c
+                values[c] = F.when(counts[n] > 0, mine[f"c{i}"]).otherwise(values[c])
             else:
-                values[c] = mine
-                columns.append(c)
-    marked = []
+                name = c
+                values[c] = mine[f"c{i}"]
+            if name not in columns:
+                columns.append(name)
     for n, flag in enumerate(flags):
         if flag:
-            values[flag] = present[n]
-            marked.append(flag)
-    columns += [m for m in marked if m not in columns]
-    df = rows.select(*[values[c].alias(c) for c in columns], F.col(at))
-    unique = frozenset([frozenset(keys)]) if several == 0 else frozenset()
-    return Relation(df, tuple(columns), (*order, at), unique)
+            values[flag] = counts[n] > 0
+            columns.append(flag)
+    columns = list(dict.fromkeys(columns))
+    unique = frozenset([frozenset(names)]) if all(frozenset(o) in t.unique for o, t in zip(owns, tables, strict=True)) else frozenset()
+    return Relation(rows.select(*[values[c].alias(c) for c in columns], F.col(at)), tuple(columns), (*names, at), unique)

@@ -112,7 +112,8 @@ def check_sorted(rel: Relation, by: list[str], line: int | None) -> None:
 
     keys = F.struct(*[rel.col(rel.resolve(b)) for b in by])
     lead, last = rel.order[:-1], rel.order[-1]
-    part = [F.col(f"`{o}`") for o in lead] or [F.shiftright(F.col(f"`{last}`"), 33)]
+    # numbers of rows in one file, or drawn by partition: stretches of them
+    part = [F.col(f"`{o}`") for o in lead] or [F.shiftright(F.col(f"`{last}`"), 33), F.shiftright(F.col(f"`{last}`"), 20)]
     window = Window.partitionBy(*part).orderBy(F.col(f"`{last}`"))
     pairs = rel.df.select(*[p.alias(f"p{i}") for i, p in enumerate(part)], keys.alias("k"), F.lag(keys).over(window).alias("b"))
     if not pairs.where("b > k").isEmpty():

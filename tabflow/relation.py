@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,20 @@ def hidden_name(tag: str = "h") -> str:
     return f"__tf_{tag}{next(_numbers)}"
 
 
+#: Files up to this many are told apart by their number in the order of names, more by their path.
+NUMBERED_FILES = 1000
+
+
+def file_place(df: DataFrame) -> Column | None:
+    """The place of a row's file among the table's files; None if there is only one."""
+    names = sorted(f.rpartition("/")[2] for f in df.inputFiles()[: NUMBERED_FILES + 1])
+    if len(names) == 1:
+        return None
+    if 1 < len(names) <= NUMBERED_FILES and len(set(names)) == len(names):
+        return F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_metadata.file_name")).cast("int")
+    return F.col("_metadata.file_path")
+
+
 @dataclass(frozen=True)
 class Relation:
     """``df`` has the visible columns and hidden ones; ``order`` names columns, ascending with nulls first.
@@ -39,10 +54,13 @@ class Relation:
         order = tuple(order)
         if not order:
             try:
-                path, row = hidden_name("f"), hidden_name("r")
-                df = df.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
-                order = (path, row)
-            except Exception:  # not a file scan: number the rows as they come
+                row = hidden_name("r")
+                places = {row: F.col("_metadata.row_index")}
+                if (file := file_place(df)) is not None:
+                    places = {hidden_name("f"): file} | places
+                df = df.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(n) for n, c in places.items()])
+                order = tuple(places)
+            except AnalysisException:  # not a file scan: number the rows as they come
                 at = hidden_name("m")
                 df = df.withColumn(at, F.monotonically_increasing_id())
                 order = (at,)
