@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from tabflow.errors import EXIT, Refusal
 from tabflow.governance import evidence, lineage, lock
-from tabflow.plans.ir import plain, to_json
+from tabflow.plans.ir import plain, step_id, to_json, transform_class_id, transform_id
 from tabflow.session import Run, compile_text, run_plan
 
 REPORT = "report.json"
@@ -66,9 +66,14 @@ def create(spark: SparkSession, text: str, out: str, tables: Mapping | None = No
                         (root / "inputs/data").mkdir(exist_ok=True)
                         shutil.copyfile(path, root / "inputs/data" / path.name)
         report["outputs"] = [{"name": o["name"], "path": str(Path(o["path"]).relative_to(root)), "columns": o["columns"]} for o in run.write(str(root / "outputs"), emit)]
+        _put(root / "artifacts/registry.json", {transform_id(s): {"op": s.op, "class": transform_class_id(s), "params": s.params} for s in plan.steps})
         if profile:
             found = {t: [r.asDict() for r in evidence.profile(run.tables[t]).orderBy("column").collect()] for t in run.terminal() if t in run.tables}
             _put(root / "artifacts/profile.json", found)
+            counts = {t: rows[0]["null_count"] + rows[0]["non_null_count"] for t, rows in found.items() if rows}
+            casts = {s.outputs[0]: evidence.coercion_counts(run.tables[s.inputs[0]], s.params["casts"]) for s in plan.steps if s.op == "cast"}
+            steps = [{"id": step_id(s), "op": s.op, "outputs": s.outputs, "rows": {o: counts[o] for o in s.outputs if o in counts}, "cast_failures": casts.get(s.outputs[0]) if s.outputs else None} for s in plan.steps]
+            _put(root / "artifacts/steps.json", steps)
         report["asserts"] = run.asserts()
         report["warnings"] = plan.warnings
         if plan.warnings:

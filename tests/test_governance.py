@@ -36,6 +36,9 @@ def test_pipeline_run_and_bundle(spark, tmp_path):
     assert report["status"] == "ok", report
     assert (tmp_path / "b/outputs/t.csv").read_text() == "a,base2,label\n6,12,x\n,,x\n"
     assert report["asserts"] == [{"predicate": "row_count(t) > 1", "ok": True, "counts": {"t": 2}}]
+    steps = json.loads((tmp_path / "b/artifacts/steps.json").read_text())
+    assert {"t": 2} in [s["rows"] for s in steps]
+    assert len(json.loads((tmp_path / "b/artifacts/registry.json").read_text())) >= 6
     again = bundle.create(spark, TEXT, str(tmp_path / "c"), language="pipeline")
     assert again["report_sha256"] == report["report_sha256"]
     assert bundle.verify(str(tmp_path / "b")) == []
