@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import keyed, lower_ascii, materialise, scratch, words
+from tabflow.llm.common import keyed, lower_ascii, materialise, scratch, without, words
 
-#: Words: no ASCII control, space, digit-free punctuation; digits, letters and everything beyond ASCII stay.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words: ASCII but digits and (lower-case) letters.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
 #: Anchors are broadcast up to this many rows and bytes; beyond, they are joined by a shuffle on the term.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
@@ -16,7 +16,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 def token_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, doc_id, n_words and the words of each text; a word's place in the array is its position.  Written once."""
-    split = words(lower_ascii(F.col(text_col)), WORD)
+    split = words(lower_ascii(F.col(text_col)), SEPARATORS)
     named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), split.alias("words"))
     return materialise(named.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), "words"), "token_store")
 
@@ -26,7 +26,7 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
     An item of fewer words, but not none, is one window.  A null item id is kept as such.
     """
-    split = items.select("item_id", words(lower_ascii(F.col("text")), WORD).alias("w")).where(F.size("w") > 0)
+    split = items.select("item_id", words(lower_ascii(F.col("text")), SEPARATORS).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
     cut = split.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("window"))
     return cut.distinct()
@@ -117,4 +117,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, least_items: int = 2) ->
     with scratch(docs.sparkSession):
         found = decontaminate(named.select(F.col("__tf_key").alias("doc_id"), "text"), items, least_items)
         bad = materialise(found.where("contaminated").select(F.col("doc_id").alias("__tf_key")), "contaminated", keep=True)
-    return named.join(bad, "__tf_key", "left_anti").select(*docs.columns)
+    return without(named, bad, "__tf_key").select(*docs.columns)

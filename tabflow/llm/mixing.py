@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import SPACED, keyed, materialise, scratch
+from tabflow.llm.common import keyed, materialise, scratch, words
 
 #: Slots that a schedule has at least, unless the corpus has fewer tokens; and tokens a block has at most.
 LEAST_SLOTS, MOST_TOKENS = 100_000, 4096
@@ -47,6 +47,10 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     return run.select("source", "src", "weight", "source_size", "target", F.least(F.floor(F.col("target") + 0.5), F.col("most")).cast("long").alias("quota"))
 
 
+def _shuffle_key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def shuffled_stream(rows: DataFrame, seed: str) -> DataFrame:
     """Add ``start``: the tokens ahead of each document in its source's shuffled order.
 
@@ -55,12 +59,12 @@ def shuffled_stream(rows: DataFrame, seed: str) -> DataFrame:
     """
     n = rows.count()
     digits = max(0, math.ceil(math.log(max(1, n / DOCS_A_BUCKET), 16)))
-    keyed = rows.withColumn("__h", F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    keyed = keyed.withColumn("__b", F.substring("__h", 1, digits))
-    buckets = keyed.groupBy("src", "__b").agg(F.sum("size").alias("s"))
+    hashed = rows.withColumn("__h", _shuffle_key(seed))
+    hashed = hashed.withColumn("__b", F.substring("__h", 1, digits))
+    buckets = hashed.groupBy("src", "__b").agg(F.sum("size").alias("s"))
     ahead = buckets.select("src", "__b", (F.sum("s").over(Window.partitionBy("src").orderBy("__b")) - F.col("s")).alias("__ahead"))
     inner = Window.partitionBy("src", "__b").orderBy("__h", "doc_id", "size", "rid")
-    joined = keyed.join(ahead, ["src", "__b"])
+    joined = hashed.join(ahead, ["src", "__b"])
     return joined.withColumn("start", F.col("__ahead") + F.sum("size").over(inner) - F.col("size")).drop("__h", "__b", "__ahead")
 
 
@@ -121,7 +125,7 @@ def mix(sizes: DataFrame, seed: str = "mix", max_repeats: int = MAX_REPEATS) ->
 
 def document_sizes(docs: DataFrame) -> DataFrame:
     """rid, doc_id, source and the words of the whole text, written once so that rids stay the same."""
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACED)).cast("long")
+    size = F.size(words(F.col("text"))).cast("long")
     return materialise(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size")), "mix_sizes")
 
 
@@ -138,19 +142,32 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix as documents: each one as often as it is taken whole, and once more cut to the words taken in part.
 
     Documents of which nothing is taken go.  All columns are kept; ``n_chars`` follows a cut.
+    A source's slots take its shuffled stream so many times whole and then up to some
+    document; with that document per source known from the mix, each text finds its own
+    number of copies by its place in the order, so texts needn't be shuffled.
     """
     named = keyed(docs)
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACED)).cast("long")
+    place = F.struct(_shuffle_key(seed).alias("h"), F.col("doc_id"), F.col("size"), F.col("rid"))
     with scratch(docs.sparkSession):
-        sizes = materialise(named.select(F.col("__tf_key").alias("rid"), "doc_id", "source", size.alias("size")), "mix_sizes")
-        _, _, taken = mix(sizes, seed)
-        sums = taken.groupBy("rid").agg(F.sum("tokens").alias("taken")).join(sizes.select("rid", "size"), "rid")
-        sums = materialise(sums, "mix_taken", keep=True)
-    copies = sums.select(F.col("rid").alias("__tf_key"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("__copy"), "taken", "size")
-    words = F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("__words")), "")
-    out = named.join(copies.select("__tf_key", words.alias("__words"), (words < F.col("size")).alias("__part")), "__tf_key")
-    out = out.withColumn("text", F.when(F.col("__part"), cut).otherwise(F.col("text")))
+        sizes = materialise(named.select(F.col("__tf_key").alias("rid"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")), "mix_sizes")
+        stream, targets, taken = mix(sizes, seed)
+        rounds = targets.select("src", "source", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0).alias("rounds"))
+        sums = stream.join(taken.groupBy("rid").agg(F.sum("tokens").alias("taken")), "rid").join(rounds, "src")
+        over = sums.where("taken > rounds * size").select("src", place.alias("at"), (F.col("taken") - F.col("rounds") * F.col("size")).alias("part"))
+        last = over.groupBy("src").agg(F.max("at").alias("last"), F.max_by("part", "at").alias("part"))
+        plan = materialise(rounds.join(last, "src", "left").select(F.col("source").alias("__tf_source"), "rounds", "last", "part"), "mix_plan", keep=True)
+    texts = named.withColumn("__tf_n", F.size(words(F.col("text"))).cast("long")).where("__tf_n > 0")
+    key = F.struct(_shuffle_key(seed).alias("h"), F.col("doc_id"), F.col("__tf_n").alias("size"), F.col("__tf_key").alias("rid"))
+    joined = texts.join(plan.select("__tf_source", F.struct("rounds", "last", "part").alias("__tf_plan")), F.col("source").eqNullSafe(F.col("__tf_source")))
+    more = F.coalesce(key <= F.col("__tf_plan.last"), F.lit(False))
+    copies = (F.col("__tf_plan.rounds") + more.cast("long")).cast("int")
+    cut = F.when(more & (key == F.col("__tf_plan.last")) & (F.col("__tf_plan.part") < F.col("__tf_n")), F.col("__tf_plan.part"))
+    out = joined.withColumn("__tf_copies", copies).withColumn("__tf_cut", cut).where("__tf_copies > 0")
+    out = out.withColumn("__tf_copy", F.explode(F.sequence(F.lit(1), F.col("__tf_copies"))))
+    part = F.col("__tf_cut").isNotNull() & (F.col("__tf_copy") == F.col("__tf_copies"))
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    shorter = F.array_join(F.slice(pieces, F.lit(1), F.col("__tf_cut").cast("int")), "")
+    out = out.withColumn("__tf_part", part).withColumn("text", F.when(F.col("__tf_part"), shorter).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__part"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__tf_part"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
