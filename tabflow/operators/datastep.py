@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabflow.errors import Refusal, invalid, runtime
-from tabflow.functions.columns import Compiler, Typed, literal, truthy, typed
-from tabflow.functions.expr import Binary, Call, Expr, Lit, Logic, Ref, references, walk
+from tabflow.functions.columns import Compiler, Typed, literal, truthy
+from tabflow.functions.expr import Binary, Call, Expr, Lit, Logic, Ref, references
 from tabflow.functions.types import spark_type, unify
 from tabflow.relation import Relation, hidden_name
 
@@ -598,7 +598,3 @@ def infer(rel: Relation, step: Step, retain: list[str], formats: Mapping) -> dic
                 kinds[name] = unify(kinds[name], Compiler(lookup, formats, line=s.line)(s.value).type if isinstance(s, Assign) else "int", s.line)
     found = {c: rel.df.schema[c].dataType for c in rel.columns}
     return found | {n: spark_type("string" if k == "null" else k) for n, k in kinds.items()}
-
-
-def literals(body: Sequence[Stmt]) -> list[object]:
-    return [x.value for e in expressions(body) for x in walk(e) if isinstance(x, Lit)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,8 +121,3 @@ def options(rel: Relation, keep: Iterable[str] = (), dropped: Iterable[str] = ()
         rel = drop(rel, dropped, line)
     renames = list(renames)
     return rename(rel, renames, line) if renames else rel
-
-
-def constants(values: Mapping[str, object]) -> dict[str, object]:
-    """Literals of a const block; decimals exact."""
-    return {k: Decimal(v) if isinstance(v, float) else v for k, v in values.items()}

@@ -56,9 +56,7 @@ def read_source(ctx: Context, spec: Mapping) -> Relation:
         untyped = [n for n, k in columns if not k]
         if untyped:
             kinds = csv_io.infer(project.select(rel, untyped))
-            rel = project.assign(rel, [], "any")
-            cols = [F.col(f"`{c}`").cast({"int": "long", "decimal": csv_io.WIDE}[kinds[c]]).alias(c) if kinds.get(c) in ("int", "decimal") else rel.col(c) for c in rel.columns]
-            rel = rel.with_columns(rel.df.select(*cols, *[F.col(h) for h in rel.hidden()]), rel.columns)
+            rel = csv_io.retyped(rel, kinds)
         return rel
     return locked(rel, columns)
 

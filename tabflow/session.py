@@ -44,8 +44,11 @@ class Run:
         made = [o for s in self.plan.steps for o in s.outputs if s.op not in ("datasource",)]
         return [o for o in made if "__" not in o]
 
-    def write(self, out: str, emit: str = "saved", form: str = "csv") -> list[dict]:
-        """Write saves, or with ``emit="all"`` all named tables, below ``out``."""
+    def write(self, out: str, emit: str = "saved", form: str = "csv", parts: bool = False) -> list[dict]:
+        """Write saves, or with ``emit="all"`` all named tables, below ``out``.
+
+        With ``parts`` executors write folders of ordered CSV part files, for tables too large for one stream.
+        """
         root = Path(out)
         done = []
         wanted = [(s["inputs"][0], s["path"], s["name"]) for s in self.context.saves]
@@ -57,6 +60,10 @@ class Run:
                 raise runtime("E_SAVE_PATH", f"{path!r} isn't below the output folder")
             target.parent.mkdir(parents=True, exist_ok=True)
             rel = self.tables[table]
+            if parts:
+                csv_io.write_large(rel, f"file://{target.resolve()}")
+                done.append({"path": str(target), "columns": list(rel.columns), "name": name, "table": table})
+                continue
             done.append((xpt.write(rel, str(target), name) if path.endswith(".xpt") else csv_io.write(rel, str(target))) | {"name": name, "table": table})
         return done
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tabflow.errors import invalid, runtime
 from tabflow.functions.columns import NUMBER, WHOLE
 from tabflow.functions.types import WIDE
-from tabflow.operators.project import FALSE, TRUE, parsed
+from tabflow.operators.project import parsed
 from tabflow.relation import Relation, hidden_name
 
 #: Rows of evidence for a column that doesn't coerce.
@@ -98,13 +98,17 @@ def infer(rel: Relation, limit: int | None = None) -> dict[str, str]:
     return {n: "string" if not r[f"n{i}"] else "bool" if r[f"b{i}"] else "int" if r[f"i{i}"] else "decimal" if r[f"d{i}"] else "string" for i, n in enumerate(rel.columns)}
 
 
-def inferred(rel: Relation, limit: int | None = None) -> Relation:
-    kinds = infer(rel, limit)
+def retyped(rel: Relation, kinds: Mapping[str, str]) -> Relation:
+    """Text columns that infer as numbers as numbers; others stay text."""
     casts = {"int": "long", "decimal": WIDE}
-    cols = [(F.trim(rel.col(n)).cast(casts[kinds[n]]) if kinds[n] in casts else rel.col(n)).alias(n) for n in rel.columns]
+    cols = [(F.trim(rel.col(n)).cast(casts[kinds[n]]) if kinds.get(n) in casts else rel.col(n)).alias(n) for n in rel.columns]
     return rel.with_columns(rel.df.select(*cols, *[F.col(o) for o in rel.hidden()]), rel.columns)
 
 
+def inferred(rel: Relation, limit: int | None = None) -> Relation:
+    return retyped(rel, infer(rel, limit))
+
+
 def cell(value: object) -> str:
     """A value as text: no exponents, no trailing zeros of decimals, ISO dates, empty for missing."""
     if value is None:
@@ -130,6 +134,3 @@ def write(rel: Relation, path: str) -> dict:
 def write_large(rel: Relation, path: str) -> None:
     """A folder of part files, range-partitioned in order, written by the executors."""
     rel.ordered().write.option("header", True).option("emptyValue", "").mode("errorifexists").csv(path)
-
-
-BOOLEAN_TEXTS = (*TRUE, *FALSE)

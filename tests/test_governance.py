@@ -164,6 +164,13 @@ def test_coercion_evidence(spark, tmp_path):
     assert (tmp_path / "y.csv").read_text() == (tmp_path / "x.csv").read_text()
 
 
+def test_parts_are_in_order(spark, tmp_path):
+    r = run(spark, TEXT.replace("sort(t)", "sort(in)").replace("var(base2)", "var(b)"), language="pipeline")
+    r.write(str(tmp_path), parts=True)
+    lines = [x for p in sorted((tmp_path / "t.csv").glob("*.csv")) for x in p.read_text().split("\n")[1:] if x]
+    assert lines == ["6,12,x", ",,x"]
+
+
 def test_exact_decimals(spark, inline):
     rel = inline("a\n12345678901234567890.1234567890\n")
     assert C.cell(rel.ordered().first()["a"]) == "12345678901234567890.123456789"
