@@ -45,8 +45,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tabflow/{uuid.uuid4().hex}/{name}"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on, rows of whole texts go to Python a few MB at a time; both sides hold a batch or two.
+def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
+    """From now on, rows of whole texts go to Python about a MB at a time; both sides hold a batch or two.
 
     This lowers a session setting, which stays: plans are lazy and read it when they run.
     """

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.llm.common import _powers, bounded_batches, by_volume, mix64, text_bytes
+from tabflow.llm.common import _powers, bounded_batches, by_volume, mix64, text_bytes, tidy
 
 #: Phrases are named over LEVELS rounds of parsing, which makes them about 15 bytes long.
 LEVELS = 3
@@ -107,6 +107,7 @@ def printed(names: np.ndarray) -> str:
 def fingerprint_column(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
     """``carry`` columns with ``fingerprint`` of each row's whole text; equal texts have equal fingerprints."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("__tf_text").to_pylist()
@@ -126,6 +127,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+@tidy
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.llm.common import bounded_batches, by_volume
+from tabflow.llm.common import bounded_batches, by_volume, tidy
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag; in the first group character references count.
@@ -431,6 +431,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), html_
     each by itself; rows, also repeated ones, keep their own results.
     """
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("__tf_html").to_pylist()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.llm.common import bounded_batches, by_volume, lower_bytes, text_bytes
+from tabflow.llm.common import bounded_batches, by_volume, lower_bytes, text_bytes, tidy
 
 UNDETERMINED = "und"
 #: Families of language codes; a code that isn't listed belongs to the family "other".
@@ -28,7 +28,7 @@ FAMILIES = {
 SAMPLE_ROWS, SAMPLE_PER_LANG = 3000, 400
 MAX_LANGS = 200
 #: Hash bins of the letter trigrams.
-BIN_BITS = 13
+BIN_BITS = 12
 BATCH_CHARS = 1 << 20
 _MULT = np.uint32(2654435761)
 
@@ -127,7 +127,7 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 200)
 
 
 def fit(x: np.ndarray, labels: list[str], families: dict[str, str] | None = None) -> Model:
-    """Classifiers from rows of bin frequencies and their languages."""
+    """Classifiers from rows of bin frequencies (overwritten) and their languages."""
     named = {code: f for f, codes in (families or FAMILIES).items() for code in codes.split()}
     langs = sorted(set(labels))
     groups: dict[str, list[str]] = {}
@@ -136,7 +136,9 @@ def fit(x: np.ndarray, labels: list[str], families: dict[str, str] | None = None
     members = [groups[f] for f in sorted(groups)]
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1], np.float32)
     scale = 1 / (x.std(axis=0) + 1e-4) if len(x) else np.ones(x.shape[1], np.float32)
-    z = (x - mean) * scale / np.sqrt(x.shape[1], dtype=np.float32)
+    z = x  # standardised in place: the sample is the driver's largest table
+    z -= mean
+    z *= scale / np.sqrt(x.shape[1], dtype=np.float32)
     lab = np.array(labels)
     pairs, weights, bias = [], [], []
 
@@ -158,6 +160,7 @@ def fit(x: np.ndarray, labels: list[str], families: dict[str, str] | None = None
     return Model(langs, members, pairs, np.asfortranarray(table), np.array(bias))
 
 
+@tidy
 def _bin_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -165,7 +168,8 @@ def _bin_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bins, first = trigram_bins(texts[part])
             found = [np.unique(bins[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
             langs = batch.column("lang").slice(part.start, part.stop - part.start)
-            yield pa.RecordBatch.from_arrays([langs, pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["lang", "bins", "counts"])
+            packed = [pa.array([f[k].astype(np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([langs, *packed], names=["lang", "bins", "counts"])
 
 
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
@@ -176,19 +180,22 @@ def learn(docs: DataFrame) -> Model:
     """Fit on a bounded sample: of each of at most MAX_LANGS languages, the rows whose id has the smallest hashes."""
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    per = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, len(langs))))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    per = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, len(counts))))
     drawn = F.xxhash64(F.col("doc_id"))
-    ids = known.where(F.col("lang").isin(langs)).select("lang", drawn.alias("h")) if langs else known.select("lang", drawn.alias("h")).limit(0)
+    # twice the rows wanted pass by their hash, so that no window sees a language's rows all
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * per / r["count"])) for r in counts], "lang string, share double")
+    ids = known.select("lang", drawn.alias("h")).join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("share") * (1 << 31))
     order = Window.partitionBy("lang").orderBy("h")
-    picked = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).select("lang", "h").distinct()
+    picked = ids.select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).select("lang", "h").distinct()
     picked = F.broadcast(picked)  # at most SAMPLE_ROWS rows
     rows = known.select("lang", F.col("text").cast("string").alias("text"), drawn.alias("h")).join(picked, ["lang", "h"], "left_semi").drop("h")
-    sample = rows.mapInArrow(_bin_batches, "lang string, bins array<long>, counts array<long>").limit(2 * SAMPLE_ROWS).collect()
+    sample = rows.mapInArrow(_bin_batches, "lang string, bins binary, counts binary").limit(2 * SAMPLE_ROWS).collect()
     sample = sorted((r for r in sample if r["bins"]), key=lambda r: (r["lang"], r["bins"], r["counts"]))
     x = np.zeros((len(sample), 1 << BIN_BITS), np.float32)
     for i, r in enumerate(sample):
-        x[i, r["bins"]] = np.array(r["counts"], np.float32) / sum(r["counts"])
+        counts = np.frombuffer(r["counts"], np.int32).astype(np.float32)
+        x[i, np.frombuffer(r["bins"], np.int32)] = counts / counts.sum()
     return fit(x, [r["lang"] for r in sample])
 
 
@@ -200,6 +207,7 @@ def predictions(docs: DataFrame, model: Model, carry: list[str], named: tuple[st
     text = "text" if "text" in carry and isinstance(docs.schema["text"].dataType, T.StringType) else "__tf_text"
     rows = docs.select(*carry) if text in carry else docs.select(*carry, F.col("text").cast("string").alias(text))
 
+    @tidy
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import bounded_batches, by_volume, keyed, lower_bytes, materialise, mix64, scratch, span_hashes, text_bytes, word_spans
+from tabflow.llm.common import bounded_batches, by_volume, keyed, lower_bytes, materialise, mix64, scratch, span_hashes, tested, text_bytes, tidy, without, word_spans
 
 SHINGLE = 5
 #: Links: PER_HUNDRED percent of the union at least.
@@ -18,9 +18,7 @@ PER_HUNDRED = 85
 BANDS, ROWS = 16, 4
 #: Buckets of the frequency sketch that orders shingles (it bears on speed alone).
 SKETCH_BITS = 20
-#: Bits of the filter that says which sets a join may need.
-FILTER_BITS = 24
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SIGMA, _PI = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -87,6 +85,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
+@tidy
 def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -118,19 +117,11 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def members_only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``sets`` whose gid is in ``ids``, and a few others, without moving any row.
-
-    A bitmap of fixed size (``2**FILTER_BITS`` bits, in words of 64) holds a hash of each id and
-    is broadcast; what it lets through falsely a later join drops.
-    """
-    at = F.pmod(F.xxhash64("gid"), F.lit(1 << FILTER_BITS))
-    bit = F.expr("shiftleft(1L, cast(at & 63L as int))")
-    marked = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    tagged = sets.select("gid", "n", "shingles", at.alias("at")).withColumn("word", F.shiftright("at", 6))
-    kept = tagged.join(F.broadcast(marked), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    return kept.select("gid", "n", "shingles")
+    """The rows of ``sets`` whose gid is in ``ids``, and a few others, without moving any row: a later join drops those."""
+    return tested(sets.select("gid", "n", "shingles"), ids, "gid").where("__tf_maybe").drop("__tf_maybe")
 
 
+@tidy
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
@@ -178,6 +169,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+@tidy
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
@@ -216,6 +208,7 @@ def prefix_candidates(sets: DataFrame) -> DataFrame:
     """
     sketch = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets))
 
+    @tidy
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -296,4 +289,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession):
         found = near_duplicates(ordered.select(F.col("__tf_key").alias("doc_id"), "text"))
         dropped = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("__tf_key")), "dropped", keep=True)
-    return ordered.join(dropped, "__tf_key", "left_anti").select(*docs.columns)
+    return without(ordered, dropped, "__tf_key").select(*docs.columns)

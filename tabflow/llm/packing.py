@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import bounded_batches, work_path
+from tabflow.llm.common import bounded_batches, tidy, work_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before this vocabulary's merges.
@@ -135,6 +135,7 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
     shards = max(1, math.ceil(total / SHARD_BYTES))
     kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
 
+    @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
@@ -206,6 +207,7 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
         ]
         return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in PACKED.split(", ")])
 
+    @tidy
     def pack_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:

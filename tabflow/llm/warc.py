@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import bounded_batches, materialise, work_path
+from tabflow.llm.common import bounded_batches, materialise, tidy, work_path
 
 #: Payload bytes of a shard, about, and compressed bytes at which a file is closed and the next begun.
 SHARD_BYTES, ROLL_BYTES = 8 << 20, 4 << 20
@@ -133,6 +133,7 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
     system, at = pafs.FileSystem.from_uri(root)
     system.create_dir(f"{at}/archive", recursive=True)
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         attempt = f"{context.stageId()}-{context.taskAttemptId()}" if context else "0"
@@ -179,9 +180,12 @@ def members(data: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record; ValueError if it isn't one."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     headers = dict(line.split(": ", 1) for line in lines[1:])
+    if lines[0] != "WARC/1.1" or not {"WARC-Type", "Content-Length"} <= headers.keys():
+        raise ValueError("not a WARC record")
     return headers, rest[: int(headers["Content-Length"])]
 
 
@@ -193,6 +197,7 @@ def read_archives(manifest: DataFrame, root: str, id_type: str = "long") -> Data
     def ident(value: str | None) -> object:
         return int(value) if whole and value is not None else value
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = pafs.FileSystem.from_uri(f"{root}/archive")
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "file", "intact"]
@@ -208,7 +213,10 @@ def read_archives(manifest: DataFrame, root: str, id_type: str = "long") -> Data
                             yield chunk
 
                     for member in members(chunks()):
-                        headers, block = parse_record(member)
+                        try:
+                            headers, block = parse_record(member)
+                        except ValueError as e:
+                            raise OSError(f"{r['file']} isn't the file that the manifest names: {e}") from e
                         if headers["WARC-Type"] == "warcinfo":
                             continue
                         http, _, payload = block.partition(b"\r\n\r\n")
