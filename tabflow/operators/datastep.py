@@ -146,7 +146,7 @@ def flags(rel: Relation, by: Sequence[str], wanted: set[str]) -> tuple[DataFrame
     df, made = rel.df, {}
     keys = [rel.resolve(k) for k in by]
     for i, k in enumerate(keys):
-        window = Window.partitionBy(*[rel.col(x) for x in keys[: i + 1]]).orderBy(*rel.order_columns())
+        window = Window.partitionBy(*[rel.col(x) for x in keys[: i + 1]]).orderBy(*rel.order_columns(keys[: i + 1]))
         for word, value in (("first", F.row_number().over(window) == 1), ("last", F.lead(F.lit(1)).over(window).isNull())):
             name = f"{word}.{by[i].lower()}"
             if name in wanted:
@@ -341,8 +341,9 @@ def solve(rel: Relation, env: dict[str, Typed], step: Step, active: list[str], f
         return None
     df = trial.df
     depth = max((reset_depth(step, r) for r in active), default=0) if all(reset_depth(step, r) for r in active) else 0
-    keys = [rel.col(rel.resolve(k)) for k in step.by[:depth]]
-    order = rel.order_columns()
+    names = [rel.resolve(k) for k in step.by[:depth]]
+    keys = [rel.col(n) for n in names]
+    order = rel.order_columns(names)
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     previous = {}
     for r in active:

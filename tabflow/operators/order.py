@@ -21,7 +21,7 @@ def sort(rel: Relation, by: Iterable[str], nodupkey: bool = False, line: int | N
     unique = rel.unique
     if nodupkey:
         rank = hidden_name("n")
-        window = Window.partitionBy(*[rel.col(k) for k in keys]).orderBy(*rel.order_columns())
+        window = Window.partitionBy(*[rel.col(k) for k in keys]).orderBy(*rel.order_columns(keys))
         df = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) == 1).drop(rank)
         unique = unique | {frozenset(keys)}
     return rel.with_columns(df, rel.columns, order=order, unique=unique)

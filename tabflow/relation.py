@@ -92,8 +92,10 @@ class Relation:
         """The visible columns, rows physically in order."""
         return self.df.orderBy(*self.order_columns()).select(*[self.col(c) for c in self.columns]) if self.order else self.visible()
 
-    def order_columns(self) -> list[Column]:
-        return [F.col(f"`{c}`").asc_nulls_first() for c in self.order]
+    def order_columns(self, within: Iterable[str] = ()) -> list[Column]:
+        """The order's columns; within groups of equal ``within``, those that still tell rows apart."""
+        fixed = set(within)
+        return [F.col(f"`{c}`").asc_nulls_first() for c in self.order if c not in fixed] or [F.col(f"`{c}`").asc_nulls_first() for c in self.order]
 
     def protected(self, names: Iterable[str]) -> Relation:
         """The same relation, in which ``names`` may change: order columns among them are copied first."""
