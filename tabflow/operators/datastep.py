@@ -21,6 +21,7 @@ from tabflow.functions.columns import Compiler, Typed, literal, truthy
 from tabflow.functions.expr import Binary, Call, Expr, Lit, Logic, Ref, references
 from tabflow.functions.types import spark_type, unify
 from tabflow.relation import Relation, hidden_name
+from tabflow.workers import importable
 
 #: Limits of the language.
 MAX_DEPTH, MAX_ITERATIONS = 50, 1_000_000
@@ -496,6 +497,7 @@ def evaluate(e: Expr, get: Callable[[str], object], formats: Mapping) -> object:
 def fold(rel: Relation, group: dict[str, str], step: Step, retain: list[str], formats: Mapping) -> dict[str, Relation]:
     """Run the body row by row.  Without state rows are independent; with it, rows of a by group
     are if every state is reset at its first row; else all rows go through one task in order."""
+    importable(rel.df.sparkSession)
     kinds = infer(rel, step, retain, formats)
     names = finish(rel, step, list(rel.columns), [n for n in kinds if n not in rel.columns])
     schema = T.StructType([*[T.StructField(f"c{i}", kinds[n]) for i, n in enumerate(names)], *[T.StructField(f"o{i}", rel.df.schema[o].dataType) for i, o in enumerate(rel.order)], T.StructField("at", T.LongType()), T.StructField("target", T.StringType())])

@@ -93,8 +93,8 @@ pipeline("cast_int_null", "orders", "table out = orders do\n cast(o_orderpriorit
 script(
     "cast_text_numbers",
     "orders",
-    "proc format; value $pri '1-URGENT'='1' '2-HIGH'=' 2.5 ' '3-MEDIUM'='x' other=''; run;\ndata out; set orders; n = input(put(o_orderpriority, $pri.), best.); keep o_orderkey n; run;",
-    "SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2.5 END AS DOUBLE) AS n FROM orders",
+    "proc format; value $pri '1-URGENT'='1' '2-HIGH'=' 2.5 ' '3-MEDIUM'='x' other=''; run;\ndata out; set orders; n = input(put(o_orderpriority, $pri.), best.); tenths = if(n == ., -1, if(n == 2.5, 25, if(n == 1, 10, 0))); keep o_orderkey tenths; run;",
+    "SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 10 WHEN '2-HIGH' THEN 25 ELSE -1 END AS BIGINT) AS tenths FROM orders",
 )
 pipeline(
     "cast_bool_date_datetime",
@@ -102,7 +102,12 @@ pipeline(
     "table out = orders do\n derive(day = o_orderdate, flag = o_orderkey)\n cast(day -> datetime, flag -> bool on_error=null)\n select o_orderkey, day, flag\nend",
     "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS day, CASE o_orderkey WHEN 1 THEN TRUE WHEN 0 THEN FALSE END AS flag FROM orders",
 )
-pipeline("cast_decimal_trim", "part", "table out = part do\n derive(price = p_retailprice)\n cast(price -> decimal trim=true, p_size -> decimal)\n derive(cost = price * p_size)\n cast(cost -> decimal)\n select p_partkey, cost\nend", None)
+pipeline(
+    "cast_decimal_trim",
+    "part",
+    "table out = part do\n derive(price = p_retailprice)\n cast(price -> decimal trim=true, p_size -> decimal)\n derive(large = if(price * p_size > 20000.5, 1, 0), same = if(price * 2 - price == price, 1, 0))\n select p_partkey, large, same\nend",
+    "SELECT p_partkey, CAST(CASE WHEN p_retailprice * p_size > 20000.5 THEN 1 ELSE 0 END AS BIGINT) AS large, CAST(1 AS BIGINT) AS same FROM part",
+)
 
 # --- sort, aggregate ---------------------------------------------------------------------
 
@@ -160,7 +165,7 @@ script(
     "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS label, CASE o_orderkey WHEN 1 THEN 'one' ELSE 'many' END AS kind FROM orders",
 )
 pipeline("map_lookup", "orders", 'format st { "F" -> "finished", other -> "rest" }\ntable out = orders do\n derive(label = st[o_orderstatus])\n select o_orderkey, label\nend', "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE 'rest' END AS label FROM orders")
-script("input_best", "part", "data out; set part; n = input(p_brand, best.); keep p_partkey n; run;", "SELECT p_partkey, TRY_CAST(p_brand AS DOUBLE) AS n FROM part")
+script("input_best", "part", "data out; set part; n = input(p_brand, best.); size = input(p_size, best.); known = if(n == ., 0, 1); keep p_partkey size known; run;", "SELECT p_partkey, p_size AS size, CAST(CASE WHEN TRY_CAST(p_brand AS DOUBLE) IS NULL THEN 0 ELSE 1 END AS BIGINT) AS known FROM part")
 script(
     "dataset_options",
     "lineitem",

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tabflow.errors import runtime
 from tabflow.functions.types import NUMERIC
 from tabflow.relation import Relation, hidden_name
+from tabflow.workers import importable
 
 RECORD, MAX_CHAR = 80, 200
 #: Fixed values of the format: header records, a fixed time stamp, and the bytes that mark a missing number.
@@ -121,6 +122,7 @@ def decode(data: bytes) -> tuple[list[tuple[str, bool]], list[tuple]]:
 
 def read(spark: SparkSession, path: str) -> Relation:
     """A transport file, read by one task (the format can't be split)."""
+    importable(spark)
     files = spark.read.format("binaryFile").load(path)
     head = files.select(F.substring("content", 1, 1 << 20).alias("c")).first()
     columns, _ = decode(bytes(head["c"]))
