@@ -26,6 +26,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabflow.workers import importable
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: What separates words: ASCII white space.
@@ -50,6 +52,7 @@ def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
 
     This lowers a session setting, which stays: plans are lazy and read it when they run.
     """
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = int(spark.conf.get(key))
     if before <= 0 or before > rows:
