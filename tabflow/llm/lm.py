@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import bounded_batches, by_volume, lower_bytes, materialise, mix64, span_hashes, text_bytes, word_spans
+from tabflow.llm.common import bounded_batches, by_volume, lower_bytes, materialise, mix64, span_hashes, text_bytes, tidy, word_spans
 from tabflow.llm.langid import held_out
 
 #: Contexts: the last 1 to 5 bytes, and as the sixth the word so far, as far as it lies in these.
@@ -81,14 +81,12 @@ def read_batch(texts: list[str | None]) -> Batch:
     stream[np.arange(len(taken)) + shift] = taken
     stream[places[1:] - 1] = END_BYTE
     grams = stream.astype(np.uint64)
+    wide = grams.copy()
     for k in range(1, REACH + 1):
-        before = np.zeros(len(stream), np.uint64)
-        before[k:] = stream[:-k]
-        # what stands before the text counts as zero
-        for j in range(k):
-            at = places[:-1] + j
-            before[at[at < places[1:]]] = 0
-        grams |= before << np.uint64(8 * k)
+        grams[k:] |= wide[:-k] << np.uint64(8 * k)
+    for j in range(REACH):  # what stands before the text counts as zero
+        at = places[:-1] + j
+        grams[at[at < places[1:]]] &= np.uint64((1 << (8 * (j + 1))) - 1)
     return Batch(hashes, words, grams, places)
 
 
@@ -137,7 +135,7 @@ class GramCounter:
         if free.any():
             self.keys[cells[free]] = grams[free]
         hit = self.keys[cells] == grams
-        np.add.at(self.counts, cells[hit], 1)
+        self.counts += np.bincount(cells[hit], minlength=len(self.counts)).astype(np.int32)
         return np.unique(grams[~hit], return_counts=True)
 
     def found(self) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +147,7 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["kind", "key", "n"])
 
 
+@tidy
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, key, n): kind 0 token hashes, counted by batch; kind 1 grams, counted by task."""
     counter = GramCounter()
@@ -164,6 +163,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 NODES = "chunk int, slots binary, n0 binary, n1 binary"
 
 
+@tidy
 def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bit counts of all contexts from gram counts, a row for each chunk of slots: places in the chunk, zeros, ones."""
 
@@ -185,11 +185,13 @@ def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(cols, names=["chunk", "slots", "n0", "n1"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
         held.append((np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("n")).astype(np.float64)))
-        if sum(len(h[0]) for h in held) >= 1 << 19:
+        size += batch.num_rows
+        if size >= 1 << 19:
             yield from nodes(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            held = []
+            held, size = [], 0
     if held:
         yield from nodes(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
@@ -325,15 +327,15 @@ def train(docs: DataFrame, training: Column) -> tuple[Model, DataFrame, int, int
     """The model, the token counts (h, n), their sum and their number, all from the rows where ``training`` holds.
 
     Tokens and grams are counted over all training texts: by batch or task first, then by
-    key.  Grams with the same two last context bytes meet in a partition and become bit
-    counts of the hashed contexts there; the table of these has a fixed size.
+    key.  Grams with the same three last context bytes meet in a partition, so that most of
+    their bit counts are summed there, and the rest by slot; the table has a fixed size.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(training).select(text_column(docs).alias("text"))
     counted = materialise(rows.mapInArrow(_count_batches, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts")
     tokens = counted.where("kind = 0").select(F.col("key").alias("h"), "n")
     total, distinct = tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
-    meet = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    meet = F.shiftright("key", 8).bitwiseAND(0xFFFFFF)
     nodes = counted.where("kind = 1").select("key", "n").repartition(meet).mapInArrow(_node_batches, NODES)
     chunks = nodes.groupBy("chunk").applyInArrow(_add_nodes, "chunk int, n0 binary, n1 binary").collect()
     counts = np.zeros((2, int(_OFFSETS[-1])), np.uint8)
@@ -367,6 +369,7 @@ def score(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((model, known))
     divisor = float(total + distinct + 1)
 
+    @tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (keys, counts) = shared.value
         memo = Memo(model)
@@ -394,7 +397,7 @@ def score(docs: DataFrame) -> DataFrame:
                         pa.array(np.add.reduceat(logs, firsts)),
                         pa.array(text_score),
                         pa.array(rest, pa.list_(pa.int64())),
-                        pa.array(np.diff(b.places) , pa.int64()),
+                        pa.array(np.diff(b.places), pa.int64()),
                     ],
                     names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "n_bytes"],
                 )
