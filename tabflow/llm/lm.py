@@ -37,6 +37,7 @@ END_BYTE = 0
 KNOTS = 33
 #: Slots are gathered in chunks, and their counts kept in a byte each: eighths of the binary logarithm.
 CHUNK_BITS = 16
+LOTS = 64
 _COUNT = 2.0 ** (np.arange(256) / 8) - 1
 
 
@@ -196,15 +197,28 @@ def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from nodes(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
 
-def _add_nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The summed counts of a chunk, a byte each."""
-    size = 1 << CHUNK_BITS
+def _chunk_sums(table: pa.Table) -> list[np.ndarray]:
+    """Zeros and ones of all slots of a chunk."""
     sums = []
     for name in ("n0", "n1"):
-        total = np.zeros(size)
+        total = np.zeros(1 << CHUNK_BITS)
         for at, n in zip(table.column("slots").to_pylist(), table.column(name).to_pylist(), strict=True):
             total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.float32)
-        sums.append(np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8).tobytes())
+        sums.append(total)
+    return sums
+
+
+def _merge_nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One row for the rows of a chunk from a lot of partitions."""
+    n0, n1 = _chunk_sums(table)
+    at = np.flatnonzero(n0 + n1)
+    cols = [at.astype(np.uint16), n0[at].astype(np.float32), n1[at].astype(np.float32)]
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32())} | {n: pa.array([c.tobytes()], pa.binary()) for n, c in zip(("slots", "n0", "n1"), cols, strict=True)})
+
+
+def _add_nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The summed counts of a chunk, a byte each."""
+    sums = [np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8).tobytes() for total in _chunk_sums(table)]
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n0": pa.array([sums[0]], pa.binary()), "n1": pa.array([sums[1]], pa.binary())})
 
 
@@ -337,7 +351,9 @@ def train(docs: DataFrame, training: Column) -> tuple[Model, DataFrame, int, int
     total, distinct = tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
     meet = F.shiftright("key", 8).bitwiseAND(0xFFFFFF)
     nodes = counted.where("kind = 1").select("key", "n").repartition(meet).mapInArrow(_node_batches, NODES)
-    chunks = nodes.groupBy("chunk").applyInArrow(_add_nodes, "chunk int, n0 binary, n1 binary").collect()
+    # short contexts occur in all partitions: their chunks are summed by lots of partitions first
+    lots = nodes.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(LOTS))).groupBy("chunk", "lot").applyInArrow(_merge_nodes, NODES)
+    chunks = lots.groupBy("chunk").applyInArrow(_add_nodes, "chunk int, n0 binary, n1 binary").collect()
     counts = np.zeros((2, int(_OFFSETS[-1])), np.uint8)
     for c in chunks:
         at = slice(c["chunk"] << CHUNK_BITS, (c["chunk"] + 1) << CHUNK_BITS)
