@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return minhash.kept_documents(docs)
+    """Of each group of near copies (similarity 0.8 and more) the document with the smallest id stays."""
+    return minhash.kept_documents(docs, minhash.LOOSE_PER_HUNDRED, minhash.LOOSE_BANDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

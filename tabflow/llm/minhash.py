@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from tabflow.llm.common import bounded_batches, by_volume, keyed, lower_bytes, materialise, mix64, scratch, span_hashes, tested, text_bytes, tidy, without, word_spans
 
 SHINGLE = 5
-#: Links: PER_HUNDRED percent of the union at least.
+#: Links: PER_HUNDRED percent of the union at least, unless a caller says otherwise.
 PER_HUNDRED = 85
 #: 16 bands of 4 coordinates: a pair at the threshold shares no band with probability 7e-6, at 0.9 with 3e-8.
 BANDS, ROWS = 16, 4
+#: For links at 80 percent: a pair at 0.8 shares none of 24 bands with probability 3e-6.
+LOOSE_PER_HUNDRED, LOOSE_BANDS = 80, 24
 #: Buckets of the frequency sketch that orders shingles (it bears on speed alone).
 SKETCH_BITS = 20
 BATCH_CHARS = 1 << 18
@@ -85,13 +87,12 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
-@tidy
-def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign_batches(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for part in by_volume(texts, BATCH_CHARS):
             sets = shingle_sets(texts[part])
-            keys = signatures(sets)
+            keys = signatures(sets, bands)
             rows = batch.slice(part.start, part.stop - part.start)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -107,13 +108,13 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """rid, doc_id, set size, 128-bit set name, band keys and the full set of each document; written once."""
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
     schema = f"rid long, doc_id {kind}, n long, f1 long, f2 long, bands array<long>, shingles binary"
-    return materialise(rows.mapInArrow(_sign_batches, schema), "minhash")
+    return materialise(rows.mapInArrow(tidy(lambda batches: _sign_batches(batches, bands)), schema), "minhash")
 
 
 def members_only(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -121,8 +122,7 @@ def members_only(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return tested(sets.select("gid", "n", "shingles"), ids, "gid").where("__tf_maybe").drop("__tf_maybe")
 
 
-@tidy
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_batches(batches: Iterator[pa.RecordBatch], per_hundred: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
         keep = np.zeros(len(a), bool)
@@ -132,18 +132,18 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 x, y = y, x
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             both = int(np.count_nonzero(y[at] == x))
-            keep[i] = 100 * both >= PER_HUNDRED * (len(x) + len(y) - both)
+            keep[i] = 100 * both >= per_hundred * (len(x) + len(y) - both)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, per_hundred: int = PER_HUNDRED) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.  Only sets that are in a pair are moved."""
     sets = members_only(sets, pairs.select(F.explode(F.array("a", "b")).alias("gid")))
     left = sets.select(F.col("gid").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
     right = sets.select(F.col("gid").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
-    sized = (100 * F.least("na", "nb")) >= (PER_HUNDRED * F.greatest("na", "nb"))
+    sized = (100 * F.least("na", "nb")) >= (per_hundred * F.greatest("na", "nb"))
     held = pairs.join(left, "a").join(right, "b").where(sized).select("a", "b", "sa", "sb")
-    return held.mapInArrow(_verify_batches, "a long, b long")
+    return held.mapInArrow(tidy(lambda batches: _verify_batches(batches, per_hundred)), "a long, b long")
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -193,17 +193,17 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1 << SKETCH_BITS, np.uint32)
 
 
-def _overlap(n: Column, m: Column) -> Column:
+def _overlap(n: Column, m: Column, per_hundred: int) -> Column:
     """The least number of common shingles of linked sets of these sizes."""
-    return F.ceil(PER_HUNDRED * (n + m) / (100.0 + PER_HUNDRED) - 1e-9)
+    return F.ceil(per_hundred * (n + m) / (100.0 + per_hundred) - 1e-9)
 
 
-def prefix_candidates(sets: DataFrame) -> DataFrame:
+def prefix_candidates(sets: DataFrame, per_hundred: int = PER_HUNDRED) -> DataFrame:
     """Pairs (a, b) of sets (gid, comp, n, shingles) of different components that may be linked; no linked pair is lost.
 
     In an order of shingles from rare to frequent, linked sets share one among the first few
-    of each: with sizes n >= m the larger need show n - ceil(0.85 n) + 1 shingles, the
-    smaller m - ceil(170 m / 185) + 1.  What follows the shared one must suffice for the
+    of each: with sizes n >= m and a threshold t the larger need show n - ceil(t n) + 1
+    shingles, the smaller m - ceil(2 t m / (1 + t)) + 1.  What follows the shared one must suffice for the
     overlap, which drops copies that differ in too many places although all share the rest.
     """
     sketch = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets))
@@ -215,7 +215,7 @@ def prefix_candidates(sets: DataFrame) -> DataFrame:
             for gid, comp, s in zip(batch.column("gid").to_pylist(), batch.column("comp").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 values = np.frombuffer(s, np.uint64)
                 n = len(values)
-                show = n - -(-PER_HUNDRED * n // 100) + 1
+                show = n - -(-per_hundred * n // 100) + 1
                 frequency = sketch.value[values >> np.uint64(64 - SKETCH_BITS)]
                 order = np.lexsort((values, frequency))[:show]
                 for c, x in zip(cols, (np.full(show, gid), np.full(show, comp), np.full(show, n), _signed(values[order]), np.arange(show)), strict=True):
@@ -224,15 +224,15 @@ def prefix_candidates(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["gid", "comp", "n", "shingle", "pos"])
 
     shown = materialise(sets.select("gid", "comp", "shingles").mapInArrow(prefixes, "gid long, comp long, n long, shingle long, pos long"), "prefixes")
-    larger, smaller = shown.alias("x"), shown.where(F.col("pos") <= F.col("n") - _overlap(F.col("n"), F.col("n"))).alias("y")
+    larger, smaller = shown.alias("x"), shown.where(F.col("pos") <= F.col("n") - _overlap(F.col("n"), F.col("n"), per_hundred)).alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     rest = F.least(x("n") - x("pos"), y("n") - y("pos"))
     on = (x("shingle") == y("shingle")) & (x("comp") != y("comp")) & ((x("n") > y("n")) | ((x("n") == y("n")) & (x("gid") > y("gid"))))
-    on = on & (100 * y("n") >= PER_HUNDRED * x("n")) & (rest >= _overlap(x("n"), y("n")))
+    on = on & (100 * y("n") >= per_hundred * x("n")) & (rest >= _overlap(x("n"), y("n"), per_hundred))
     return larger.join(smaller, on).select(x("gid").alias("a"), y("gid").alias("b")).distinct()
 
 
-def links(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(table: DataFrame, per_hundred: int = PER_HUNDRED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of signed documents: the distinct sets (gid, f1, f2, n), and the links between them as stars and as found pairs.
 
     Equal sets are one node.  In each bucket of a band every node is held against the
@@ -249,24 +249,27 @@ def links(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hubs = buckets.join(central, "gid").groupBy("band", "key").agg(F.max(F.struct("central", -F.col("gid"))).alias("h")).select("band", "key", (-F.col("h")["col2"]).alias("hub"))
     pairs = materialise(buckets.join(hubs, ["band", "key"]).where("gid != hub").select(F.col("gid").alias("a"), F.col("hub").alias("b")).distinct(), "star_pairs")
     sets = full.select(F.col("rid").alias("gid"), "n", "shingles")
-    stars = materialise(verified(pairs, sets), "stars")
+    stars = materialise(verified(pairs, sets, per_hundred), "stars")
     comps = connected_components(stars, "star_components")
     placed = buckets.join(comps.withColumnRenamed("node", "gid"), "gid", "left").select("band", "key", "gid", F.coalesce("comp", "gid").alias("comp"))
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "key")
     open_ = materialise(placed.join(mixed, ["band", "key"], "left_semi").select("gid", "comp").distinct(), "open")
-    near = materialise(prefix_candidates(members_only(sets, open_).join(open_, "gid")), "candidates")
-    more = verified(near, sets)
+    near = materialise(prefix_candidates(members_only(sets, open_).join(open_, "gid"), per_hundred), "candidates")
+    more = verified(near, sets, per_hundred)
     return nodes, stars, materialise(more, "pairs")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, per_hundred: int = PER_HUNDRED, bands: int = BANDS) -> DataFrame:
     """Per document: set size, smallest doc_id that it reaches by links, and whether that is its own.
 
+    Documents are linked from ``per_hundred`` percent of the union of their shingles on;
+    a lower threshold needs more ``bands``.
+
     Texts without words (null, empty, blank) are linked with nothing.  Repeated rows share a
     component.  A null doc_id is the smallest only where its component has no other.
     """
-    table = signed(docs)
-    nodes, stars, more = links(table)
+    table = signed(docs, bands)
+    nodes, stars, more = links(table, per_hundred)
     comps = connected_components(stars.unionByName(more))
     placed = nodes.join(comps.withColumnRenamed("node", "gid"), "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     least = placed.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
@@ -277,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, per_hundred: int = PER_HUNDRED, bands: int = BANDS) -> DataFrame:
     """One document of each group, a row of its smallest doc_id; all columns are kept.
 
     Rows are compared by doc_id first (null last) and by their own name then, so that of
@@ -287,6 +290,6 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     whole = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
     ordered = named.withColumn("__tf_key", F.concat(F.coalesce(whole, F.lit("~")), F.lit(":"), F.col("__tf_key")))
     with scratch(docs.sparkSession):
-        found = near_duplicates(ordered.select(F.col("__tf_key").alias("doc_id"), "text"))
+        found = near_duplicates(ordered.select(F.col("__tf_key").alias("doc_id"), "text"), per_hundred, bands)
         dropped = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("__tf_key")), "dropped", keep=True)
     return without(ordered, dropped, "__tf_key").select(*docs.columns)
