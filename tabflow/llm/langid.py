@@ -24,9 +24,8 @@ FAMILIES = {
     "turkic": "tr az kk uz",
     "sinitic": "zh yue",
 }
-#: The classifiers are fit on at most so many labelled rows in all, and a language.
+#: The classifiers are fit on at most so many labelled rows in all (but one a language at least), and a language.
 SAMPLE_ROWS, SAMPLE_PER_LANG = 3000, 400
-MAX_LANGS = 200
 #: Hash bins of the letter trigrams.
 BIN_BITS = 12
 BATCH_CHARS = 1 << 20
@@ -162,14 +161,19 @@ def fit(x: np.ndarray, labels: list[str], families: dict[str, str] | None = None
 
 @tidy
 def _bin_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bins of each (lang, h) that the task meets, once."""
+    seen: set[tuple[str, int]] = set()
     for batch in batches:
+        keys = list(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist(), strict=True))
+        new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+        batch = batch.take(pa.array(new, pa.int64()))
         texts = batch.column("text").to_pylist()
         for part in by_volume(texts, BATCH_CHARS):
             bins, first = trigram_bins(texts[part])
             found = [np.unique(bins[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
-            langs = batch.column("lang").slice(part.start, part.stop - part.start)
+            own = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("lang", "h")]
             packed = [pa.array([f[k].astype(np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([langs, *packed], names=["lang", "bins", "counts"])
+            yield pa.RecordBatch.from_arrays([*own, *packed], names=["lang", "h", "bins", "counts"])
 
 
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
@@ -177,20 +181,26 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 
 
 def learn(docs: DataFrame) -> Model:
-    """Fit on a bounded sample: of each of at most MAX_LANGS languages, the rows whose id has the smallest hashes."""
+    """Fit on a bounded sample of every language: the rows whose id and text have the smallest hashes.
+
+    Rows with equal id and text are drawn as one, so neither a frequent id nor a null one
+    takes more than its texts' share, and the sample follows from the rows alone.
+    """
     bounded_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    per = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, len(counts))))
-    drawn = F.xxhash64(F.col("doc_id"))
-    # twice the rows wanted pass by their hash, so that no window sees a language's rows all
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * per / r["count"])) for r in counts], "lang string, share double")
-    ids = known.select("lang", drawn.alias("h")).join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("share") * (1 << 31))
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labelled.select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("h"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not counts:
+        return fit(np.zeros((0, 1 << BIN_BITS), np.float32), [])
+    per = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(counts)))
+    # more than the rows wanted pass by their hash, so that no window sees a language's rows all
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * per + 20) / r["n"])) for r in counts], "lang string, share double")
+    ids = known.select("lang", "h").join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("share") * (1 << 31))
     order = Window.partitionBy("lang").orderBy("h")
-    picked = ids.select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).select("lang", "h").distinct()
-    picked = F.broadcast(picked)  # at most SAMPLE_ROWS rows
-    rows = known.select("lang", F.col("text").cast("string").alias("text"), drawn.alias("h")).join(picked, ["lang", "h"], "left_semi").drop("h")
-    sample = rows.mapInArrow(_bin_batches, "lang string, bins binary, counts binary").limit(2 * SAMPLE_ROWS).collect()
+    picked = ids.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).select("lang", "h")
+    rows = known.join(F.broadcast(picked), ["lang", "h"], "left_semi")  # picked: at most SAMPLE_ROWS rows
+    binned = rows.select("lang", "text", "h").mapInArrow(_bin_batches, "lang string, h long, bins binary, counts binary")
+    sample = binned.dropDuplicates(["lang", "h"]).drop("h").collect()
     sample = sorted((r for r in sample if r["bins"]), key=lambda r: (r["lang"], r["bins"], r["counts"]))
     x = np.zeros((len(sample), 1 << BIN_BITS), np.float32)
     for i, r in enumerate(sample):
