@@ -16,7 +16,7 @@ from tabflow.llm.common import _powers, bounded_batches, by_volume, mix64, text_
 
 #: Phrases are named over LEVELS rounds of parsing, which makes them about 15 bytes long.
 LEVELS = 3
-#: Names that a fingerprint keeps: the SKETCH smallest, 8 hex digits each.
+#: Names of a sketch for callers that bound its size (``keep``); fingerprints hold all names, 8 hex digits each.
 SKETCH = 64
 BATCH_CHARS = 1 << 20
 DOCS_A_PARTITION = 4096
@@ -78,8 +78,8 @@ def _level(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names, np.searchsorted(at, first)
 
 
-def fingerprints(texts: list[str | None], levels: int = LEVELS, keep: int = SKETCH) -> list[np.ndarray]:
-    """The ``keep`` smallest 32-bit phrase names of the last level of each text, ascending; none for an empty text."""
+def fingerprints(texts: list[str | None], levels: int = LEVELS, keep: int | None = None) -> list[np.ndarray]:
+    """All distinct 32-bit phrase names of the last level of each text, or the ``keep`` smallest, ascending; none for an empty text."""
     data, offsets = text_bytes(texts)
     full = np.flatnonzero(np.diff(offsets))
     out = [np.zeros(0, np.uint32)] * len(texts)
@@ -94,8 +94,8 @@ def fingerprints(texts: list[str | None], levels: int = LEVELS, keep: int = SKET
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray, keep: int = SKETCH) -> float:
-    """The share of the ``keep`` smallest names of both together that both have; 1 for two empty fingerprints."""
+def likeness(a: np.ndarray, b: np.ndarray, keep: int | None = None) -> float:
+    """The share of the names of both together, or of the ``keep`` smallest, that both have; 1 for two empty fingerprints."""
     both = np.union1d(a, b)[:keep]
     return float(np.count_nonzero(np.isin(both, a) & np.isin(both, b)) / len(both)) if len(both) else 1.0
 
