@@ -48,9 +48,10 @@ END_STOPS = frozenset("table td th caption template html".split())
 #: A cell wider than this doesn't set its column's width: one long cell mustn't pad all rows.
 MAX_COLUMN = 60
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\Z)|</[^a-zA-Z][^>]*>|</?[a-zA-Z].*\Z", re.S)
+#: In a tag a quote opens a value right after "=" only; others are ordinary characters.
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+)*+(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([^\s/>]+)")
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"(?:([a-z][\w-]*)|\*)?((?:[.#][\w-]+)*)", re.I)
