@@ -25,9 +25,10 @@ END = 50256
 ROW = 2048
 #: UTF-8 bytes of text that a packing shard holds, about; shards are packed each by itself.
 SHARD_BYTES = 8 << 20
-#: Longer runs without a space (or of spaces) are encoded in slices: merging costs more than linear time in a run.
+#: Runs of white space from this length on are found here: the tokenizer's search for pieces fails on very long ones.
 RUN = 2000
-_RUNS = re.compile(rf"\S{{{RUN},}}|\s{{{RUN},}}")
+#: White space as the tokenizer's pattern has it.
+_RUNS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN},}}")
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -43,12 +44,20 @@ def encoding(path: str):
 
 
 def encode(text: str, path: str = TOKENIZER) -> np.ndarray:
-    """The ids of the whole text; decoding them gives its bytes back."""
+    """The tokenizer's ids of the whole text; decoding them gives its bytes back.
+
+    A run of white space begins a piece; the piece ends with the run at the end of the text,
+    else before the run's last character, which may belong to the word that follows.
+    """
     e = encoding(path)
-    if len(text) > RUN and _RUNS.search(text):
-        parts = [e.encode_ordinary(text[i : i + RUN]) for i in range(0, len(text), RUN)]
-        return np.array([t for p in parts for t in p], np.uint32)
-    return np.array(e.encode_ordinary(text), np.uint32)
+    ids: list[int] = []
+    done = 0
+    for run in _RUNS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += e.encode_ordinary(text[done : run.start()])
+        ids += e._encode_single_piece(text[run.start() : end])
+        done = end
+    return np.array(ids + e.encode_ordinary(text[done:]), np.uint32)
 
 
 class CapacityTree:
