@@ -190,6 +190,8 @@ class Compiler:
             return Typed(other.cast("string"), "string")
         pairs = [F.lit(v) for kv in found["map"].items() for v in kv]
         key = x.col.cast("string")
+        if x.type == "decimal":  # as text without trailing zeros
+            key = F.when(F.contains(key, F.lit(".")), F.rtrim(F.rtrim(key, F.lit("0")), F.lit("."))).otherwise(key)
         return Typed(F.when(key.isNull(), other).otherwise(F.coalesce(F.try_element_at(F.create_map(*pairs), key), other)), "string")
 
     def number(self, x: Typed, informat: str) -> Typed:

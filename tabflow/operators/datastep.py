@@ -9,17 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.errors import Refusal, invalid, runtime
+from tabflow.errors import Refusal, invalid
 from tabflow.functions.columns import Compiler, Typed, literal, truthy
-from tabflow.functions.expr import Binary, Call, Expr, Lit, Logic, Ref, references
+from tabflow.functions.expr import Binary, Expr, Lit, Ref, references
 from tabflow.functions.types import spark_type, unify
+from tabflow.operators.fold import RowCompiler, Runner
 from tabflow.relation import Relation, hidden_name
 from tabflow.workers import importable
 
@@ -452,123 +451,34 @@ def emit(rel: Relation, run: Symbolic, step: Step, columns: list[str], retain: l
 
 
 def evaluate(e: Expr, get: Callable[[str], object], formats: Mapping) -> object:
-    """One expression over one row of Python values, with the same meaning as the columns."""
-    if isinstance(e, Lit):
-        return e.value
-    if isinstance(e, Ref):
-        return get(e.name)
-    if isinstance(e, Logic):
-        if e.op == "not":
-            return not evaluate(e.args[0], get, formats)
-        return (all if e.op == "and" else any)(bool(evaluate(a, get, formats)) for a in e.args)
-    if isinstance(e, Call):
-        if e.name == "coalesce":
-            return next((v for v in (evaluate(a, get, formats) for a in e.args) if v is not None), None)
-        if e.name == "if":
-            return evaluate(e.args[1] if evaluate(e.args[0], get, formats) else e.args[2], get, formats)
-        if e.name == "put":
-            name = e.args[1].value
-            found = formats.get(name) or formats.get(name.removeprefix("$"))
-            if found is None:
-                raise runtime("FORMAT_UNDEFINED", f"no format {name!r}")
-            return found["map"].get(str(evaluate(e.args[0], get, formats)), found.get("other"))
-        value = evaluate(e.args[0], get, formats)
-        try:
-            return Decimal(value.strip()) if isinstance(value, str) else value
-        except ArithmeticError:
-            return None
-    a, b = evaluate(e.left, get, formats), evaluate(e.right, get, formats)
-    if e.op in ("==", "!="):
-        return (a == b) == (e.op == "==")
-    if e.op in ("<", "<=", ">", ">="):
-        if e.op in (">", ">="):
-            a, b = b, a
-        strict = e.op in ("<", ">")
-        if a is None:
-            return b is not None or not strict
-        return b is not None and (a < b if strict else a <= b)
-    if a is None or b is None:
-        return None
-    if isinstance(a, float) or isinstance(b, float):
-        a, b = float(a), float(b)
-    return a + b if e.op == "+" else a - b if e.op == "-" else a * b if e.op == "*" else a / b
+    """One expression over named Python values, with the same meaning as the columns."""
+    from tabflow.functions.columns import literal
+
+    names = {r: get(r) for r in references(e)}
+    return RowCompiler({n: literal(v).type for n, v in names.items()}, formats)(e)[0]({n.lower(): v for n, v in names.items()})
 
 
 def fold(rel: Relation, group: dict[str, str], step: Step, retain: list[str], formats: Mapping) -> dict[str, Relation]:
     """Run the body row by row.  Without state rows are independent; with it, rows of a by group
     are if every state is reset at its first row; else all rows go through one task in order."""
     importable(rel.df.sparkSession)
-    kinds = infer(rel, step, retain, formats)
+    kinds, words = infer(rel, step, retain, formats)
     names = finish(rel, step, list(rel.columns), [n for n in kinds if n not in rel.columns])
     schema = T.StructType([*[T.StructField(f"c{i}", kinds[n]) for i, n in enumerate(names)], *[T.StructField(f"o{i}", rel.df.schema[o].dataType) for i, o in enumerate(rel.order)], T.StructField("at", T.LongType()), T.StructField("target", T.StringType())])
     explicit = any(isinstance(s, Output) for s in statements(step.body))
-    body, columns, order = tuple(step.body), list(rel.columns), list(rel.order)
-
-    def rows(pdf: pd.DataFrame, state: dict[str, object]) -> pd.DataFrame:
-        out = []
-        records = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        for record in records:
-            env: dict[str, object] = {c: record[c] for c in columns} | {k: record[v] for k, v in group.items()} | {r: state.get(r) for r in retain}
-
-            def get(name: str, env: dict = env) -> object:
-                return env[name] if name in env else next((v for k, v in env.items() if k.lower() == name.lower()), None)
-
-            def put(name: str, value: object, env: dict = env) -> None:
-                env[next((k for k in env if k.lower() == name.lower()), name)] = value
-
-            def emit_row(target: str | None, env: dict = env, record: dict = record) -> None:
-                out.append([*[env.get(n) for n in names], *[record[o] for o in order], len(out), target])
-
-            def go(stmts: Sequence[Stmt]) -> bool:
-                for s in stmts:
-                    if isinstance(s, Assign):
-                        put(s.name, evaluate(s.value, get, formats))
-                    elif isinstance(s, Subset):
-                        if not evaluate(s.test, get, formats):
-                            return False
-                    elif isinstance(s, Output):
-                        emit_row(s.target)
-                    elif isinstance(s, Loop):
-                        for i in range(iterations(s)):
-                            put(s.name, s.first + i * s.step)
-                            if not go(s.body):
-                                return False
-                    else:
-                        case = next((b for e, b in s.cases if evaluate(e, get, formats)), s.otherwise)
-                        if case is None and s.required:
-                            raise RuntimeError("SELECT_MISMATCH: no when matches and there is no otherwise")
-                        if not go(case or ()):
-                            return False
-                return True
-
-            if go(body) and not explicit:
-                emit_row(None)
-            state.update({r: env[r] for r in retain})
-        made = pd.DataFrame(out, columns=schema.names, dtype=object)
-        for f in schema.fields:
-            if isinstance(f.dataType, T.LongType | T.IntegerType):
-                made[f.name] = made[f.name].astype("Int64")
-            elif isinstance(f.dataType, T.DoubleType):
-                made[f.name] = made[f.name].astype("Float64")
-            elif isinstance(f.dataType, T.DecimalType):
-                made[f.name] = made[f.name].map(lambda v: None if v is None else round(Decimal(str(v)), 18))
-        return made
-
+    columns, order = list(rel.columns), list(rel.order)
+    runner = Runner(step.body, words, formats, schema, columns, group, retain, names, order, explicit)
     needed = [*columns, *[o for o in order if o not in columns], *group.values()]
     df = rel.df.select(*[F.col(f"`{c}`") for c in needed])
     depth = min((reset_depth(step, r) for r in retain), default=0) if retain else 0
     if not retain:
-        df = df.mapInPandas(lambda it: (rows(p, {}) for p in it), schema)
-    elif depth:
-        keys = [rel.resolve(k) for k in step.by[:depth]]
-        df = df.groupBy(*[F.col(f"`{k}`") for k in keys]).applyInPandas(lambda p: rows(p.sort_values(order, na_position="first", kind="stable"), {}), schema)
+        df = df.mapInArrow(lambda it: runner.rows(it, {}), schema)
     else:
-        def sequential(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            state: dict[str, object] = {}
-            for p in it:
-                yield rows(p, state)
-
-        df = df.repartition(1).sortWithinPartitions(*rel.order_columns()).mapInPandas(sequential, schema)
+        # a group starts anew where its by keys change: its state is set there before it is read,
+        # so the rows of a partition pass one by one and no group is held whole
+        keys = [F.col(f"`{rel.resolve(k)}`") for k in step.by[:depth]]
+        df = df.repartition(*keys) if keys else df.repartition(1)
+        df = df.sortWithinPartitions(*[k.asc_nulls_first() for k in keys], *rel.order_columns()).mapInArrow(lambda it: runner.rows(it, {}), schema)
     new = {a.lower(): b for a, b in step.rename}
     final = [new.get(n.lower(), n) for n in names]
     fresh = [hidden_name("o") for _ in (*order, "at")]
@@ -579,8 +489,8 @@ def fold(rel: Relation, group: dict[str, str], step: Step, retain: list[str], fo
     return out
 
 
-def infer(rel: Relation, step: Step, retain: list[str], formats: Mapping) -> dict[str, T.DataType]:
-    """Types of all variables, to a fixed point over the body's assignments."""
+def infer(rel: Relation, step: Step, retain: list[str], formats: Mapping) -> tuple[dict[str, T.DataType], dict[str, str]]:
+    """Types of all variables, to a fixed point over the body's assignments: as Spark's and by name."""
     kinds: dict[str, str] = dict.fromkeys(retain, "null")
     known = {c: rel.typed(c) for c in rel.columns}
 
@@ -591,7 +501,7 @@ def infer(rel: Relation, step: Step, retain: list[str], formats: Mapping) -> dic
         kind = next((v for k, v in kinds.items() if k.lower() == name.lower()), "bool" if "." in name else "null")
         return Typed(F.lit(None).cast(spark_type(kind if kind != "unknown" else "string")), kind)
 
-    written = {next((c for c in rel.columns if c.lower() == s.name.lower()), s.name) for s in statements(step.body) if isinstance(s, Assign | Loop)}
+    written = list(dict.fromkeys(next((c for c in rel.columns if c.lower() == s.name.lower()), s.name) for s in statements(step.body) if isinstance(s, Assign | Loop)))
     for w in written:
         kinds.setdefault(w, known[w].type if w in known else "null")
     for _ in range(4):
@@ -599,5 +509,8 @@ def infer(rel: Relation, step: Step, retain: list[str], formats: Mapping) -> dic
             if isinstance(s, Assign | Loop):
                 name = next(k for k in kinds if k.lower() == s.name.lower())
                 kinds[name] = unify(kinds[name], Compiler(lookup, formats, line=s.line)(s.value).type if isinstance(s, Assign) else "int", s.line)
+    for e in expressions(step.body):  # tests must compile too
+        Compiler(lookup, formats, line=step.line)(e)
     found = {c: rel.df.schema[c].dataType for c in rel.columns}
-    return found | {n: spark_type("string" if k == "null" else k) for n, k in kinds.items()}
+    words = {c: known[c].type for c in rel.columns} | kinds
+    return found | {n: spark_type("string" if k == "null" else k) for n, k in kinds.items()}, words

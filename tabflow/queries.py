@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tabflow.relation import Relation
 from tabflow.session import run
 
+#: The event types of the test data.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -256,7 +259,7 @@ script(
     "transpose_last_wins",
     "events",
     "proc sort data=events out=s; by user_id event_id; run;\nproc transpose data=s out=out; by user_id; id event_type; var event_id; run;",
-    "PIVOT (SELECT user_id, event_type, event_id FROM events) ON event_type USING max(event_id) GROUP BY user_id",
+    "SELECT user_id, " + ", ".join(f"max(event_id) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id",
 )
 
 # --- everything together ------------------------------------------------------------------
@@ -283,7 +286,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xpt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write a table as a transport file and read it back; numbers come back as doubles."""
+    """Write a table as a transport file and read it back; numbers come back as doubles, names with 8 bytes."""
     import os
 
     from tabflow.sources import xpt
@@ -306,7 +309,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 QUERIES["csv_roundtrip"] = csv_roundtrip
 ORACLES["csv_roundtrip"] = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
 QUERIES["xpt_roundtrip"] = xpt_roundtrip
-ORACLES["xpt_roundtrip"] = "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation"
+ORACLES["xpt_roundtrip"] = "SELECT CAST(n_nationkey AS DOUBLE) AS n_nation, n_name, CAST(n_regionkey AS DOUBLE) AS n_region FROM nation"
 
 
 def stream_row_wise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+import warnings
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
@@ -69,7 +70,7 @@ def encode(name: str, columns: Sequence[tuple[str, bool, int]], rows: Iterator[S
     yield NAMESTR.format(len(columns)).encode()
     place, described = 0, b""
     for i, (column, numeric, length) in enumerate(columns, 1):
-        described += struct.pack(">hhhh8s40s8shhh2s8shhl52s", 1 if numeric else 2, 0, length, i, column[:8].upper().ljust(8).encode(), column.ljust(40).encode()[:40], b" " * 8, 0, 0, 0, b"\0\0", b" " * 8, 0, 0, place, bytes(52))
+        described += struct.pack(">hhhh8s40s8shhh2s8shhl52s", 1 if numeric else 2, 0, length, i, column.encode()[:8].ljust(8), b" " * 40, b" " * 8, 0, 0, 0, b"\0\0", b" " * 8, 0, 0, place, bytes(52))
         place += length
     yield _pad(described)
     yield OBS.encode()
@@ -98,9 +99,11 @@ def decode(data: bytes) -> tuple[list[tuple[str, bool]], list[tuple]]:
     for i in range(count):
         n = data[begin + i * size : begin + (i + 1) * size]
         kind, _, length = struct.unpack(">hhh", n[:6])
-        long_name = n[16:56].decode("latin-1").strip()
-        short = n[8:16].decode("latin-1").strip()
-        name = long_name if long_name.upper()[:8] == short.upper()[: len(long_name[:8])] and long_name else short
+        name = n[8:16].decode("latin-1").strip()
+        if kind not in (1, 2):
+            raise runtime("XPT_UNSUPPORTED", f"variable {name} has the unknown type {kind}")
+        if n[16:56].strip(b" \0") or n[56:64].strip(b" \0"):
+            warnings.warn(f"the label or format of variable {name} is ignored", stacklevel=2)
         columns.append((name, kind == 1, length, struct.unpack(">l", n[84:88])[0]))
     begin += count * size
     begin += -begin % RECORD
@@ -141,7 +144,10 @@ def read(spark: SparkSession, path: str) -> Relation:
 
 
 def write(rel: Relation, path: str, name: str = "DATA") -> dict:
-    """A transport file in the relation's order; text columns are as wide as their longest value, 200 bytes at most."""
+    """A transport file in the relation's order; text columns are as wide as their longest value, 200 bytes at most.
+
+    The format keeps 8 bytes of a name; labels are left blank.
+    """
     kinds = {c: rel.typed(c).type for c in rel.columns}
     text = [c for c in rel.columns if kinds[c] not in NUMERIC | {"bool"}]
     widths = rel.df.agg(*[F.max(F.octet_length(rel.col(c).cast("string"))).alias(f"w{i}") for i, c in enumerate(text)]).first() if text else []
@@ -150,6 +156,8 @@ def write(rel: Relation, path: str, name: str = "DATA") -> dict:
     if wide:
         raise runtime("XPT_LENGTH_EXCEEDED", f"{wide[0]} has values of more than {MAX_CHAR} bytes")
     columns = [(c, c not in lengths, lengths.get(c, 8)) for c in rel.columns]
+    if len({c.encode()[:8] for c in rel.columns}) < len(rel.columns):
+        raise runtime("XPT_NAME_COLLISION", "two columns share the 8 bytes that the format keeps of a name")
 
     def plain() -> Iterator[Sequence[object]]:
         for r in rel.ordered().toLocalIterator():

@@ -214,7 +214,57 @@ def test_clinical_profile(spark):
     dm = spark.createDataFrame([("DM", "1", "1", "A", "M", "W"), ("XX", None, "2", "A", "F", "W")], "DOMAIN string, USUBJID string, SUBJID string, SITEID string, SEX string, RACE string")
     ae = spark.createDataFrame([("AE", "1", "HEADACHE", "2020-13"), ("AE", "1", "PAIN", "yesterday")], "DOMAIN string, USUBJID string, AEDECOD string, AESTDTC string")
     got = {tuple(r) for r in sdtm.validate({"dm": dm, "ae": ae}).collect()}
-    assert got == {("LB", "TABLE_MISSING", None, None), ("DM", "DOMAIN_VALUE", "DOMAIN", "XX"), ("DM", "USUBJID_MISSING", "USUBJID", None), ("AE", "DATE_NOT_ISO", "AESTDTC", "yesterday")}
+    assert got == {
+        ("LB", "TABLE_MISSING", None, None, None),
+        ("DM", "DOMAIN_VALUE", "DOMAIN", 2, "XX"),
+        ("DM", "USUBJID_MISSING", "USUBJID", 2, None),
+        ("AE", "DATE_NOT_ISO", "AESTDTC", 1, "2020-13"),
+        ("AE", "DATE_NOT_ISO", "AESTDTC", 2, "yesterday"),
+    }
+
+
+def test_clinical_dates(spark):
+    """A domain's date must be a whole ISO day, also the reference start date of DM; rows are named by their number."""
+    days = ["2020-01-01", "not a date", None, "2020-01", "2020-01-01T10:00"]
+    dm = spark.createDataFrame([("DM", str(i), str(i), "A", "M", "W", d) for i, d in enumerate(days)], "DOMAIN string, USUBJID string, SUBJID string, SITEID string, SEX string, RACE string, RFSTDTC string")
+    got = [tuple(r) for r in sdtm.validate({"dm": dm}).where("rule = 'DATE_NOT_ISO'").orderBy("row").collect()]
+    assert got == [("DM", "DATE_NOT_ISO", "RFSTDTC", i + 1, days[i]) for i in range(1, 5)]
+
+
+def test_clinical_rows_of_files(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 3).selectExpr("'DM' DOMAIN", "if(id % 1000 = 7, '', cast(id as string)) USUBJID", "id")
+    df.coalesce(1).write.parquet(str(tmp_path / "dm"))
+    found = sdtm.validate({"dm": spark.read.parquet(str(tmp_path / "dm"))}).where("rule = 'USUBJID_MISSING'")
+    assert sorted(r["row"] for r in found.collect()) == [8, 1008, 2008, 3008, 4008]
+
+
+def test_transport_names(spark, tmp_path):
+    """The name field names a variable, whatever its label says; unknown types are refused."""
+    import struct
+
+    data = bytearray(b"".join(xpt.encode("T", [("subject", True, 8), ("AGE", True, 8)], iter([(1.0, 2.0)]))))
+    at = data.find(b"HEADER RECORD*******NAMESTR") + 80
+    data[at + 16 : at + 56] = b"subject identifier for the study".ljust(40)
+    with pytest.warns(UserWarning, match="label"):
+        assert [n for n, _ in xpt.decode(bytes(data))[0]] == ["subject", "AGE"]
+    data[at : at + 2] = struct.pack(">h", 7)
+    with pytest.raises(Refusal) as e:
+        xpt.decode(bytes(data))
+    assert e.value.code == "XPT_UNSUPPORTED"
+
+
+def test_literals_of_selects_keep_their_text(spark, inline):
+    """What stands in quotes is neither flattened nor searched for keywords."""
+    from tabflow.relation import Relation
+
+    rows = ["a  b", "a b", "in case", "x from y where group by z", "join on"]
+    x = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string")
+    for n, s in enumerate(rows):
+        got = run(spark, f"proc sql; create table o as select t.i from x as t where\n  t.s = '{s}'; quit;", {"x": Relation.of(x, ("i",))})["o"].collect()
+        assert [r["i"] for r in got] == [n]
+    text = "/* %if in a comment */\n* %do too;\ndata o; set x; if s = 'in then case' or s = 'a  b' then y = '50% if'; else y = 'it;s'; run;"
+    got = run(spark, text, {"x": Relation.of(x, ("i",))})["o"].orderBy("i").collect()
+    assert [r["y"] for r in got] == ["50% if", *["it;s"] * 4]
 
 
 def test_transpose_names():
