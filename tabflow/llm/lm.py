@@ -1,4 +1,21 @@
-"""Operator 5: language-model scores by logistic mixing of hashed-context bit predictors."""
+"""Operator 5: language-model scores by logistic mixing of hashed-context bit predictors.
+
+All that is learnt grows with the corpus: the counts of every context of every training text
+are kept exactly, dealt over the cluster by context, and no table of them is ever whole in
+one place.  Texts don't travel to the counts; each block of texts sends the distinct grams
+and words that it holds, and gets back their probabilities:
+
+1. ``analyse`` the parts of a block of some MB: their grams (a byte with the five before it),
+   or, from the sixth byte of a word on, hashes of the whole word so far; write the block's
+   dictionary, dealt into buckets by the last three context bytes, and its text, compressed;
+2. merge each bucket's dictionaries: the counts of a context of three bytes or more, or of a
+   word, are all in one bucket; those of one and two bytes form a table of at most 2**24 rows;
+3. learn the mixer's weights and the refinement's curves online over all distinct grams, each
+   weighing as often as it occurs, predicted from all other occurrences; buckets learn side by
+   side and their weights are averaged, for some rounds;
+4. compute each distinct gram's log probability once, in its bucket, and answer the blocks;
+5. sum up the texts.
+"""
 
 from __future__ import annotations
 
@@ -7,225 +24,234 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabflow.llm.common import bounded_batches, by_volume, lower_bytes, materialise, mix64, span_hashes, text_bytes, tidy, word_spans
+from tabflow.llm.common import _powers, bounded_batches, materialise, mix64, tidy
 from tabflow.llm.langid import held_out
 
-#: Contexts: the last 1 to 5 bytes, and as the sixth the word so far, as far as it lies in these.
-#: Slots (a power of two) of each context's table of bit counts.
+#: Contexts: the last 1 to 5 bytes, and as the sixth the whole word so far.
 REACH = 5
-ORDERS = REACH + 1
-SLOT_BITS = (16, 20, 22, 22, 22, 22)
-#: Bit predictors' prior, and the mixer's learning rate.
+INPUTS = REACH + 2
+#: Bit predictors' prior, the learning rates, keys of a step, and rounds over all keys.
 PRIOR = 0.02
-RATE, CURVE_RATE = 0.02, 0.02
-#: The mixer and the refinement are fit on so many training documents of at most so many characters.
-MIX_DOCS, MIX_CHARS = 300, 20_000
-#: Frequent tokens whose counts all tasks hold; the others' are joined.
-HEAD = 1 << 17
-BATCH_CHARS = 1 << 20
+RATE, CURVE_RATE, STEP, ROUNDS = 0.03, 0.03, 512, 3
+#: Bytes of text of a block, of a part of it, and of a piece of a long text (cut after a space).
+BLOCK, PART, PIECE = 8 << 20, 1 << 20, 1 << 19
+#: Training bytes a bucket, about, and buckets at most; keys that are computed at once.
+BUCKET_BYTES, BUCKETS, CHUNK = 8 << 20, 4096, 1 << 15
 MODULUS, REMAINDER = 7, 2
-#: Cells of the memory of grams that a process has seen.
-MEMO_BITS = 22
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
-#: Code of the end of a text in the token hashes, and its byte.
-END_HASH = np.uint64(0x5851F42D4C957F2D)
-END_BYTE = 0
+GATES = 2 * (REACH + 1) * 8
 KNOTS = 33
-#: Slots are gathered in chunks, and their counts kept in a byte each: eighths of the binary logarithm.
-CHUNK_BITS = 16
-LOTS = 64
-_COUNT = 2.0 ** (np.arange(256) / 8) - 1
-
-
-# --- texts as byte grams --------------------------------------------------------------
-
-
-@dataclass
-class Batch:
-    """The words of some texts: hashes and the first word of each text; their grams, and the first gram of each text."""
-
-    hashes: np.ndarray
-    words: np.ndarray
-    grams: np.ndarray
-    places: np.ndarray
-
-
-def read_batch(texts: list[str | None]) -> Batch:
-    """Lower-cased words joined by one space and closed by a zero byte; a gram is a byte with the five before it.
-
-    The first bytes of a text see zero bytes before them.
-    """
-    data, offsets = text_bytes(texts)
-    data = lower_bytes(data)
-    starts, ends, words = word_spans(data, offsets)
-    hashes = span_hashes(data, starts, ends)
-    n = len(texts)
-    # each text: its words, a space between two, one end byte
-    inside = np.zeros(len(data) + 1, np.int64)
-    inside[starts] += 1
-    np.add.at(inside, ends, -1)
-    keep = np.cumsum(inside[:-1]) > 0
-    taken = data[keep]
-    lengths = ends - starts
-    per_text = np.diff(words)
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    byte_count = total[words[1:]] - total[words[:-1]]
-    places = np.concatenate([[0], np.cumsum(byte_count + np.maximum(per_text - 1, 0) + 1)])
-    stream = np.full(places[-1], 32, np.uint8)
-    text_of = np.repeat(np.arange(n), per_text)
-    begin = places[:-1][text_of] + (total[:-1] - total[words[:-1]][text_of]) + (np.arange(len(starts)) - words[:-1][text_of])
-    shift = np.repeat(begin - total[:-1], lengths)
-    stream[np.arange(len(taken)) + shift] = taken
-    stream[places[1:] - 1] = END_BYTE
-    grams = stream.astype(np.uint64)
-    wide = grams.copy()
-    for k in range(1, REACH + 1):
-        grams[k:] |= wide[:-k] << np.uint64(8 * k)
-    for j in range(REACH):  # what stands before the text counts as zero
-        at = places[:-1] + j
-        grams[at[at < places[1:]]] &= np.uint64((1 << (8 * (j + 1))) - 1)
-    return Batch(hashes, words, grams, places)
-
-
-def word_mask(context: np.ndarray) -> np.ndarray:
-    """A mask of the context's bytes from its last space on; of all if there is none."""
-    mask = np.full(len(context), np.uint64(2**40 - 1))
-    for k in range(REACH - 1, -1, -1):
-        space = ((context >> np.uint64(8 * k)) & np.uint64(255)) == 32
-        mask[space] = np.uint64((1 << (8 * (k + 1))) - 1)
-    return mask
-
-
-def slots(grams: np.ndarray, order: int, prefix: np.ndarray) -> np.ndarray:
-    """The table slot of an order's context together with the bits of the byte known so far (led by a one)."""
-    context = grams >> np.uint64(8)
-    if order > REACH:
-        context = context & word_mask(context)
-    else:
-        context = context & np.uint64((1 << (8 * order)) - 1)
-    key = context << np.uint64(8) | prefix | np.uint64(order << 56)
-    if order == 1:
-        return (key & np.uint64(0xFFFF)).astype(np.int64)
-    with np.errstate(over="ignore"):
-        return (_OFFSETS[order - 1] + ((mix64(key) * _MULT) >> np.uint64(64 - SLOT_BITS[order - 1]))).astype(np.int64)
-
-
-# --- counts over the whole corpus ------------------------------------------------------
-
-
-def _cells(grams: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((grams + np.uint64(1)) * _MULT >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
-
-
-class GramCounter:
-    """Counts grams: the first gram of a cell is counted in place, others with their cell taken by sorting."""
-
-    def __init__(self) -> None:
-        self.keys = np.full(1 << MEMO_BITS, np.uint64(2**64 - 1))
-        self.counts = np.zeros(1 << MEMO_BITS, np.int32)
-
-    def add(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count; returns the grams that found their cell taken, with their counts."""
-        cells = _cells(grams)
-        free = self.keys[cells] == np.uint64(2**64 - 1)
-        if free.any():
-            self.keys[cells[free]] = grams[free]
-        hit = self.keys[cells] == grams
-        self.counts += np.bincount(cells[hit], minlength=len(self.counts)).astype(np.int32)
-        return np.unique(grams[~hit], return_counts=True)
-
-    def found(self) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.counts)
-        return self.keys[at], self.counts[at]
-
+END = b"\0"
+_TOP, _LOW = np.uint64(1 << 63), np.uint64(255)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_CLOSED = np.uint64(0xA24BAED4963EE407)
 
-def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["kind", "key", "n"])
 
+# --- arrays as bytes -------------------------------------------------------------------
 
-@tidy
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, n): kind 0 token hashes, counted by batch; kind 1 grams, counted by task."""
-    counter = GramCounter()
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for part in by_volume(texts, BATCH_CHARS):
-            b = read_batch(texts[part])
-            yield _rows(0, *np.unique(np.append(b.hashes, np.full(len(b.places) - 1, END_HASH)), return_counts=True))
-            yield _rows(1, *counter.add(b.grams))
-    yield _rows(1, *counter.found())
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes; ascending whole numbers should come as differences."""
+    parts = []
+    for a in arrays:
+        # bytes of equal weight stand together, so that small numbers compress to little
+        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b""
+        parts.append(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") + raw)
+    whole = b"".join(parts)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd").to_pybytes()
 
-NODES = "chunk int, slots binary, n0 binary, n1 binary"
 
+def unpacked(data: bytes) -> list[np.ndarray]:
+    whole = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd").to_pybytes()
+    out, at = [], 0
+    while at < len(whole):
+        kind, n = np.dtype(whole[at : at + 4].strip().decode()), int.from_bytes(whole[at + 4 : at + 12], "little")
+        at += 12
+        raw = np.frombuffer(whole, np.uint8, n * kind.itemsize, at)
+        out.append(np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
 
-@tidy
-def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit counts of all contexts from gram counts, a row for each chunk of slots: places in the chunk, zeros, ones."""
 
-    def nodes(grams: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for order in range(1, ORDERS + 1):
-            at, value = [], []
-            for bit in range(8):
-                prefix, ones = bit_prefix(grams, bit)
-                at.append(slots(grams, order, prefix))
-                value.append(ones)
-            found, place = np.unique(np.concatenate(at), return_inverse=True)
-            ones, times = np.concatenate(value), np.tile(n, 8)
-            n1 = np.bincount(place, times * ones, len(found)).astype(np.float32)
-            n0 = np.bincount(place, times * (1 - ones), len(found)).astype(np.float32)
-            chunks, begins = np.unique(found >> CHUNK_BITS, return_index=True)
-            low = (found & ((1 << CHUNK_BITS) - 1)).astype(np.uint16)
-            parts = [slice(x, y) for x, y in zip(begins, np.append(begins[1:], len(found)), strict=True)]
-            cols = [pa.array(chunks, pa.int32()), *[pa.array([c[p].tobytes() for p in parts], pa.binary()) for c in (low, n0, n1)]]
-            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "slots", "n0", "n1"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        held.append((np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("n")).astype(np.float64)))
-        size += batch.num_rows
-        if size >= 1 << 19:
-            yield from nodes(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            held, size = [], 0
-    if held:
-        yield from nodes(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+def steps(a: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences; ``np.cumsum`` gives them back."""
+    out = a.copy()
+    out[1:] -= a[:-1]
+    return out
 
 
-def _chunk_sums(table: pa.Table) -> list[np.ndarray]:
-    """Zeros and ones of all slots of a chunk."""
-    sums = []
-    for name in ("n0", "n1"):
-        total = np.zeros(1 << CHUNK_BITS)
-        for at, n in zip(table.column("slots").to_pylist(), table.column(name).to_pylist(), strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.float32)
-        sums.append(total)
-    return sums
+# --- blocks of texts -------------------------------------------------------------------
 
 
-def _merge_nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One row for the rows of a chunk from a lot of partitions."""
-    n0, n1 = _chunk_sums(table)
-    at = np.flatnonzero(n0 + n1)
-    cols = [at.astype(np.uint16), n0[at].astype(np.float32), n1[at].astype(np.float32)]
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32())} | {n: pa.array([c.tobytes()], pa.binary()) for n, c in zip(("slots", "n0", "n1"), cols, strict=True)})
+def normalised(text: str | None) -> bytes:
+    """The lower-cased words, joined by one space and closed by a zero byte; ASCII alone has case and white space."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + END
 
 
-def _add_nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The summed counts of a chunk, a byte each."""
-    sums = [np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8).tobytes() for total in _chunk_sums(table)]
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n0": pa.array([sums[0]], pa.binary()), "n1": pa.array([sums[1]], pa.binary())})
+def pieces(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """A normalised text in pieces that end after a space, each with the five bytes before it."""
+    at = 0
+    while len(data) - at > 2 * PIECE:
+        cut = data.find(b" ", at + PIECE) + 1
+        if not cut:
+            break
+        yield data[max(0, at - REACH) : at], data[at:cut]
+        at = cut
+    yield data[max(0, at - REACH) : at], data[at:]
 
 
-def bit_prefix(grams: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of the last byte before bit ``bit`` (from the highest), led by a one; and that bit."""
-    byte = grams & np.uint64(255)
-    return (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit)), ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int8)
+@dataclass
+class Part:
+    """What some pieces of texts hold.  ``trained``: the leading pieces that are learnt from."""
+
+    lead: np.ndarray  # bytes before each piece
+    size: np.ndarray  # bytes of each piece
+    stream: np.ndarray
+    trained: int
+    keys: np.ndarray = field(init=False)  # distinct keys, ascending, and the grams that they stand for
+    grams: np.ndarray = field(init=False)
+    tokens: np.ndarray = field(init=False)  # distinct token hashes, ascending
+
+    def analyse(self) -> Part:
+        s, n = self.stream, len(self.stream)
+        begin = np.concatenate([[0], np.cumsum(self.lead + self.size)])
+        body, end = begin[:-1] + self.lead, begin[1:]
+        g = s.astype(np.uint64)
+        for k in range(1, REACH + 1):
+            g[k:] |= s[:-k].astype(np.uint64) << np.uint64(8 * k)
+        for j in range(REACH):  # what stands before a text counts as zero
+            at = begin[:-1] + j
+            at = at[at < end]
+            g[at] &= np.uint64((1 << (8 * (j + 1))) - 1)
+        p, q = _powers(n + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((s.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
+        # words: from the piece's begin or after a space, up to a space or the end
+        space = np.flatnonzero(s == 32)
+        of = np.searchsorted(end, space, "right")
+        inner = space[(space >= body[of]) & (space + 1 < end[of])] + 1
+        start = np.sort(np.concatenate([body, inner]))
+        piece = np.searchsorted(body, start, "right") - 1
+        last = np.append(piece[1:] != piece[:-1], True) if len(piece) else np.zeros(0, bool)
+        stop = np.where(last, end[piece] - 1, np.append(start[1:], n) - 1)
+        length = stop - start
+
+        def named(at: np.ndarray, upto: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                return mix64((total[upto] - total[at]) * q[at] + (upto - at).astype(np.uint64))
+
+        self.word_piece = piece[length > 0]
+        start, stop, length = start[length > 0], stop[length > 0], length[length > 0]
+        hashes = named(start, stop)
+        # what a word adds from its sixth byte on follows from the word and the byte that closes it
+        long = np.zeros(n + 1, np.int8)
+        wide = length >= REACH
+        long[start[wide] + REACH] = 1
+        long[stop[wide] + 1] = -1
+        short = np.cumsum(long[:-1], dtype=np.int8) == 0
+        for a, b in zip(begin[:-1][self.lead > 0], body[self.lead > 0], strict=True):
+            short[a:b] = False
+        self.short_at = np.flatnonzero(short)
+        self.short = g[self.short_at]
+        closed = hashes ^ np.where(s[stop] == 32, np.uint64(0), _CLOSED)
+        order = np.argsort(closed)
+        new = np.append(True, closed[order][1:] != closed[order][:-1]) if len(order) else np.zeros(0, bool)
+        self.word = np.empty(len(order), np.int64)
+        self.word[order] = np.cumsum(new) - 1
+        first = order[new]
+        learnt = self.word_piece < self.trained
+        times = np.bincount(self.word[learnt], minlength=len(first))
+        # distinct tokens
+        self.tokens, self.token_of = np.unique(hashes[first], return_inverse=True)
+        self.token_counts = np.bincount(self.token_of, times, len(self.tokens)).astype(np.int64)
+        # distinct keys of words
+        begins, many = start[first] + REACH, np.maximum(0, length[first] + 1 - REACH)
+        self.grown = np.repeat(np.arange(len(first)), many)
+        at = np.repeat(begins - np.cumsum(many) + many, many) + np.arange(many.sum())
+        name = (named(np.repeat(start[first], many), at) | _TOP) & ~_LOW | s[at]
+        whole, spot, self.grown_key = np.unique(name, return_index=True, return_inverse=True)
+        # distinct grams
+        cut = np.searchsorted(self.short_at, end[self.trained - 1]) if self.trained else 0
+        seen = np.sort(self.short)
+        seen = seen[np.append(True, seen[1:] != seen[:-1])] if len(seen) else seen
+        known = np.sort(self.short[:cut])
+        counts = np.searchsorted(known, seen, "right") - np.searchsorted(known, seen)
+        self.n_short = len(seen)
+        self.keys = np.concatenate([seen, whole])
+        self.grams = np.concatenate([seen, g[at[spot]]])
+        self.counts = np.concatenate([counts, np.bincount(self.grown_key, times[self.grown], len(whole)).astype(np.int64)])
+        self.begin, self.end = begin, end
+        return self
+
+    def sums(self, logs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """By piece: log probability of its bytes, base score, tokens and known tokens, without the end.
+
+        ``logs``: of each key; ``values``: the training count of each token and its base score.
+        """
+        n = len(self.size)
+        counts, base = values
+        own = logs[looked_up(self.keys[: self.n_short], self.short)]
+        of = np.searchsorted(self.end, self.short_at, "right")
+        total = np.bincount(of, own, n)
+        word_logs = np.bincount(self.grown, logs[self.n_short :][self.grown_key], len(self.token_of))
+        total += np.bincount(self.word_piece, word_logs[self.word], n)
+        token = self.token_of[self.word]
+        return total, np.bincount(self.word_piece, base[token], n), np.bincount(self.word_piece, minlength=n), np.bincount(self.word_piece, counts[token] > 0, n).astype(np.int64)
+
+
+class Dictionary:
+    """The distinct keys and tokens of a block's parts, with their training counts."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
+        self.keys, self.counts, self.grams = _union([p[:3] for p in parts])
+        self.tokens, self.token_counts = _union([p[3:] for p in parts])
+
+    def dealt(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """The entries of each bucket that has any: keys by the last three context bytes, tokens in buckets of their own."""
+        for b, at in _dealt(mix64((self.grams >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets), buckets):
+            keys = self.keys[at]
+            yield b, packed(steps(keys), self.counts[at], self.grams[at][keys >= _TOP] >> np.uint64(8))
+        for b, at in _dealt(self.tokens % np.uint64(buckets), buckets):
+            yield buckets + b, packed(steps(self.tokens[at]), self.token_counts[at])
+
+
+def _union(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Distinct keys of parts (keys ascending, counts, further columns that follow from the key), counts summed."""
+    keys = np.sort(np.concatenate([p[0] for p in parts]))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    out = [keys, np.zeros(len(keys), np.int64), *[np.zeros(len(keys), c.dtype) for c in parts[0][2:]]]
+    for own, counts, *rest in parts:
+        at = looked_up(keys, own)
+        out[1][at] += counts
+        for column, values in zip(out[2:], rest, strict=True):
+            column[at] = values
+    return out
+
+
+def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+    for b in np.flatnonzero(np.diff(cuts)):
+        yield int(b), order[cuts[b] : cuts[b + 1]]
+
+
+def looked_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted ones among ascending keys that hold them all; most are found by a table of hashes."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    bits = np.uint64(64 - (4 * len(keys)).bit_length())
+    with np.errstate(over="ignore"):
+        table = np.zeros(1 << int(64 - bits), np.int32)
+        table[(keys * _MULT) >> bits] = np.arange(len(keys), dtype=np.int32)
+        at = table[(wanted * _MULT) >> bits]
+    miss = np.flatnonzero(keys[at] != wanted)
+    at[miss] = np.searchsorted(keys, wanted[miss])
+    return at
 
 
 # --- the model --------------------------------------------------------------------------
@@ -235,135 +261,364 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+def bit_sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct ascending (context, byte) keys with counts: for 0 to 8 leading bits of the byte, the count of
+    all keys of the context that share them; a row for each number of bits."""
+    out = np.empty((9, len(keys)))
+    out[8] = n
+    for b in range(8):
+        part = keys >> np.uint64(8 - b)
+        heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(out[8], heads) if len(heads) else np.zeros(0)
+        out[b] = np.repeat(sums, np.diff(np.append(heads, len(part))))
+    return keys, out
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ascending keys and their counts."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return ordered[heads], np.add.reduceat(n[order], heads) if len(heads) else n[:0]
+
+
+class Contexts:
+    """Bit counts of all contexts of the keys of some whole three-byte contexts."""
+
+    def __init__(self, keys: np.ndarray, grams: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]]):
+        self.keys, self.grams, self.n = keys, grams, n.astype(np.float64)
+        self.byte = (grams & _LOW).astype(np.int64)
+        self.tables, self.at = [], []
+        for order in range(1, REACH + 1):
+            own = grams & np.uint64((1 << (8 * (order + 1))) - 1)
+            table = low[order - 1] if order <= 2 else bit_sums(*summed(own, self.n))
+            self.tables.append(table[1])
+            self.at.append(np.searchsorted(table[0], own))
+        # the word so far: of over four bytes by its hash, else the context that begins at its space
+        self.whole = (keys & _TOP) > 0
+        found = bit_sums(*summed(keys[self.whole], self.n[self.whole]))
+        self.tables.append(found[1])
+        self.at.append(np.searchsorted(found[0], keys[self.whole]))
+        self.begun = np.full(len(grams), REACH - 1)
+        for k in range(REACH - 1, -1, -1):
+            before = (grams >> np.uint64(8 * (k + 1))) & _LOW
+            self.begun[(before == 32) | (before == 0)] = k
+
+    def inputs(self, bit: int, own: bool = True, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stretched predictions of the keys' own bit (a column each context, and a bias), the gate, and the sign of the
+        bit.  ``own``: with the occurrence itself; learning leaves it out."""
+        m = len(self.grams[at])
+        same, all_ = np.empty((REACH + 1, m)), np.empty((REACH + 1, m))
+        for k in range(REACH):
+            place = self.at[k][at]
+            same[k], all_[k] = self.tables[k][bit + 1][place], self.tables[k][bit][place]
+        whole, begun = self.whole[at], self.begun[at]
+        same[REACH], all_[REACH] = np.take_along_axis(same[:REACH], begun[None], 0)[0], np.take_along_axis(all_[:REACH], begun[None], 0)[0]
+        place = self.at[REACH] if isinstance(at, slice) and at == slice(None) else self.at[REACH][np.cumsum(self.whole)[at][whole] - 1]
+        same[REACH, whole], all_[REACH, whole] = self.tables[REACH][bit + 1][place], self.tables[REACH][bit][place]
+        if not own:
+            same -= 1
+            all_ -= 1
+        x = np.empty((m, INPUTS))
+        x[:, : REACH + 1] = np.log((same + PRIOR) / (all_ - same + PRIOR)).T
+        sign = 2.0 * ((self.byte[at] >> (7 - bit)) & 1) - 1
+        x[:, REACH + 1] = 0.3 * sign
+        seen = all_ > 0
+        longest = (seen[:REACH] * np.arange(1, REACH + 1)[:, None]).max(axis=0)
+        gate = ((whole & seen[REACH]) * (REACH + 1) + longest) * 8 + bit
+        return x, gate, sign
+
+
 @dataclass
 class Model:
-    """Bit counts (logarithms) of all slots, the mixer's weights by gate, and the refinement's curves by gate.
-
-    The gate is the longest context that has been seen, with the bit's place.
-    """
+    """The mixer's weights and the refinement's curves, both by gate: the longest context that has been seen, whether
+    the word has, and the bit's place."""
 
-    counts: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.full(((ORDERS + 1) * 8, ORDERS + 1), 0.3))
-    curves: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-8, 8, KNOTS), ((ORDERS + 1) * 8, 1)))
-
-    def inputs(self, grams: np.ndarray, bit: int, without: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched predictions (a column each order, and a bias), the gate, and the bit.  ``without``: less the occurrence itself."""
-        prefix, value = bit_prefix(grams, bit)
-        x = np.empty((len(grams), ORDERS + 1))
-        longest = np.zeros(len(grams), np.int64)
-        for order in range(1, ORDERS + 1):
-            at = slots(grams, order, prefix)
-            n0, n1 = _COUNT[self.counts[0, at]], _COUNT[self.counts[1, at]]
-            if without:
-                n1 -= value
-                n0 -= 1 - value
-                np.maximum(n0, 0, out=n0)
-                np.maximum(n1, 0, out=n1)
-            x[:, order - 1] = np.log((n1 + PRIOR) / (n0 + PRIOR))
-            longest[n0 + n1 > 0] = order
-        x[:, ORDERS] = 0.3
-        return x, longest * 8 + bit, value
+    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 0.3))
+    curves: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-8, 8, KNOTS), (GATES, 1)))
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The stretched probability of the own bit."""
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -7.99, 7.99)
 
     def refine(self, s: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The probability of a one: the mean of the mixer's and the gate's curve at it; the knot below and the way to the next."""
+        """The gate's curve at the stretched probability of a one; the knot below and the way to the next."""
         place = (s + 8) * ((KNOTS - 1) / 16)
         knot = place.astype(np.int64)
         way = place - knot
-        curve = self.curves[gate, knot] * (1 - way) + self.curves[gate, knot + 1] * way
-        return np.clip((squash(s) + squash(curve)) / 2, 1e-6, 1 - 1e-6), knot, way
+        return self.curves[gate, knot] * (1 - way) + self.curves[gate, knot + 1] * way, knot, way
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """The log10 probability of each gram's last byte after the bytes before it."""
-        total = np.zeros(len(grams))
+    def log10(self, c: Contexts) -> np.ndarray:
+        """The log10 probability of each key's byte in its context."""
+        total = np.zeros(len(c.grams))
         for bit in range(8):
-            x, gate, value = self.inputs(grams, bit)
-            p, _, _ = self.refine(self.mixed(x, gate), gate)
-            total += np.log10(np.where(value == 1, p, 1 - p))
+            x, gate, sign = c.inputs(bit)
+            s = self.mixed(x, gate)
+            curve, _, _ = self.refine(s * sign, gate)
+            total += np.log10(np.clip((squash(s) + squash(curve * sign)) / 2, 1e-6, 1 - 1e-6))
         return total
 
-    def learn(self, grams: np.ndarray, step: int = 256) -> None:
-        """Online: predict the bits of some bytes, then move weights and curves along the errors, through all bytes in turn.
+    def learn(self, c: Contexts) -> np.ndarray:
+        """Online, key by key in a fixed random order: predict a byte's bits from its contexts' other occurrences, then
+        move weights and curves along the errors, as often as the byte occurs there.
 
-        Each weight's rate falls with the squares of its gradients so far (AdaGrad).
+        Rates fall with the squares of the gradients so far (AdaGrad).  Returns the occurrences by gate.
         """
-        seen = np.full(self.weights.shape, 1.0)
-        for begin in range(0, len(grams), step):
-            part = grams[begin : begin + step]
+        mass = np.zeros(GATES)
+        order = np.argsort(mix64(c.keys))
+        seen, bent = np.full(self.weights.shape, 1.0), np.full(self.curves.shape, 1.0)
+        for begin in range(0, len(order), STEP):
+            at = order[begin : begin + STEP]
+            n = c.n[at]
             for bit in range(8):
-                x, gate, value = self.inputs(part, bit, without=True)
+                x, gate, sign = c.inputs(bit, own=False, at=at)
                 s = self.mixed(x, gate)
                 slope = np.zeros(self.weights.shape)
-                np.add.at(slope, gate, (value - squash(s))[:, None] * x)
+                np.add.at(slope, gate, (n * (1 - squash(s)))[:, None] * x)
                 seen += slope * slope
                 self.weights += RATE * slope / np.sqrt(seen)
-                _, knot, way = self.refine(s, gate)
-                curve = self.curves[gate, knot] * (1 - way) + self.curves[gate, knot + 1] * way
-                off = CURVE_RATE * (value - squash(curve))
-                np.add.at(self.curves, (gate, knot), off * (1 - way))
-                np.add.at(self.curves, (gate, knot + 1), off * way)
+                curve, knot, way = self.refine(s * sign, gate)
+                off = n * ((sign > 0) - squash(curve))
+                bend = np.zeros(self.curves.shape)
+                np.add.at(bend, (gate, knot), off * (1 - way))
+                np.add.at(bend, (gate, knot + 1), off * way)
+                bent += bend * bend
+                self.curves += CURVE_RATE * bend / np.sqrt(bent)
+                mass += np.bincount(gate, n, GATES)
         np.clip(self.curves, -10, 10, out=self.curves)
+        return mass
 
 
-class Memo:
-    """The model's answers by gram: a text's score needs each distinct gram computed once in a process."""
+# --- training and scoring over tables -----------------------------------------------------
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.keys = np.full(1 << MEMO_BITS, np.uint64(2**64 - 1))
-        self.values = np.zeros(1 << MEMO_BITS, np.float32)
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        cells = _cells(grams)
-        out = self.values[cells].astype(np.float64)
-        miss = np.flatnonzero(self.keys[cells] != grams)
-        if len(miss):
-            new, at = np.unique(grams[miss], return_inverse=True)
-            value = np.concatenate([self.model.log10(new[i : i + 65536]) for i in range(0, len(new), 65536)]).astype(np.float32)
-            out[miss] = value[at]
-            self.keys[_cells(new)] = new
-            self.values[_cells(new)] = value
-            same = self.keys[_cells(new)] == new  # of several for a cell the last stays
-            self.values[_cells(new[same])] = value[same]
-        return out
+def text_column(df: DataFrame) -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-# --- training and scoring over tables -----------------------------------------------------
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Part, list[tuple]]]:
+    """Parts with what names their pieces: (rid, doc_id, held_out, whether the text ends there).  Learnt texts come first."""
+    held: list[list[tuple]] = [[], []]
+    size = 0
 
+    def made() -> tuple[Part, list[tuple]]:
+        rows = held[0] + held[1]
+        stream = np.frombuffer(b"".join(part for r in rows for part in r[:2]), np.uint8)
+        part = Part(np.array([len(r[0]) for r in rows]), np.array([len(r[1]) for r in rows]), stream, len(held[0]))
+        return part.analyse(), [r[2:] for r in rows]
 
-def text_column(df: DataFrame) -> Column:
-    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+    for batch in batches:
+        for rid, doc_id, out, text in zip(*[batch.column(c).to_pylist() for c in ("rid", "doc_id", "held_out", "text")], strict=True):
+            data = normalised(text)
+            left = len(data)
+            for lead, body in pieces(data):
+                left -= len(body)
+                held[bool(out)].append((lead, body, rid, doc_id, bool(out), not left))
+                size += len(body)
+                if size >= PART:
+                    yield made()
+                    held, size = [[], []], 0
+    if size:
+        yield made()
+
+
+def dictionaries(docs: DataFrame, training: Column, buckets: int) -> DataFrame:
+    """Rows of blocks: their texts (bucket -1), and their dictionaries by bucket (keys in the lower half, tokens in the upper)."""
+    kind = docs.schema["doc_id"].dataType
+    names = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("ends", T.BooleanType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("names", T.ArrayType(names))])
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
+        texts: list[tuple] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            out = [*texts, *[(number, bucket, data, None) for bucket, data in Dictionary(held).dealt(buckets)]]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+        for part, rows in _parts(batches):
+            texts.append((number, -1, packed(part.lead, part.size, part.stream, np.array([part.trained])), [dict(zip(names.names, r, strict=True)) for r in rows]))
+            held.append((part.keys, part.counts, part.grams, part.tokens, part.token_counts))
+            size += len(part.stream)
+            if size >= BLOCK:
+                yield made()
+                number, texts, held, size = number + 1, [], [], 0
+        if held:
+            yield made()
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (~training).alias("held_out"), text_column(docs).alias("text"))
+    return materialise(rows.mapInArrow(work, schema), "lm_blocks")
+
+
+def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts and grams of a bucket's part of a dictionary (of tokens, no grams)."""
+    keys, counts, *rest = unpacked(data)
+    keys = np.cumsum(keys, dtype=np.uint64)
+    grams = keys.copy()
+    if rest:
+        grams[keys >= _TOP] = rest[0] << np.uint64(8) | keys[keys >= _TOP] & _LOW
+    return keys, counts, grams
+
+
+class _Merger:
+    """Sums dictionaries; what is held is sorted out whenever it has doubled."""
 
-def train(docs: DataFrame, training: Column) -> tuple[Model, DataFrame, int, int]:
-    """The model, the token counts (h, n), their sum and their number, all from the rows where ``training`` holds.
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, 1 << 18
 
-    Tokens and grams are counted over all training texts: by batch or task first, then by
-    key.  Grams with the same three last context bytes meet in a partition, so that most of
-    their bit counts are summed there, and the rest by slot; the table has a fixed size.
-    """
-    bounded_batches(docs.sparkSession)
-    rows = docs.where(training).select(text_column(docs).alias("text"))
-    counted = materialise(rows.mapInArrow(_count_batches, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts")
-    tokens = counted.where("kind = 0").select(F.col("key").alias("h"), "n")
-    total, distinct = tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
-    meet = F.shiftright("key", 8).bitwiseAND(0xFFFFFF)
-    nodes = counted.where("kind = 1").select("key", "n").repartition(meet).mapInArrow(_node_batches, NODES)
-    # short contexts occur in all partitions: their chunks are summed by lots of partitions first
-    lots = nodes.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(LOTS))).groupBy("chunk", "lot").applyInArrow(_merge_nodes, NODES)
-    chunks = lots.groupBy("chunk").applyInArrow(_add_nodes, "chunk int, n0 binary, n1 binary").collect()
-    counts = np.zeros((2, int(_OFFSETS[-1])), np.uint8)
-    for c in chunks:
-        at = slice(c["chunk"] << CHUNK_BITS, (c["chunk"] + 1) << CHUNK_BITS)
-        counts[0, at], counts[1, at] = np.frombuffer(c["n0"], np.uint8), np.frombuffer(c["n1"], np.uint8)
-    model = Model(counts)
-    sample = docs.where(training).select(text_column(docs).alias("text")).where(F.char_length("text").between(1, MIX_CHARS))
-    drawn = [r["text"] for r in sample.orderBy(F.xxhash64("text"), "text").limit(MIX_DOCS).collect()]
-    if drawn:
-        model.learn(read_batch(drawn).grams)
-    return model, tokens, int(total or 0), int(distinct or 0)
+    def add(self, entries: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.held.append(entries)
+        self.size += len(entries[0])
+        if self.size > self.limit:
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+            self.limit = max(self.limit, 2 * self.size)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, counts, grams = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        return ordered[heads], np.add.reduceat(counts[order], heads), grams[order][heads]
+
+
+def merged_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
+    """A row for each bucket: all its keys, their training counts, and of tokens the sum and number of those that occur."""
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(bucket: int, m: _Merger) -> pa.RecordBatch:
+            keys, counts, grams = m.merged()
+            tokens = bucket >= buckets
+            extra = [] if tokens else [grams[keys >= _TOP] >> np.uint64(8)]
+            cols = [pa.array([bucket], pa.int32()), pa.array([packed(steps(keys), counts, *extra)], pa.binary()), pa.array([int(counts.sum()) if tokens else 0]), pa.array([int(np.count_nonzero(counts)) if tokens else 0])]
+            return pa.RecordBatch.from_arrays(cols, names=["bucket", "data", "total", "distinct"])
+
+        now, merger = None, _Merger()
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if bucket != now:
+                    if now is not None:
+                        yield row(now, merger)
+                    now, merger = bucket, _Merger()
+                merger.add(_entries(data))
+        if now is not None:
+            yield row(now, merger)
+
+    parts = blocks.where("bucket >= 0").select("bucket", "data").repartitionById(2 * buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    return materialise(parts.mapInArrow(work, "bucket int, data binary, total long, distinct long"), "lm_buckets")
+
+
+def low_orders(merged: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bit counts of the contexts of one and two bytes: at most 2**24 pairs of a context and a byte, whatever the input."""
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                _, counts, grams = _entries(data)
+                keys, n = summed(grams & np.uint64(0xFFFFFF), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n)], names=["key", "n"])
+
+    grams = merged.where("total = 0 and distinct = 0").select("data")
+    found = grams.mapInArrow(work, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = np.asarray(found.column("key")).astype(np.uint64), np.asarray(found.column("n")).astype(np.float64)
+    return [bit_sums(*summed(keys & np.uint64(0xFFFF), n)), bit_sums(*summed(keys, n))]
+
+
+def chunks(keys: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of whole three-byte contexts, about ``CHUNK`` keys at a time."""
+    near = (grams >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    order = np.argsort(near, kind="stable")
+    heads = np.flatnonzero(np.append(True, near[order][1:] != near[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    begin = 0
+    for head in [*heads[1:], len(order)]:
+        if head - begin >= CHUNK or (head == len(order) and head > begin):
+            yield order[begin:head]
+            begin = head
+
+
+def train(merged: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Weights and curves learnt over all keys of all buckets: each bucket goes on from the same model, and the next
+    round from the mean of the buckets' models, weighed by the occurrences that each has seen."""
+    spark = merged.sparkSession
+    model = Model()
+    size = GATES * (INPUTS + KNOTS + 1)
+
+    def learnt(shared) -> callable:
+        @tidy
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low, weights, curves = shared.value
+            for batch in batches:
+                for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                    keys, n, grams = _entries(data)
+                    known = n > 0
+                    keys, n, grams = keys[known], n[known], grams[known]
+                    own = Model(weights.copy(), curves.copy())
+                    mass = np.zeros(GATES)
+                    for at in chunks(keys, grams, n):
+                        mass += own.learn(Contexts(keys[at], grams[at], n[at], low))
+                    sums = np.concatenate([(own.weights * mass[:, None]).ravel(), (own.curves * mass[:, None]).ravel(), mass])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["bucket", "sums"])
+
+        return work
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("sums").to_pylist(), strict=True))
+        total = sum((np.frombuffer(r[1]) for r in rows), np.zeros(size))
+        return pa.table({"lot": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    grams = merged.where("total = 0 and distinct = 0").select("bucket", "data")
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((low, model.weights, model.curves))
+        rows = grams.mapInArrow(learnt(shared), "bucket int, sums binary").withColumn("lot", F.col("bucket") % 64)
+        lots = sorted(rows.groupBy("lot").applyInArrow(add, "lot int, sums binary").collect(), key=lambda r: r["lot"])  # 64 rows at most
+        total = sum((np.frombuffer(r["sums"]) for r in lots), np.zeros(size))
+        mass = total[-GATES:]
+        full = mass > 0
+        for name, table, width, at in (("weights", model.weights, INPUTS, 0), ("curves", model.curves, KNOTS, GATES * INPUTS)):
+            mean = total[at : at + GATES * width].reshape(GATES, width)
+            new = table.copy()
+            new[full] = mean[full] / mass[full, None]
+            setattr(model, name, new)
+        shared.unpersist()
+    return model
+
+
+def answers(blocks: DataFrame, merged: DataFrame, model: Model, low: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """For each block and bucket: the block's keys with their log probabilities, or its tokens with their training counts."""
+    shared = blocks.sparkSession.sparkContext.broadcast((low, model))
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, model = shared.value
+        known, values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        for batch in batches:
+            out: list[tuple] = []
+            for bucket, block, data in zip(*[batch.column(c).to_pylist() for c in ("bucket", "block", "data")], strict=True):
+                keys, n, grams = _entries(data)
+                if block >= 0:
+                    out.append((block, bucket, packed(steps(keys), values[looked_up(known, keys)])))
+                elif bucket >= buckets:
+                    known, values = keys, n
+                else:  # the bucket itself comes before the blocks that ask
+                    known, values = keys, np.zeros(len(keys), np.float32)
+                    for at in chunks(keys, grams, n):
+                        values[at] = model.log10(Contexts(keys[at], grams[at], n[at], low))
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "data"])
+
+    asked = blocks.where("bucket >= 0").select("bucket", "block", "data")
+    own = merged.select("bucket", F.lit(-1).cast("long").alias("block"), "data")
+    dealt = own.unionByName(asked).repartitionById(2 * buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(work, "block long, bucket int, data binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -373,66 +628,64 @@ def score(docs: DataFrame) -> DataFrame:
     the model's log10 probability of the text, that is of the bytes of the lower-cased words
     joined by single spaces and of their end, so ``-score * log2(10) / bytes`` is bits per
     byte.  Null texts are empty and have the end alone.  With nothing to learn from, counts
-    are 0 and the model is uniform.
+    are 0 and predictions rest on the prior.  Repeated rows are scored each; long texts go in
+    pieces that are cut after a space, with the bytes before them as context.
     """
     spark = docs.sparkSession
-    out_of = held_out(F.col("doc_id"), MODULUS, REMAINDER)
-    model, tokens, total, distinct = train(docs, ~out_of)
-    head = tokens.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()  # at most HEAD rows
-    order = np.argsort(np.asarray(head.column("h")).view(np.uint64))
-    known = (np.asarray(head.column("h")).view(np.uint64)[order], np.asarray(head.column("n"))[order])
-    floor = int(known[1].min()) if len(order) == HEAD else 0  # what isn't in the head is at most so frequent
-    shared = spark.sparkContext.broadcast((model, known))
-    divisor = float(total + distinct + 1)
+    bounded_batches(spark)
+    training = ~held_out(F.col("doc_id"), MODULUS, REMAINDER)
+    texts, volume = docs.where(training).agg(F.count(F.lit(1)), F.sum(F.octet_length(text_column(docs)))).first()
+    buckets = max(1, min(BUCKETS, -(-(volume or 0) // BUCKET_BYTES)))
+    blocks = dictionaries(docs, training, buckets)
+    merged = merged_buckets(blocks, buckets)
+    words, distinct = merged.agg(F.sum("total"), F.sum("distinct")).first()
+    total, divisor = int(words or 0) + texts, float(int(words or 0) + texts + int(distinct or 0) + (texts > 0) + 1)
+    low = low_orders(merged)
+    model = train(merged, low)
+    replies = answers(blocks, merged, model, low, buckets)
+    kind = docs.schema["doc_id"].dataType
+    held = blocks.where("bucket < 0").select("block", "bucket", "data", "names")
+    both = held.unionByName(replies.withColumn("names", F.lit(None).cast(blocks.schema["names"].dataType)))
+    parts = max(1, buckets)
+    dealt = both.repartition(parts, "block").sortWithinPartitions("block", "bucket")
+    end_base = float(np.log10((texts + 1) / divisor))
 
     @tidy
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (keys, counts) = shared.value
-        memo = Memo(model)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def known(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            parts = [unpacked(f) for f in found]
+            keys = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(p[0], dtype=np.uint64) for p in parts]])
+            order = np.argsort(keys)
+            return keys[order], np.concatenate([np.zeros(0), *[p[1] for p in parts]])[order]
+
+        def finish(texts_: list[tuple], found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            keys, logs = known([f for b, f in found if b < buckets])
+            tokens, counts = known([f for b, f in found if b >= buckets])
+            base = np.log10((counts + 1) / divisor)
+            for names, data in texts_:
+                lead, size, stream, trained = unpacked(data)
+                part = Part(lead, size, stream, int(trained[0])).analyse()
+                at = looked_up(tokens, part.tokens)
+                total, own, n, seen = part.sums(logs[looked_up(keys, part.keys)], (counts[at], base[at]))
+                ends = names.field("ends").to_numpy(zero_copy_only=False).astype(np.int64)
+                named = [names.field(c) for c in ("rid", "doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(n + ends), pa.array(seen + ends * (texts > 0)), pa.array(own + ends * end_base), pa.array(total), pa.array(size)], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+
+        now, held, found = None, [], []
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in by_volume(texts, BATCH_CHARS):
-                b = read_batch(texts[part])
-                n = len(b.places) - 1
-                bytes_log = memo(b.grams)
-                text_score = np.add.reduceat(bytes_log, b.places[:-1])
-                # words, then the end of each text
-                h = np.insert(b.hashes, b.words[1:], END_HASH)
-                firsts = b.words[:-1] + np.arange(n)
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                c = np.where(keys[at] == h, counts[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-                rare = (c == 0) if floor else np.zeros(len(h), bool)
-                logs = np.where(rare, 0.0, np.log10((c + 1) / divisor))
-                rest = np.split(h[rare].view(np.int64), np.cumsum(np.add.reduceat(rare, firsts))[:-1])
-                rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[rows.column(x) for x in ("rid", "doc_id", "held_out")],
-                        pa.array(np.diff(b.words) + 1, pa.int64()),
-                        pa.array(np.add.reduceat((c > 0).astype(np.int64), firsts)),
-                        pa.array(np.add.reduceat(logs, firsts)),
-                        pa.array(text_score),
-                        pa.array(rest, pa.list_(pa.int64())),
-                        pa.array(np.diff(b.places), pa.int64()),
-                    ],
-                    names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "n_bytes"],
-                )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", out_of.alias("held_out"), text_column(docs).alias("text"))
-    schema = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>, n_bytes long"
-    done = materialise(rows.mapInArrow(scored, schema), "lm_scores")
-    rare = done.select("rid", F.explode("rest").alias("h")).groupBy("rid", "h").agg(F.count(F.lit(1)).alias("k"))
-    tail = tokens.where(F.col("n") <= floor) if floor else tokens.limit(0)
-    joined = rare.join(tail, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = joined.groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10((F.col("n") + 1) / F.lit(divisor))).alias("logs"))
-    return done.drop("rest").join(sums, "rid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+            for i, (block, bucket, data) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "bucket", "data")], strict=True)):
+                if block != now:
+                    if held:
+                        yield from finish(held, found)
+                    now, held, found = block, [], []
+                if bucket < 0:
+                    held.append((batch.column("names")[i].values, data))
+                else:
+                    found.append((bucket, data))
+        if held:
+            yield from finish(held, found)
+
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")], T.StructField("n_bytes", T.LongType())])
+    found = dealt.mapInArrow(work, schema)
+    texts_ = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "n_bytes")])
+    return texts_.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
