@@ -77,13 +77,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and nothing is computed twice."""
     spark = df.sparkSession
     path = work_path(spark, name)
     if _SCOPES and not keep:
         _SCOPES[-1].append(path)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.options(**{"parquet.block.size": ROW_GROUP} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,13 +103,17 @@ def keyed(docs: DataFrame, name: str = "__tf_key") -> DataFrame:
         return materialise(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "keyed", keep=True)
 
 
-#: Bits of the filter of ``without`` and of other filters of hashed ids.
-FILTER_BITS = 24
+#: Bits of the filters of hashed ids: so many at least, and at most, for about 16 bits an id between.
+FILTER_BITS, MOST_FILTER_BITS = 20, 27
 
 
-def hashed_bits(ids: DataFrame, name: str) -> DataFrame:
-    """A bitmap of the hashes of ``ids.name``: words of 64 bits, ``2**FILTER_BITS`` bits in all, so its size has a bound."""
-    at = F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
+def filter_bits(n: int) -> int:
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, (16 * n).bit_length()))
+
+
+def hashed_bits(ids: DataFrame, name: str, bits: int) -> DataFrame:
+    """A bitmap of the hashes of ``ids.name``: words of 64 bits, ``2**bits`` bits in all, so its size has a bound (16 MB)."""
+    at = F.pmod(F.xxhash64(name), F.lit(1 << bits))
     marked = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("__tf_word"), _bit(F.col("at")).alias("bit"))
     return marked.groupBy("__tf_word").agg(F.bit_or("bit").alias("__tf_bits"))
 
@@ -120,9 +124,10 @@ def _bit(at: Column) -> Column:
 
 def tested(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """``df`` with ``__tf_maybe``: false only if ``ids`` doesn't have the row's ``name``.  No row moves."""
-    at = F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
+    bits = filter_bits(ids.count())
+    at = F.pmod(F.xxhash64(name), F.lit(1 << bits))
     tagged = df.withColumn("__tf_at", at).withColumn("__tf_word", F.shiftright("__tf_at", 6))
-    joined = tagged.join(F.broadcast(hashed_bits(ids, name)), "__tf_word", "left")
+    joined = tagged.join(F.broadcast(hashed_bits(ids, name, bits)), "__tf_word", "left")
     maybe = F.coalesce(F.col("__tf_bits").bitwiseAND(_bit(F.col("__tf_at"))) != 0, F.lit(False))
     return joined.withColumn("__tf_maybe", maybe).drop("__tf_at", "__tf_word", "__tf_bits")
 

@@ -1,35 +1,51 @@
-"""Operator 1: benchmark decontamination with a positional index (DataFrame functions only)."""
+"""Operator 1: benchmark decontamination with a positional inverted index (DataFrame functions only)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import keyed, lower_ascii, materialise, scratch, without, words
+from tabflow.llm.common import keyed, lower_ascii, materialise, scratch, tested, without, words
 
 #: What separates words: ASCII but digits and (lower-case) letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
-#: Anchors are broadcast up to this many rows and bytes; beyond, they are joined by a shuffle on the term.
+#: Words that a near match may have between the window's.
+SLOP = 2
+#: Terms are broadcast up to this many rows and bytes; beyond, they are joined by a shuffle on the term.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def token_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, n_words and the words of each text; a word's place in the array is its position.  Written once."""
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional inverted index: (term, rid, pos, doc_id), a row for each place of a term.  Written once.
+
+    It is split by documents: each task sorts the postings of its documents by term, document
+    and position, so a term's list is a run in each file, no list is ever gathered whole, and
+    nothing is shuffled.  The empty term, which no word is, has one posting for each document:
+    its position is the number of words, and it alone carries the document's id.
+    """
     split = words(lower_ascii(F.col(text_col)), SEPARATORS)
     named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), split.alias("words"))
-    return materialise(named.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), "words"), "token_store")
+    placed = named.select("rid", "doc_id", F.posexplode(F.array_append("words", F.lit(""))).alias("pos", "term"))
+    rows = placed.select("term", "rid", "pos", F.when(F.col("term") == "", F.col("doc_id")).alias("doc_id"))
+    return materialise(rows.sortWithinPartitions("term", "rid", "pos"), "postings", **{"parquet.writer.version": "PARQUET_2_0"})
+
+
+def lengths(index: DataFrame) -> DataFrame:
+    """rid, doc_id and n_words of each document of the index."""
+    return index.where(F.col("term") == "").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words"))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows of ``size`` consecutive item words with the items that hold them.
+    """Distinct windows (wid, window) of ``size`` consecutive item words with the items that hold them.  Written once.
 
     An item of fewer words, but not none, is one window.  A null item id is kept as such.
     """
     split = items.select("item_id", words(lower_ascii(F.col("text")), SEPARATORS).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
-    cut = split.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("window"))
-    return cut.distinct()
+    cut = materialise(split.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("window")).distinct(), "windows")
+    named = materialise(cut.select("window").distinct().withColumn("wid", F.monotonically_increasing_id()), "window_ids")
+    return cut.join(named, "window")
 
 
 def small(df: DataFrame, text_bytes: str) -> bool:
@@ -38,64 +54,113 @@ def small(df: DataFrame, text_bytes: str) -> bool:
     return n <= BROADCAST_ROWS and (b or 0) <= BROADCAST_BYTES
 
 
-def occurrences(store: DataFrame, wins: DataFrame, slop: int = 0) -> DataFrame:
-    """Where windows occur: rid, start (from 0), len, window, exact.
+def _shared(df: DataFrame, text_bytes: str = "octet_length(term)") -> DataFrame:
+    """The table as a broadcast side if it is small, else as it is."""
+    return F.broadcast(df) if small(df, text_bytes) else df
+
+
+def ranked_terms(index: DataFrame, wins: DataFrame) -> DataFrame:
+    """(wid, len, t): each window's terms from the rarest to the most frequent, as (df, off, term).
+
+    Windows with a term that the index lacks can't occur and are left out.
+    """
+    placed = wins.select("wid", "window").distinct().select("wid", F.size("window").alias("len"), F.posexplode("window").alias("off", "term"))
+    terms = _shared(placed.select("term").distinct())
+    counts = materialise(index.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term_counts")
+    listed = placed.join(counts, "term").groupBy("wid", "len").agg(F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("t"))
+    return materialise(listed.where(F.size("t") == F.col("len")), "ranked_terms")
 
-    The postings of the store are counted for the windows' terms only.  Each window is
-    looked up by its rarest term: the term's postings, moved back by its offset, are the
-    candidate starts, and these are intersected with the postings of the next rarest term
-    at its own offset, then of all others, before a row is made.  With ``slop`` a candidate
-    also matches, not exactly, where all terms of the window stand within ``slop`` more words.
-    A text is one row and its postings are read in place, so no list of a frequent term is
-    ever gathered in one task; terms of a window that are in no text end the search for it.
+
+def lists(index: DataFrame, ranked: DataFrame, rank: int) -> DataFrame:
+    """The postings of each window's term of this rank, moved back by its offset: (rid, start, wid)."""
+    at = F.get("t", F.lit(rank))
+    terms = ranked.where(F.size("t") > rank).select("wid", at["term"].alias("term"), at["off"].alias("off"))
+    moved = index.join(_shared(terms), "term").select("rid", (F.col("pos") - F.col("off")).alias("start"), "wid")
+    return moved.where("start >= 0")
+
+
+def intersection(candidates: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """The candidates that are also in the other list.  Of the others only those that may be candidates are moved."""
+    name = F.xxhash64(*on)
+    kept = tested(others.select(*on).withColumn("__tf_h", name), candidates.select(name.alias("__tf_h")), "__tf_h").where("__tf_maybe").select(*on)
+    return candidates.join(kept.hint("merge"), on, "left_semi")
+
+
+def occurrences(index: DataFrame, wins: DataFrame) -> DataFrame:
+    """Where windows occur word for word: rid, start (from 0), len, wid.
+
+    The postings of each window's rarest term, moved back by its offset, are the candidate
+    starts; they are intersected with the moved postings of the next rarest term.  What is
+    left looks up all other terms at their places at once, and stays if each is there.
+    """
+    ranked = ranked_terms(index, wins)
+    first = materialise(lists(index, ranked, 0), "first_lists")
+    both = materialise(intersection(first.join(_shared(ranked.where("len > 1").select("wid"), "8"), "wid", "left_semi"), lists(index, ranked, 1), ["rid", "start", "wid"]), "second_lists")
+    rest = F.slice("t", 3, F.greatest(F.lit(1), F.col("len") - 2))
+    needed = _shared(ranked.where("len > 2").select("wid", "len", rest.alias("rest")), "octet_length(array_join(rest.term, ' '))")
+    probes = both.join(needed, "wid").select("rid", "start", "wid", "len", F.explode("rest").alias("r"))
+    probes = materialise(probes.select("rid", "start", "wid", "len", (F.col("start") + F.col("r.off")).alias("pos"), F.col("r.term").alias("term")), "probes")
+    there = intersection(probes, index.where(F.col("term") != ""), ["rid", "pos", "term"])
+    whole = there.groupBy("rid", "start", "wid", "len").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("len") - 2)
+    single = first.join(_shared(ranked.where("len = 1").select("wid"), "8"), "wid", "left_semi")
+    double = both.join(_shared(ranked.where("len = 2").select("wid"), "8"), "wid", "left_semi")
+    columns = ["rid", "start", "len", "wid"]
+    short = single.withColumn("len", F.lit(1)).select(*columns).unionByName(double.withColumn("len", F.lit(2)).select(*columns))
+    return whole.select(*columns).unionByName(short)
+
+
+def proximity(index: DataFrame, wins: DataFrame, slop: int) -> DataFrame:
+    """The (rid, wid) where some run of ``slop`` words more than the window holds all terms of the window, in any order.
+
+    Postings of the rarest term are held against those of the others in the same stretch of
+    the document or the next, so no document's lists are multiplied out.
     """
-    distinct = wins.select("window").distinct()
-    terms = distinct.select(F.explode("window").alias("term")).distinct()
-    terms = F.broadcast(terms) if small(terms, "octet_length(term)") else terms
-    counts = store.select(F.explode("words").alias("term")).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    counts = materialise(counts, "term_counts")
-    placed = distinct.select("window", F.posexplode("window").alias("off", "term"))
-    ranked = placed.join(counts, "term", "left").groupBy("window").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("t"))
-    anchors = ranked.where(F.col("t")[0]["df"] > 0).select(F.col("t")[0]["term"].alias("term"), F.col("t")[0]["off"].alias("off"), F.get("t", F.lit(1))["term"].alias("term2"), F.get("t", F.lit(1))["off"].alias("off2"), "window", F.size("window").alias("len"))
-    anchors = materialise(anchors, "anchors")
-    begin = F.col("pos") - F.col("off")
-    if small(anchors, "octet_length(array_join(window, ' '))"):
-        postings = store.select("rid", "words", F.posexplode("words").alias("pos", "term"))
-        anchors, base = F.broadcast(anchors), F.lit(0)
-    else:
-        reach = WINDOW - 1 + slop
-        postings = store.select("rid", "words", F.posexplode("words").alias("pos", "term"))
-        base = F.greatest(F.lit(0), F.col("pos") - reach)
-        postings = postings.join(anchors.select("term").distinct(), "term", "left_semi")
-        postings = postings.select("rid", "pos", "term", F.slice("words", base + 1, F.lit(2 * reach + 1)).alias("words"))
-    second = F.col("term2").isNull() | (F.get("words", begin + F.col("off2") - base) == F.col("term2"))
-    exact = (begin >= 0) & second & (F.slice("words", F.greatest(begin - base, F.lit(0)) + 1, F.col("len")) == F.col("window"))
-    on = postings["term"] == anchors["term"]
-    if not slop:
-        return postings.join(anchors, on & exact).select("rid", begin.alias("start"), "len", "window", F.lit(True).alias("exact"))
-    from_, span = F.greatest(F.lit(0), F.col("pos") - F.col("len") - slop + 1), F.col("len") + slop
-    # some run of len + slop words around the posting holds all terms of the window
-    near = F.exists(
-        F.sequence(from_, F.col("pos")),
-        lambda s: F.size(F.array_except("window", F.slice("words", F.greatest(s - base, F.lit(0)) + 1, span))) == 0,
-    )
-    return postings.join(anchors, on & (exact | near)).select("rid", begin.alias("start"), "len", "window", exact.alias("exact"))
+    ranked = ranked_terms(index, wins)
+    distinct = F.array_distinct(F.transform("t", lambda x: x["term"]))
+    listed = ranked.select("wid", (F.col("len") + slop).alias("reach"), distinct.alias("terms"))
+    listed = materialise(listed.select("wid", "reach", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term")), "window_terms")
+    found = index.join(_shared(listed), "term").select("rid", "wid", "reach", "n", "k", "pos", F.expr("pos div reach").alias("cell"))
+    anchors = materialise(found.where("k = 0"), "anchors")
+    spread = anchors.where("n > 1").select("rid", "wid", "reach", "n", F.col("pos").alias("at"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    on = ["rid", "wid", "cell"]
+    others = tested(found.where("k > 0").withColumn("__tf_h", F.xxhash64(*on)), spread.select(F.xxhash64(*on).alias("__tf_h")), "__tf_h").where("__tf_maybe").select(*on, "k", "pos")
+    near = spread.join(others, on).where(F.abs(F.col("pos") - F.col("at")) < F.col("reach"))
+    held = near.groupBy("rid", "wid", "at", "reach", "n").agg(F.collect_list(F.struct("k", "pos")).alias("held"))  # of 2 * reach words at most
+    begins = F.sequence(F.col("at") - F.col("reach") + 1, F.col("at"))
+
+    def full(begin: Column) -> Column:
+        inside = F.filter("held", lambda h: (h["pos"] >= begin) & (h["pos"] < begin + F.col("reach")))
+        return F.size(F.array_distinct(F.transform(inside, lambda h: h["k"]))) == F.col("n") - 1
+
+    several = held.where(F.exists(begins, full)).select("rid", "wid")
+    return several.unionByName(anchors.where("n = 1").select("rid", "wid")).distinct()
+
+
+def matches(docs: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
+    """Per document and window that it holds, exactly or nearly: doc_id, window (its words), n_exact and near."""
+    index = postings(docs)
+    wins = materialise(windows(items), "item_windows")
+    exact = occurrences(index, wins).groupBy("rid", "wid").agg(F.count(F.lit(1)).alias("n_exact"))
+    near = proximity(index, wins, slop).withColumn("near", F.lit(True))
+    both = near.join(exact, ["rid", "wid"], "left").join(lengths(index).select("rid", "doc_id"), "rid")
+    text = wins.select("wid", F.array_join("window", " ").alias("window")).distinct()
+    return both.join(text, "wid").select("doc_id", "window", F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"), "near")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The token store, and per text with hits: rid, n_hit (words inside any occurrence) and the distinct items' count and hash."""
-    store = token_store(docs)
-    wins = materialise(windows(items), "windows")
-    found = materialise(occurrences(store, wins), "occurrences")
+    """The index, and per text with hits: rid, n_hit (words inside any occurrence) and the distinct items' count and hash."""
+    index = postings(docs)
+    wins = materialise(windows(items), "item_windows")
+    found = materialise(occurrences(index, wins), "occurrences")
     spans = found.groupBy("rid", "start").agg(F.max("len").alias("len"))
     order = Window.partitionBy("rid").orderBy("start")
     reached = F.max(F.col("start") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest(F.col("start"), F.coalesce(reached, F.lit(0))))
     hits = spans.select("rid", new.alias("new")).groupBy("rid").agg(F.sum("new").alias("n_hit"))
-    held = found.select("rid", "window").distinct().join(wins, "window").select("rid", F.col("item_id").cast("string").alias("item")).distinct()
+    held = found.select("rid", "wid").distinct().join(wins.select("wid", "item_id"), "wid").select("rid", F.col("item_id").cast("string").alias("item")).distinct()
     listed = held.groupBy("rid").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list("item")).alias("items"))
     listed = listed.select("rid", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
-    return store, hits.join(listed, "rid")
+    return index, hits.join(listed, "rid")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least_items: int = 2) -> DataFrame:
@@ -104,8 +169,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, least_items: int = 2) -> Da
     Null and wordless texts have no hits; an empty benchmark hits nothing; of an item with a
     null id the windows count, and the id is left out of the hash.
     """
-    store, hits = contamination(docs, items)
-    out = store.select("rid", "doc_id", "n_words").join(hits, "rid", "left")
+    index, hits = contamination(docs, items)
+    out = lengths(index).join(hits, "rid", "left")
     none = F.sha2(F.lit("").cast("binary"), 256)
     count = F.coalesce("n_items", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), count.alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (count >= least_items).alias("contaminated"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -56,14 +57,42 @@ def test_the_shuffled_path_agrees(spark, rows, docs, items, monkeypatch):
     assert result(M.decontaminate(docs, bench)) == brute([(r[0], r[1]) for r in rows], items)
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "x a b q c d y"), (2, "d c b a"), (3, "a b x x x c d")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
-    store = M.token_store(docs)
-    ids = {r.rid: r.doc_id for r in store.collect()}
-    found = {ids[r.rid] for r in M.occurrences(store, M.windows(bench), slop=1).collect()}
-    assert found == {1, 2}
-    assert M.occurrences(store, M.windows(bench)).count() == 0
+def brute_matches(docs, items, slop):
+    wins = {tuple(w[s : s + 8]) for _, t in items for w in [split(t)] for s in range(max(1, len(w) - 7) if w else 0)}
+    out = []
+    for doc, text in docs:
+        w = split(text)
+        for win in wins:
+            exact = sum(tuple(w[s : s + len(win)]) == win for s in range(len(w) - len(win) + 1))
+            run = len(win) + slop
+            if any(set(win) <= set(w[s : s + run]) for s in range(max(1, len(w) - run + 1))):
+                out.append((doc, " ".join(win), exact, True))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("slop", [0, 1, 4])
+def test_proximity(spark, slop, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    rng = random.Random(5)
+    texts = ["x a b q c d y", "d c b a", "a b x x x c d", "a b c d a b c d", None, "", "a", *[" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 12, 60]))) for _ in range(25)]]
+    docs = list(enumerate(texts))
+    items = [(1, "a b c d"), (2, "a"), (3, "a a"), (4, "a b a c a d"), (5, "zz a"), (6, None), (7, " ".join(rng.choice("abcdefgh") for _ in range(12)))]
+    got = M.matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), slop)
+    assert result(got) == brute_matches(docs, items, slop)
+
+
+def test_the_index(spark, rows, docs):
+    """Every place of every word once, files sorted by term, document and position; a document's length and id at the empty term."""
+    index = M.postings(docs)
+    assert index.where("term <> ''").count() == sum(len(split(r[1])) for r in rows)
+    assert sorted(tuple(r) for r in M.lengths(index).select("doc_id", "n_words").collect()) == sorted((r[0], len(split(r[1]))) for r in rows)
+    text = {r["rid"]: split({x[0]: x[1] for x in rows}[r["doc_id"]]) for r in M.lengths(index).collect()}
+    assert all(text[r["rid"]][r["pos"]] == r["term"] for r in index.where("term <> ''").collect())
+    for path in index.inputFiles():
+        part = [(r["term"].encode(), r["rid"], r["pos"]) for r in spark.read.parquet(path).collect()]
+        assert part == sorted(part)
 
 
 def test_empty_tables(spark, docs, empty):
