@@ -6,28 +6,34 @@ one place.  Texts don't travel to the counts; each block of texts sends the dist
 and words that it holds, and gets back their probabilities:
 
 1. ``analyse`` the parts of a block of some MB: their grams (a byte with the five before it),
-   or, from the sixth byte of a word on, hashes of the whole word so far; write the block's
-   dictionary, dealt into buckets by the last three context bytes, and its text, compressed;
-2. merge each bucket's dictionaries: the counts of a context of three bytes or more, or of a
-   word, are all in one bucket; those of one and two bytes form a table of at most 2**24 rows;
-3. learn the mixer's weights and the refinement's curves online over all distinct grams, each
+   and their words, whose bytes from the sixth on are left to the word; write the block's
+   dictionaries, grams dealt by the last three context bytes and words by their hash, and its
+   text, compressed;
+2. merge the words of each word bucket, and send on the grams of their later bytes, each
+   together with a hash of the whole word so far;
+3. merge each gram bucket: the counts of a context of three bytes or more, or of a word, are
+   all in one bucket; those of one and two bytes form a table of at most 2**24 rows;
+4. learn the mixer's weights and the refinement's curves online over all distinct grams, each
    weighing as often as it occurs, predicted from all other occurrences; buckets learn side by
    side and their weights are averaged, for some rounds;
-4. compute each distinct gram's log probability once, in its bucket, and answer the blocks;
-5. sum up the texts.
+5. compute each distinct gram's log probability once, in its bucket; answer the word buckets,
+   which add up words, and the blocks, which add up texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabflow.llm.common import _powers, bounded_batches, materialise, mix64, tidy
 from tabflow.llm.langid import held_out
@@ -37,7 +43,7 @@ REACH = 5
 INPUTS = REACH + 2
 #: Bit predictors' prior, the learning rates, keys of a step, and rounds over all keys.
 PRIOR = 0.02
-RATE, CURVE_RATE, STEP, ROUNDS = 0.03, 0.03, 512, 3
+RATE, CURVE_RATE, STEP, ROUNDS = 0.03, 0.03, 1024, 2
 #: Bytes of text of a block, of a part of it, and of a piece of a long text (cut after a space).
 BLOCK, PART, PIECE = 8 << 20, 1 << 20, 1 << 19
 #: Training bytes a bucket, about, and buckets at most; keys that are computed at once.
@@ -49,6 +55,8 @@ END = b"\0"
 _TOP, _LOW = np.uint64(1 << 63), np.uint64(255)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CLOSED = np.uint64(0xA24BAED4963EE407)
+#: Kinds of rows: a part's text, the grams of a bucket, the words of a bucket.
+TEXT, GRAMS, WORDS = 0, 1, 2
 
 
 # --- arrays as bytes -------------------------------------------------------------------
@@ -104,142 +112,162 @@ def pieces(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     yield data[max(0, at - REACH) : at], data[at:]
 
 
-@dataclass
+def shifted(s: np.ndarray) -> np.ndarray:
+    """Each byte with the five before it, the byte itself lowest."""
+    g = s.astype(np.uint64)
+    for k in range(1, REACH + 1):
+        g[k:] |= s[:-k].astype(np.uint64) << np.uint64(8 * k)
+    return g
+
+
+class Spans:
+    """Hashes of spans of some bytes: equal spans have equal hashes wherever they stand."""
+
+    def __init__(self, s: np.ndarray):
+        p, self.q = _powers(len(s) + 1)
+        with np.errstate(over="ignore"):
+            self.total = np.zeros(len(s) + 1, np.uint64)
+            np.cumsum((s.astype(np.uint64) + np.uint64(1)) * p[: len(s)], out=self.total[1:])
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.total[end] - self.total[begin]) * self.q[begin] + (end - begin).astype(np.uint64))
+
+
 class Part:
-    """What some pieces of texts hold.  ``trained``: the leading pieces that are learnt from."""
-
-    lead: np.ndarray  # bytes before each piece
-    size: np.ndarray  # bytes of each piece
-    stream: np.ndarray
-    trained: int
-    keys: np.ndarray = field(init=False)  # distinct keys, ascending, and the grams that they stand for
-    grams: np.ndarray = field(init=False)
-    tokens: np.ndarray = field(init=False)  # distinct token hashes, ascending
-
-    def analyse(self) -> Part:
-        s, n = self.stream, len(self.stream)
-        begin = np.concatenate([[0], np.cumsum(self.lead + self.size)])
-        body, end = begin[:-1] + self.lead, begin[1:]
-        g = s.astype(np.uint64)
-        for k in range(1, REACH + 1):
-            g[k:] |= s[:-k].astype(np.uint64) << np.uint64(8 * k)
+    """What some pieces of texts hold: bytes ``lead`` before each piece, ``size`` of it, all in ``stream``; the
+    first ``trained`` pieces are learnt from.
+
+    ``grams``: the distinct grams of the first five bytes of words (the byte that closes a word is its last), ascending,
+    and ``counts``, how often each occurs where it is learnt; ``words``: the distinct words with the byte that closes
+    each, and ``times``.
+    """
+
+    def __init__(self, lead: np.ndarray, size: np.ndarray, stream: np.ndarray, trained: int):
+        self.lead, self.size, self.stream, self.trained = lead, size, stream, trained
+        s, n = stream, len(stream)
+        begin = np.concatenate([[0], np.cumsum(lead + size)])
+        body, end = begin[:-1] + lead, begin[1:]
+        g = shifted(s)
         for j in range(REACH):  # what stands before a text counts as zero
             at = begin[:-1] + j
             at = at[at < end]
             g[at] &= np.uint64((1 << (8 * (j + 1))) - 1)
-        p, q = _powers(n + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((s.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
         # words: from the piece's begin or after a space, up to a space or the end
         space = np.flatnonzero(s == 32)
         of = np.searchsorted(end, space, "right")
         inner = space[(space >= body[of]) & (space + 1 < end[of])] + 1
         start = np.sort(np.concatenate([body, inner]))
         piece = np.searchsorted(body, start, "right") - 1
-        last = np.append(piece[1:] != piece[:-1], True) if len(piece) else np.zeros(0, bool)
+        last = np.append(piece[1:] != piece[:-1], True)
         stop = np.where(last, end[piece] - 1, np.append(start[1:], n) - 1)
-        length = stop - start
-
-        def named(at: np.ndarray, upto: np.ndarray) -> np.ndarray:
-            with np.errstate(over="ignore"):
-                return mix64((total[upto] - total[at]) * q[at] + (upto - at).astype(np.uint64))
-
-        self.word_piece = piece[length > 0]
-        start, stop, length = start[length > 0], stop[length > 0], length[length > 0]
-        hashes = named(start, stop)
-        # what a word adds from its sixth byte on follows from the word and the byte that closes it
-        long = np.zeros(n + 1, np.int8)
-        wide = length >= REACH
-        long[start[wide] + REACH] = 1
-        long[stop[wide] + 1] = -1
-        short = np.cumsum(long[:-1], dtype=np.int8) == 0
-        for a, b in zip(begin[:-1][self.lead > 0], body[self.lead > 0], strict=True):
-            short[a:b] = False
-        self.short_at = np.flatnonzero(short)
-        self.short = g[self.short_at]
-        closed = hashes ^ np.where(s[stop] == 32, np.uint64(0), _CLOSED)
+        piece, start, stop = (x[stop > start] for x in (piece, start, stop))
+        # the later bytes of long words are the words' own
+        late = np.zeros(n + 1, np.int8)
+        wide = stop - start >= REACH
+        late[start[wide] + REACH] = 1
+        late[stop[wide] + 1] -= 1
+        early = np.cumsum(late[:-1], dtype=np.int8) == 0
+        for a, b in zip(begin[:-1][lead > 0], body[lead > 0], strict=True):
+            early[a:b] = False
+        self.early_at, self.piece, self.end = np.flatnonzero(early), piece, end
+        self.early = g[self.early_at]
+        closed = Spans(s)(start, stop + 1)
         order = np.argsort(closed)
         new = np.append(True, closed[order][1:] != closed[order][:-1]) if len(order) else np.zeros(0, bool)
         self.word = np.empty(len(order), np.int64)
         self.word[order] = np.cumsum(new) - 1
         first = order[new]
-        learnt = self.word_piece < self.trained
-        times = np.bincount(self.word[learnt], minlength=len(first))
-        # distinct tokens
-        self.tokens, self.token_of = np.unique(hashes[first], return_inverse=True)
-        self.token_counts = np.bincount(self.token_of, times, len(self.tokens)).astype(np.int64)
-        # distinct keys of words
-        begins, many = start[first] + REACH, np.maximum(0, length[first] + 1 - REACH)
-        self.grown = np.repeat(np.arange(len(first)), many)
-        at = np.repeat(begins - np.cumsum(many) + many, many) + np.arange(many.sum())
-        name = (named(np.repeat(start[first], many), at) | _TOP) & ~_LOW | s[at]
-        whole, spot, self.grown_key = np.unique(name, return_index=True, return_inverse=True)
-        # distinct grams
-        cut = np.searchsorted(self.short_at, end[self.trained - 1]) if self.trained else 0
-        seen = np.sort(self.short)
-        seen = seen[np.append(True, seen[1:] != seen[:-1])] if len(seen) else seen
-        known = np.sort(self.short[:cut])
-        counts = np.searchsorted(known, seen, "right") - np.searchsorted(known, seen)
-        self.n_short = len(seen)
-        self.keys = np.concatenate([seen, whole])
-        self.grams = np.concatenate([seen, g[at[spot]]])
-        self.counts = np.concatenate([counts, np.bincount(self.grown_key, times[self.grown], len(whole)).astype(np.int64)])
-        self.begin, self.end = begin, end
-        return self
-
-    def sums(self, logs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
-        """By piece: log probability of its bytes, base score, tokens and known tokens, without the end.
-
-        ``logs``: of each key; ``values``: the training count of each token and its base score.
-        """
+        whole = s.tobytes()
+        self.words = [whole[a : b + 1] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        self.times = np.bincount(self.word[piece < trained], minlength=len(first))
+        cut = np.searchsorted(self.early_at, end[trained - 1]) if trained else 0
+        seen = np.sort(self.early)
+        self.grams = seen[np.append(True, seen[1:] != seen[:-1])] if len(seen) else seen
+        known = np.sort(self.early[:cut])
+        self.counts = np.searchsorted(known, self.grams, "right") - np.searchsorted(known, self.grams)
+
+    def sums(self, logs: np.ndarray, word_logs: np.ndarray, word_counts: np.ndarray, divisor: float) -> tuple[np.ndarray, ...]:
+        """By piece: log probability of its bytes, base score, tokens and known tokens, all without the end token."""
         n = len(self.size)
-        counts, base = values
-        own = logs[looked_up(self.keys[: self.n_short], self.short)]
-        of = np.searchsorted(self.end, self.short_at, "right")
-        total = np.bincount(of, own, n)
-        word_logs = np.bincount(self.grown, logs[self.n_short :][self.grown_key], len(self.token_of))
-        total += np.bincount(self.word_piece, word_logs[self.word], n)
-        token = self.token_of[self.word]
-        return total, np.bincount(self.word_piece, base[token], n), np.bincount(self.word_piece, minlength=n), np.bincount(self.word_piece, counts[token] > 0, n).astype(np.int64)
-
-
-class Dictionary:
-    """The distinct keys and tokens of a block's parts, with their training counts."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
-        self.keys, self.counts, self.grams = _union([p[:3] for p in parts])
-        self.tokens, self.token_counts = _union([p[3:] for p in parts])
-
-    def dealt(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """The entries of each bucket that has any: keys by the last three context bytes, tokens in buckets of their own."""
-        for b, at in _dealt(mix64((self.grams >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets), buckets):
-            keys = self.keys[at]
-            yield b, packed(steps(keys), self.counts[at], self.grams[at][keys >= _TOP] >> np.uint64(8))
-        for b, at in _dealt(self.tokens % np.uint64(buckets), buckets):
-            yield buckets + b, packed(steps(self.tokens[at]), self.token_counts[at])
-
-
-def _union(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    """Distinct keys of parts (keys ascending, counts, further columns that follow from the key), counts summed."""
-    keys = np.sort(np.concatenate([p[0] for p in parts]))
-    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-    out = [keys, np.zeros(len(keys), np.int64), *[np.zeros(len(keys), c.dtype) for c in parts[0][2:]]]
-    for own, counts, *rest in parts:
-        at = looked_up(keys, own)
-        out[1][at] += counts
-        for column, values in zip(out[2:], rest, strict=True):
-            column[at] = values
-    return out
+        of = np.searchsorted(self.end, self.early_at, "right")
+        total = np.bincount(of, logs[looked_up(self.grams, self.early)], n) + np.bincount(self.piece, word_logs[self.word], n)
+        base = np.bincount(self.piece, np.log10((word_counts + 1) / divisor)[self.word], n)
+        known = np.bincount(self.piece, word_counts[self.word] > 0, n).astype(np.int64)
+        return total, base, np.bincount(self.piece, minlength=n), known
+
+
+def packed_words(words: list[bytes], *columns: np.ndarray) -> bytes:
+    return packed(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int32), *columns)
+
+
+def unpacked_words(data: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+    text, lengths, *columns = unpacked(data)
+    whole, cuts = text.tobytes(), np.concatenate([[0], np.cumsum(lengths)]).tolist()
+    return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], columns
+
+
+def gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64((grams >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each bucket that has any, in their order."""
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         yield int(b), order[cuts[b] : cuts[b + 1]]
 
 
+def block_rows(parts: list[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, bucket, data) of a block's dictionaries: grams and words of its parts with their counts."""
+    grams, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    for b, at in _dealt(gram_bucket(grams, buckets), buckets):
+        yield GRAMS, b, packed(steps(grams[at]), np.zeros(0, np.uint32), counts[at])
+    words: Counter[bytes] = Counter()
+    for p in parts:
+        for w, n in zip(p[2], p[3].tolist(), strict=True):
+            words[w] += n
+    held: list[list[bytes]] = [[] for _ in range(buckets)]
+    for w in sorted(words):  # words that begin alike compress together
+        held[zlib.crc32(w[:-1]) % buckets].append(w)
+    for b, own in enumerate(held):
+        if own:
+            yield WORDS, b, packed_words(own, np.array([words[w] for w in own], np.int64))
+
+
+def later_grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of words from the sixth on: distinct (gram, hash of the word so far), their counts, and of each such
+    byte, word by word, the place among the distinct ones."""
+    s = np.frombuffer(b"".join(words), np.uint8)
+    length = np.array([len(w) for w in words], np.int64)
+    start = np.cumsum(length) - length
+    many = np.maximum(0, length - REACH)
+    at = np.repeat(start + REACH - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    grams, names = shifted(s)[at], (Spans(s)(np.repeat(start, many), at) >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((names, grams))
+    g, h = grams[order], names[order]
+    new = np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])) if len(g) else np.zeros(0, bool)
+    place = np.empty(len(g), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return g[new], h[new], np.bincount(place, np.repeat(counts, many), int(new.sum())).astype(np.int64), place
+
+
+def key_of(grams: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """What tells entries apart: a gram of a word's first bytes itself, else a hash of context and word, and the byte."""
+    if not len(names):
+        return grams
+    with np.errstate(over="ignore"):
+        return (mix64((grams >> np.uint64(8)) * _MULT + names.astype(np.uint64)) | _TOP) & ~_LOW | grams & _LOW
+
+
+def entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, grams and counts of a bucket's part of a dictionary."""
+    grams, names, counts = unpacked(data)
+    grams = np.cumsum(grams, dtype=np.uint64)
+    return key_of(grams, names), grams, counts
+
+
 def looked_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of the wanted ones among ascending keys that hold them all; most are found by a table of hashes."""
     if not len(keys):
@@ -304,29 +332,27 @@ class Contexts:
             before = (grams >> np.uint64(8 * (k + 1))) & _LOW
             self.begun[(before == 32) | (before == 0)] = k
 
-    def inputs(self, bit: int, own: bool = True, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched predictions of the keys' own bit (a column each context, and a bias), the gate, and the sign of the
+    def inputs(self, bit: int, own: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stretched predictions of the keys' own bit (a row each context, and a bias), the gate, and the sign of the
         bit.  ``own``: with the occurrence itself; learning leaves it out."""
-        m = len(self.grams[at])
-        same, all_ = np.empty((REACH + 1, m)), np.empty((REACH + 1, m))
+        same, all_ = (np.empty((REACH + 1, len(self.grams)), np.float32) for _ in range(2))
         for k in range(REACH):
-            place = self.at[k][at]
-            same[k], all_[k] = self.tables[k][bit + 1][place], self.tables[k][bit][place]
-        whole, begun = self.whole[at], self.begun[at]
-        same[REACH], all_[REACH] = np.take_along_axis(same[:REACH], begun[None], 0)[0], np.take_along_axis(all_[:REACH], begun[None], 0)[0]
-        place = self.at[REACH] if isinstance(at, slice) and at == slice(None) else self.at[REACH][np.cumsum(self.whole)[at][whole] - 1]
-        same[REACH, whole], all_[REACH, whole] = self.tables[REACH][bit + 1][place], self.tables[REACH][bit][place]
+            same[k], all_[k] = self.tables[k][bit + 1][self.at[k]], self.tables[k][bit][self.at[k]]
+        for out in (same, all_):
+            out[REACH] = np.take_along_axis(out[:REACH], self.begun[None], 0)[0]
+        same[REACH, self.whole], all_[REACH, self.whole] = self.tables[REACH][bit + 1][self.at[REACH]], self.tables[REACH][bit][self.at[REACH]]
         if not own:
             same -= 1
             all_ -= 1
-        x = np.empty((m, INPUTS))
-        x[:, : REACH + 1] = np.log((same + PRIOR) / (all_ - same + PRIOR)).T
-        sign = 2.0 * ((self.byte[at] >> (7 - bit)) & 1) - 1
-        x[:, REACH + 1] = 0.3 * sign
-        seen = all_ > 0
-        longest = (seen[:REACH] * np.arange(1, REACH + 1)[:, None]).max(axis=0)
-        gate = ((whole & seen[REACH]) * (REACH + 1) + longest) * 8 + bit
-        return x, gate, sign
+        x = np.empty((INPUTS, len(self.grams)), np.float32)
+        np.log((same + np.float32(PRIOR)) / (all_ - same + np.float32(PRIOR)), out=x[: REACH + 1])
+        sign = (2 * ((self.byte >> (7 - bit)) & 1) - 1).astype(np.float32)
+        x[REACH + 1] = np.float32(0.3) * sign
+        longest = np.zeros(len(self.grams), np.int64)
+        for k in range(REACH):
+            longest[all_[k] > 0] = k + 1
+        longest[self.whole & (all_[REACH] > 0)] += REACH + 1
+        return x, longest * 8 + bit, sign
 
 
 @dataclass
@@ -339,7 +365,7 @@ class Model:
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The stretched probability of the own bit."""
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -7.99, 7.99)
+        return np.clip(np.einsum("ij,ij->j", x, self.weights.T[:, gate]), -7.99, 7.99)
 
     def refine(self, s: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The gate's curve at the stretched probability of a one; the knot below and the way to the next."""
@@ -366,25 +392,26 @@ class Model:
         """
         mass = np.zeros(GATES)
         order = np.argsort(mix64(c.keys))
-        seen, bent = np.full(self.weights.shape, 1.0), np.full(self.curves.shape, 1.0)
+        n = c.n[order]
+        bits = [tuple(v[..., order] for v in c.inputs(bit, own=False)) for bit in range(8)]
+        seen, bent = np.full(self.weights.shape, 1.0), np.full(self.curves.size, 1.0)
         for begin in range(0, len(order), STEP):
-            at = order[begin : begin + STEP]
-            n = c.n[at]
-            for bit in range(8):
-                x, gate, sign = c.inputs(bit, own=False, at=at)
+            at = slice(begin, begin + STEP)
+            times = n[at]
+            for xs, gates, signs in bits:
+                x, gate, sign = xs[:, at], gates[at], signs[at]
                 s = self.mixed(x, gate)
-                slope = np.zeros(self.weights.shape)
-                np.add.at(slope, gate, (n * (1 - squash(s)))[:, None] * x)
+                off = times * (1 - squash(s))
+                slope = np.stack([np.bincount(gate, off * row, GATES) for row in x], axis=1)
                 seen += slope * slope
                 self.weights += RATE * slope / np.sqrt(seen)
                 curve, knot, way = self.refine(s * sign, gate)
-                off = n * ((sign > 0) - squash(curve))
-                bend = np.zeros(self.curves.shape)
-                np.add.at(bend, (gate, knot), off * (1 - way))
-                np.add.at(bend, (gate, knot + 1), off * way)
+                off = times * ((sign > 0) - squash(curve))
+                place = gate * KNOTS + knot
+                bend = np.bincount(place, off * (1 - way), self.curves.size) + np.bincount(place + 1, off * way, self.curves.size)
                 bent += bend * bend
-                self.curves += CURVE_RATE * bend / np.sqrt(bent)
-                mass += np.bincount(gate, n, GATES)
+                self.curves += (CURVE_RATE * bend / np.sqrt(bent)).reshape(self.curves.shape)
+                mass += np.bincount(gate, times, GATES)
         np.clip(self.curves, -10, 10, out=self.curves)
         return mass
 
@@ -405,7 +432,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Part, list[tuple
         rows = held[0] + held[1]
         stream = np.frombuffer(b"".join(part for r in rows for part in r[:2]), np.uint8)
         part = Part(np.array([len(r[0]) for r in rows]), np.array([len(r[1]) for r in rows]), stream, len(held[0]))
-        return part.analyse(), [r[2:] for r in rows]
+        return part, [r[2:] for r in rows]
 
     for batch in batches:
         for rid, doc_id, out, text in zip(*[batch.column(c).to_pylist() for c in ("rid", "doc_id", "held_out", "text")], strict=True):
@@ -422,12 +449,19 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Part, list[tuple
         yield made()
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*[batch.column(c).to_pylist() for c in names], strict=True)
+
+
 def dictionaries(docs: DataFrame, training: Column, buckets: int) -> DataFrame:
-    """Rows of blocks: their texts (bucket -1), and their dictionaries by bucket (keys in the lower half, tokens in the upper)."""
-    kind = docs.schema["doc_id"].dataType
-    names = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("ends", T.BooleanType())])
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("names", T.ArrayType(names))])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """Rows of blocks (block, kind, bucket, data, names): the texts of their parts, and their dictionaries by bucket."""
+    names = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("ends", T.BooleanType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("kind", "bucket")], T.StructField("data", T.BinaryType()), T.StructField("names", T.ArrayType(names))])
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,85 +469,105 @@ def dictionaries(docs: DataFrame, training: Column, buckets: int) -> DataFrame:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
         texts: list[tuple] = []
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
         size = 0
-
-        def made() -> pa.RecordBatch:
-            out = [*texts, *[(number, bucket, data, None) for bucket, data in Dictionary(held).dealt(buckets)]]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
         for part, rows in _parts(batches):
-            texts.append((number, -1, packed(part.lead, part.size, part.stream, np.array([part.trained])), [dict(zip(names.names, r, strict=True)) for r in rows]))
-            held.append((part.keys, part.counts, part.grams, part.tokens, part.token_counts))
+            texts.append((number, TEXT, -1, packed(part.lead, part.size, part.stream, np.array([part.trained])), [dict(zip(names.names, r, strict=True)) for r in rows]))
+            held.append((part.grams, part.counts, part.words, part.times))
             size += len(part.stream)
             if size >= BLOCK:
-                yield made()
+                yield _batch([*texts, *[(number, *r, None) for r in block_rows(held, buckets)]], arrow)
                 number, texts, held, size = number + 1, [], [], 0
         if held:
-            yield made()
+            yield _batch([*texts, *[(number, *r, None) for r in block_rows(held, buckets)]], arrow)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (~training).alias("held_out"), text_column(docs).alias("text"))
     return materialise(rows.mapInArrow(work, schema), "lm_blocks")
 
 
-def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, counts and grams of a bucket's part of a dictionary (of tokens, no grams)."""
-    keys, counts, *rest = unpacked(data)
-    keys = np.cumsum(keys, dtype=np.uint64)
-    grams = keys.copy()
-    if rest:
-        grams[keys >= _TOP] = rest[0] << np.uint64(8) | keys[keys >= _TOP] & _LOW
-    return keys, counts, grams
-
-
-class _Merger:
-    """Sums dictionaries; what is held is sorted out whenever it has doubled."""
+def by_bucket(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of each key, whose rows come together.  What is held of a key is compressed."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, *row in _rows(batch, key, *names):
+            if bucket != now:
+                if held:
+                    yield now, held
+                now, held = bucket, []
+            held.append(tuple(row))
+    if held:
+        yield now, held
 
-    def __init__(self) -> None:
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size, self.limit = 0, 1 << 18
 
-    def add(self, entries: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        self.held.append(entries)
-        self.size += len(entries[0])
-        if self.size > self.limit:
-            self.held = [self.merged()]
-            self.size = len(self.held[0][0])
-            self.limit = max(self.limit, 2 * self.size)
+def merged_words(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, kind, bucket, data, total, distinct): each word bucket's words with their counts, the sum of the counts
+    and the number of words that occur; and the grams that it asks gram buckets for, as block ``-1 - bucket``."""
+    arrow = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, counts, grams = (np.concatenate(c) for c in zip(*self.held, strict=True))
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_bucket(batches, "bucket", "data"):
+            found: dict[bytes, int] = {}
+            for (data,) in rows:
+                words, (counts,) = unpacked_words(data)
+                for w, n in zip(words, counts.tolist(), strict=True):
+                    found[w] = found.get(w, 0) + n
+            words = sorted(found)
+            counts = np.array([found[w] for w in words], np.int64)
+            distinct = len({w[:-1] for w, n in found.items() if n})
+            out = [(-1 - bucket, WORDS, bucket, packed_words(words, counts), int(counts.sum()), distinct)]
+            grams, names, n, _ = later_grams(words, counts)
+            out += [(-1 - bucket, GRAMS, b, packed(steps(grams[at]), names[at], n[at]), 0, 0) for b, at in _dealt(gram_bucket(grams, buckets), buckets)]
+            yield _batch(out, arrow)
+
+    dealt = blocks.where(F.col("kind") == WORDS).select("bucket", "data").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    return materialise(dealt.mapInArrow(work, "block long, kind int, bucket int, data binary, total long, distinct long"), "lm_words")
+
+
+def merged_entries(parts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, their grams and summed counts; what is held is sorted out whenever it has doubled."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size, limit = 0, 1 << 18
+
+    def merged() -> tuple[np.ndarray, ...]:
+        keys, grams, counts = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
-        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        return ordered[heads], np.add.reduceat(counts[order], heads), grams[order][heads]
+        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
+        return ordered[heads], grams[order][heads], np.add.reduceat(counts[order], heads) if len(heads) else counts
+
+    for data in parts:
+        held.append(entries(data))
+        size += len(held[-1][0])
+        if size > limit:
+            held = [merged()]
+            size = len(held[0][0])
+            limit = max(limit, 2 * size)
+    return merged()
 
 
-def merged_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
-    """A row for each bucket: all its keys, their training counts, and of tokens the sum and number of those that occur."""
+def asked_grams(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """All entries, those of a bucket together: (bucket, block, data)."""
+    asked = blocks.where(F.col("kind") == GRAMS).select("bucket", "block", "data").unionByName(words.where(F.col("kind") == GRAMS).select("bucket", "block", "data"))
+    return asked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
+
+
+def merged_buckets(asked: DataFrame) -> DataFrame:
+    """A row for each gram bucket: its keys, with grams and counts."""
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(bucket: int, m: _Merger) -> pa.RecordBatch:
-            keys, counts, grams = m.merged()
-            tokens = bucket >= buckets
-            extra = [] if tokens else [grams[keys >= _TOP] >> np.uint64(8)]
-            cols = [pa.array([bucket], pa.int32()), pa.array([packed(steps(keys), counts, *extra)], pa.binary()), pa.array([int(counts.sum()) if tokens else 0]), pa.array([int(np.count_nonzero(counts)) if tokens else 0])]
-            return pa.RecordBatch.from_arrays(cols, names=["bucket", "data", "total", "distinct"])
-
-        now, merger = None, _Merger()
-        for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                if bucket != now:
-                    if now is not None:
-                        yield row(now, merger)
-                    now, merger = bucket, _Merger()
-                merger.add(_entries(data))
-        if now is not None:
-            yield row(now, merger)
+        for bucket, rows in by_bucket(batches, "bucket", "data"):
+            keys, grams, counts = merged_entries(data for (data,) in rows)
+            data = packed(steps(keys), grams, counts)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
+
+    return materialise(asked.select("bucket", "data").mapInArrow(work, "bucket int, data binary"), "lm_buckets")
 
-    parts = blocks.where("bucket >= 0").select("bucket", "data").repartitionById(2 * buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    return materialise(parts.mapInArrow(work, "bucket int, data binary, total long, distinct long"), "lm_buckets")
+
+def _merged(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, grams, counts = unpacked(data)
+    return np.cumsum(keys, dtype=np.uint64), grams, counts
 
 
 def low_orders(merged: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -523,12 +577,11 @@ def low_orders(merged: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data").to_pylist():
-                _, counts, grams = _entries(data)
+                _, grams, counts = _merged(data)
                 keys, n = summed(grams & np.uint64(0xFFFFFF), counts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n)], names=["key", "n"])
 
-    grams = merged.where("total = 0 and distinct = 0").select("data")
-    found = grams.mapInArrow(work, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = merged.select("data").mapInArrow(work, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     keys, n = np.asarray(found.column("key")).astype(np.uint64), np.asarray(found.column("n")).astype(np.float64)
     return [bit_sums(*summed(keys & np.uint64(0xFFFF), n)), bit_sums(*summed(keys, n))]
 
@@ -552,15 +605,15 @@ def train(merged: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     model = Model()
     size = GATES * (INPUTS + KNOTS + 1)
 
-    def learnt(shared) -> callable:
+    def learner(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         @tidy
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, weights, curves = shared.value
             for batch in batches:
                 for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                    keys, n, grams = _entries(data)
-                    known = n > 0
-                    keys, n, grams = keys[known], n[known], grams[known]
+                    keys, grams, n = _merged(data)
+                    learnt = n > 0
+                    keys, grams, n = keys[learnt], grams[learnt], n[learnt]
                     own = Model(weights.copy(), curves.copy())
                     mass = np.zeros(GATES)
                     for at in chunks(keys, grams, n):
@@ -575,10 +628,9 @@ def train(merged: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Model:
         total = sum((np.frombuffer(r[1]) for r in rows), np.zeros(size))
         return pa.table({"lot": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    grams = merged.where("total = 0 and distinct = 0").select("bucket", "data")
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((low, model.weights, model.curves))
-        rows = grams.mapInArrow(learnt(shared), "bucket int, sums binary").withColumn("lot", F.col("bucket") % 64)
+        rows = merged.mapInArrow(learner(shared), "bucket int, sums binary").withColumn("lot", F.col("bucket") % 64)
         lots = sorted(rows.groupBy("lot").applyInArrow(add, "lot int, sums binary").collect(), key=lambda r: r["lot"])  # 64 rows at most
         total = sum((np.frombuffer(r["sums"]) for r in lots), np.zeros(size))
         mass = total[-GATES:]
@@ -592,32 +644,65 @@ def train(merged: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def answers(blocks: DataFrame, merged: DataFrame, model: Model, low: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """For each block and bucket: the block's keys with their log probabilities, or its tokens with their training counts."""
-    shared = blocks.sparkSession.sparkContext.broadcast((low, model))
+def answers(asked: DataFrame, model: Model, low: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(block, bucket, data): to blocks their grams with the log probabilities, to word buckets the latter in the order asked."""
+    shared = asked.sparkSession.sparkContext.broadcast((low, model))
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, model = shared.value
-        known, values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-        for batch in batches:
-            out: list[tuple] = []
-            for bucket, block, data in zip(*[batch.column(c).to_pylist() for c in ("bucket", "block", "data")], strict=True):
-                keys, n, grams = _entries(data)
-                if block >= 0:
-                    out.append((block, bucket, packed(steps(keys), values[looked_up(known, keys)])))
-                elif bucket >= buckets:
-                    known, values = keys, n
-                else:  # the bucket itself comes before the blocks that ask
-                    known, values = keys, np.zeros(len(keys), np.float32)
-                    for at in chunks(keys, grams, n):
-                        values[at] = model.log10(Contexts(keys[at], grams[at], n[at], low))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "data"])
+        for bucket, rows in by_bucket(batches, "bucket", "block", "data"):
+            keys, grams, n = merged_entries(data for _, data in rows)
+            values = np.zeros(len(keys), np.float32)
+            for at in chunks(keys, grams, n):
+                values[at] = model.log10(Contexts(keys[at], grams[at], n[at], low))
+            for block, data in rows:
+                own, wanted, _ = entries(data)
+                found = values[looked_up(keys, own)]
+                reply = packed(found) if block < 0 else packed(steps(wanted), found)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([reply], pa.binary())], names=["block", "bucket", "data"])
 
-    asked = blocks.where("bucket >= 0").select("bucket", "block", "data")
-    own = merged.select("bucket", F.lit(-1).cast("long").alias("block"), "data")
-    dealt = own.unionByName(asked).repartitionById(2 * buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
+    return materialise(asked.mapInArrow(work, "block long, bucket int, data binary"), "lm_answers")
+
+
+def answered_words(blocks: DataFrame, words: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, data): the words that a block asks for, with the log probabilities of their later bytes and their
+    training counts as tokens, whatever closes them."""
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs: dict[bytes, float] = {}
+        tokens: Counter[bytes] = Counter()
+        parts: list[tuple[int, bytes]] = []
+        own: list[bytes] = []
+        for batch in batches:
+            for bucket, step, block, part, data in _rows(batch, "bucket", "step", "block", "part", "data"):
+                if step == 0:  # the bucket's words, then the replies to them, then the blocks that ask
+                    own, (counts,) = unpacked_words(data)
+                    tokens = Counter()
+                    for w, n in zip(own, counts.tolist(), strict=True):
+                        tokens[w[:-1]] += n
+                    parts, logs = [], {}
+                    continue
+                if step == 1:
+                    parts.append((part, data))
+                    continue
+                if not logs:
+                    grams, _, _, place = later_grams(own, np.zeros(len(own), np.int64))
+                    values, found = np.zeros(len(grams), np.float32), dict(parts)
+                    for b, at in _dealt(gram_bucket(grams, buckets), buckets):
+                        values[at] = unpacked(found[b])[0]
+                    many = np.maximum(0, np.array([len(w) for w in own], np.int64) - REACH)
+                    sums = np.bincount(np.repeat(np.arange(len(own)), many), values[place], len(own))
+                    logs = dict(zip(own, sums.tolist(), strict=True))
+                wanted, _ = unpacked_words(data)
+                reply = packed_words(wanted, np.array([logs[w] for w in wanted], np.float32), np.array([tokens[w[:-1]] for w in wanted], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([reply], pa.binary())], names=["block", "bucket", "data"])
+
+    held = words.where(F.col("kind") == WORDS).select("bucket", F.lit(0).alias("step"), "block", F.lit(0).alias("part"), "data")
+    back = replies.where("block < 0").select((-1 - F.col("block")).cast("int").alias("bucket"), F.lit(1).alias("step"), "block", F.col("bucket").alias("part"), "data")
+    asked = blocks.where(F.col("kind") == WORDS).select("bucket", F.lit(2).alias("step"), "block", F.lit(0).alias("part"), "data")
+    dealt = held.unionByName(back).unionByName(asked).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "step", "block", "part")
     return dealt.mapInArrow(work, "block long, bucket int, data binary")
 
 
@@ -637,53 +722,55 @@ def score(docs: DataFrame) -> DataFrame:
     texts, volume = docs.where(training).agg(F.count(F.lit(1)), F.sum(F.octet_length(text_column(docs)))).first()
     buckets = max(1, min(BUCKETS, -(-(volume or 0) // BUCKET_BYTES)))
     blocks = dictionaries(docs, training, buckets)
-    merged = merged_buckets(blocks, buckets)
-    words, distinct = merged.agg(F.sum("total"), F.sum("distinct")).first()
-    total, divisor = int(words or 0) + texts, float(int(words or 0) + texts + int(distinct or 0) + (texts > 0) + 1)
+    words = merged_words(blocks, buckets)
+    tokens, distinct = words.agg(F.sum("total"), F.sum("distinct")).first()
+    total, divisor = int(tokens or 0) + texts, float(int(tokens or 0) + texts + int(distinct or 0) + (texts > 0) + 1)
+    merged = merged_buckets(asked_grams(blocks, words, buckets))
     low = low_orders(merged)
     model = train(merged, low)
-    replies = answers(blocks, merged, model, low, buckets)
+    replies = answers(asked_grams(blocks, words, buckets), model, low)
     kind = docs.schema["doc_id"].dataType
-    held = blocks.where("bucket < 0").select("block", "bucket", "data", "names")
-    both = held.unionByName(replies.withColumn("names", F.lit(None).cast(blocks.schema["names"].dataType)))
-    parts = max(1, buckets)
-    dealt = both.repartition(parts, "block").sortWithinPartitions("block", "bucket")
+    none = F.lit(None).cast(blocks.schema["names"].dataType)
+    spoken = answered_words(blocks, words, replies, buckets)
+    both = blocks.where(F.col("kind") == TEXT).select("block", F.lit(0).alias("step"), "data", "names")
+    both = both.unionByName(replies.where("block >= 0").select("block", F.lit(1).alias("step"), "data", none.alias("names")))
+    both = both.unionByName(spoken.select("block", F.lit(2).alias("step"), "data", none.alias("names")))
+    dealt = both.repartition(buckets, "block").sortWithinPartitions("block", "step")
     end_base = float(np.log10((texts + 1) / divisor))
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def known(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        def finish(held: list[tuple], found: list[bytes], said: list[bytes]) -> Iterator[pa.RecordBatch]:
             parts = [unpacked(f) for f in found]
-            keys = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(p[0], dtype=np.uint64) for p in parts]])
-            order = np.argsort(keys)
-            return keys[order], np.concatenate([np.zeros(0), *[p[1] for p in parts]])[order]
-
-        def finish(texts_: list[tuple], found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-            keys, logs = known([f for b, f in found if b < buckets])
-            tokens, counts = known([f for b, f in found if b >= buckets])
-            base = np.log10((counts + 1) / divisor)
-            for names, data in texts_:
+            grams = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(p[0], dtype=np.uint64) for p in parts]])
+            order = np.argsort(grams)
+            grams, logs = grams[order], np.concatenate([np.zeros(0), *[p[1] for p in parts]])[order]
+            known: dict[bytes, tuple[float, int]] = {}
+            for data in said:
+                listed, (values, counts) = unpacked_words(data)
+                known.update(zip(listed, zip(values.tolist(), counts.tolist(), strict=True), strict=True))
+            for names, data in held:
                 lead, size, stream, trained = unpacked(data)
-                part = Part(lead, size, stream, int(trained[0])).analyse()
-                at = looked_up(tokens, part.tokens)
-                total, own, n, seen = part.sums(logs[looked_up(keys, part.keys)], (counts[at], base[at]))
+                part = Part(lead, size, stream, int(trained[0]))
+                facts = np.array([known[w] for w in part.words]).reshape(-1, 2)
+                total, base, n, seen = part.sums(logs[looked_up(grams, part.grams)], facts[:, 0], facts[:, 1], divisor)
                 ends = names.field("ends").to_numpy(zero_copy_only=False).astype(np.int64)
                 named = [names.field(c) for c in ("rid", "doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*named, pa.array(n + ends), pa.array(seen + ends * (texts > 0)), pa.array(own + ends * end_base), pa.array(total), pa.array(size)], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([*named, pa.array(n + ends), pa.array(seen + ends * (texts > 0)), pa.array(base + ends * end_base), pa.array(total), pa.array(size)], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
-        now, held, found = None, [], []
+        now, held, found, said = None, [], [], []
         for batch in batches:
-            for i, (block, bucket, data) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "bucket", "data")], strict=True)):
+            for i, (block, step, data) in enumerate(_rows(batch, "block", "step", "data")):
                 if block != now:
                     if held:
-                        yield from finish(held, found)
-                    now, held, found = block, [], []
-                if bucket < 0:
+                        yield from finish(held, found, said)
+                    now, held, found, said = block, [], [], []
+                if step == 0:
                     held.append((batch.column("names")[i].values, data))
                 else:
-                    found.append((bucket, data))
+                    (found if step == 1 else said).append(data)
         if held:
-            yield from finish(held, found)
+            yield from finish(held, found, said)
 
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")], T.StructField("n_bytes", T.LongType())])
     found = dealt.mapInArrow(work, schema)

@@ -117,9 +117,12 @@ def test_probabilities_sum_to_one():
 def test_learning_lowers_the_loss():
     """Predicted from all other occurrences, the bits of the training texts get likelier round by round."""
     texts = ["the cat sat on the international mat " * 3, "the dog sat on the internal mat", "a cat and a dog matter"] * 4
-    part = M.Part(np.zeros(len(texts), np.int64), np.array([len(plain(t)) for t in texts]), np.frombuffer(b"".join(map(plain, texts)), np.uint8), len(texts)).analyse()
-    low = [M.bit_sums(*M.summed(part.grams & np.uint64((1 << (8 * (k + 1))) - 1), part.counts.astype(float))) for k in (1, 2)]
-    c = M.Contexts(part.keys, part.grams, part.counts, low)
+    part = M.Part(np.zeros(len(texts), np.int64), np.array([len(plain(t)) for t in texts]), np.frombuffer(b"".join(map(plain, texts)), np.uint8), len(texts))
+    later, names, counts, _ = M.later_grams(part.words, part.times)
+    keys, grams, counts = (np.concatenate(p) for p in ((part.grams, M.key_of(later, names)), (part.grams, later), (part.counts, counts)))
+    assert counts.sum() == len(b"".join(map(plain, texts)))
+    low = [M.bit_sums(*M.summed(grams & np.uint64((1 << (8 * (k + 1))) - 1), counts.astype(float))) for k in (1, 2)]
+    c = M.Contexts(keys, grams, counts, low)
 
     def loss(model):
         total = 0.0
