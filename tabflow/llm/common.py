@@ -13,6 +13,7 @@ Conventions that all operators follow unless their docstring says otherwise:
 from __future__ import annotations
 
 import ctypes
+import json
 import os
 import tempfile
 import uuid
@@ -22,6 +23,8 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,24 +50,58 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tabflow/{uuid.uuid4().hex}/{name}"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """From now on, rows of whole texts go to Python about a MB at a time; both sides hold a batch or two.
+#: Bytes of an Arrow batch between the JVM and Python; both sides hold a batch or two.
+BATCH_BYTES = 1 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on, rows go to Python about a MB at a time, however long texts are.
 
     This lowers a session setting, which stays: plans are lazy and read it when they run.
     """
     importable(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(key))
-    if before <= 0 or before > rows:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key).removesuffix("b")
+    if not before.isdigit() or int(before) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def cut_array(cuts: Sequence, kind: str) -> tuple[Column, Column] | None:
+    """Ascending cuts as two literals: every 256th, and arrays of the 256 that begin at each; see ``cuts_below``."""
+    if not cuts:
+        return None
+    parts = [cuts[i : i + CUTS] for i in range(0, len(cuts), CUTS)]
+    first = F.from_json(F.lit(json.dumps([p[0] for p in parts])), f"array<{kind}>")
+    return first, F.from_json(F.lit(json.dumps(parts)), f"array<array<{kind}>>")
+
+
+CUTS = 256
+
+
+def cuts_below(cuts: tuple[Column, Column] | None, value: Column, equal: bool) -> Column:
+    """How many cuts are below the value (with ``equal``, or equal to it); looks at two short arrays, however many cuts there are."""
+    if cuts is None:
+        return F.lit(0)
+    first, parts = cuts
+
+    def below(cut: Column) -> Column:
+        return cut <= value if equal else cut < value
+
+    part = F.size(F.filter(first, below))
+    return F.when(part == 0, 0).otherwise((part - 1) * CUTS + F.size(F.filter(F.get(parts, part - 1), below)))
 
 
 #: Bytes of a row group of an intermediate table: what a writing or reading task holds of it.
 ROW_GROUP = 16 << 20
-#: Paths that the innermost ``scratch`` is to delete, innermost last.
+#: Paths that each ``scratch`` is to delete, the innermost last.
 _SCOPES: list[list[str]] = []
 
 
+def _filed(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables materialised within are deleted at the end; what is to last is written with ``keep=True``."""
@@ -73,20 +110,42 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            at, system = _filed(spark, path)
+            system.delete(at, True)
 
 
 def materialise(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and nothing is computed twice."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and nothing is computed twice.
+
+    The table goes with the innermost ``scratch``, kept ones with the next outer one, and what
+    is in none when the driver ends.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        at, system = _filed(spark, path)
+        system.deleteOnExit(at)
     df.write.options(**{"parquet.block.size": ROW_GROUP} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For an operator whose first argument is a table: its result is written, and the tables in between are deleted."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(df: DataFrame, *args: object, **named: object) -> DataFrame:
+            with scratch(df.sparkSession):
+                return materialise(operator(df, *args, **named), name, keep=True)
+
+        return run
+
+    return wrap
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -104,7 +163,7 @@ def keyed(docs: DataFrame, name: str = "__tf_key") -> DataFrame:
 
 
 #: Bits of the filters of hashed ids: so many at least, and at most, for about 16 bits an id between.
-FILTER_BITS, MOST_FILTER_BITS = 20, 27
+FILTER_BITS, MOST_FILTER_BITS = 20, 24
 
 
 def filter_bits(n: int) -> int:
@@ -112,7 +171,7 @@ def filter_bits(n: int) -> int:
 
 
 def hashed_bits(ids: DataFrame, name: str, bits: int) -> DataFrame:
-    """A bitmap of the hashes of ``ids.name``: words of 64 bits, ``2**bits`` bits in all, so its size has a bound (16 MB)."""
+    """A bitmap of the hashes of ``ids.name``: words of 64 bits, ``2**bits`` bits in all, so its size has a bound (some MB)."""
     at = F.pmod(F.xxhash64(name), F.lit(1 << bits))
     marked = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("__tf_word"), _bit(F.col("at")).alias("bit"))
     return marked.groupBy("__tf_word").agg(F.bit_or("bit").alias("__tf_bits"))
@@ -140,6 +199,17 @@ def without(df: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     return sure.unionByName(open_.select(*sure.columns))
 
 
+def committed(system: pafs.FileSystem, temp: str, final: str) -> None:
+    """Give a whole file its name.  A name that an earlier attempt of the task has given is given anew: equal rows make
+    equal files, so either may stay, also where a store refuses to rename onto a file."""
+    try:
+        system.move(temp, final)
+    except OSError:
+        if system.get_file_info(final).type != pafs.FileType.File:
+            raise
+        system.delete_file(temp)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; texts that are ASCII throughout take the faster ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

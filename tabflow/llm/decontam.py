@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import keyed, lower_ascii, materialise, scratch, tested, without, words
+from tabflow.llm.common import finished, keyed, lower_ascii, materialise, scratch, tested, without, words
 
 #: What separates words: ASCII but digits and (lower-case) letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -136,6 +136,7 @@ def proximity(index: DataFrame, wins: DataFrame, slop: int) -> DataFrame:
     return several.unionByName(anchors.where("n = 1").select("rid", "wid")).distinct()
 
 
+@finished("matches")
 def matches(docs: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
     """Per document and window that it holds, exactly or nearly: doc_id, window (its words), n_exact and near."""
     index = postings(docs)
@@ -163,6 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFra
     return index, hits.join(listed, "rid")
 
 
+@finished("decontaminated")
 def decontaminate(docs: DataFrame, items: DataFrame, least_items: int = 2) -> DataFrame:
     """Per document: words, words hit, items with occurring windows, their hash, and whether ``least_items`` are reached.
 

@@ -11,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tabflow.llm.common import _powers, bounded_batches, by_volume, mix64, text_bytes, tidy
+from tabflow.llm.common import _powers, bounded_batches, by_volume, cut_array, cuts_below, mix64, text_bytes, tidy
 
 #: Phrases are named over LEVELS rounds of parsing, which makes them about 15 bytes long.
 LEVELS = 3
 #: Names of a sketch for callers that bound its size (``keep``); fingerprints hold all names, 8 hex digits each.
 SKETCH = 64
 BATCH_CHARS = 1 << 20
-DOCS_A_PARTITION = 4096
+#: Documents that a range of ids holds, about, and ranges at most.
+DOCS_A_PARTITION, MOST_PARTITIONS = 4096, 1 << 15
 _RUN = np.uint64(0xA24BAED4963EE407)
 
 
@@ -127,8 +129,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-@tidy
-def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_batches(batches: Iterator[pa.RecordBatch], named: pa.DataType) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,7 +139,7 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         prints = fingerprints([r[3] for r in rows])
         changed = fingerprints(edited)
         cols = [
-            pa.array([rows[i][2] for i in own], pa.int64()),
+            pa.array([rows[i][2] for i in own], named),
             pa.array([len(rows[i][3]) for i in own], pa.int64()),
             pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
             pa.array([printed(prints[i]) for i in own], pa.string()),
@@ -170,20 +171,26 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     needs it as the next of its smallest, so texts are shuffled once and no order is global.
     """
     bounded_batches(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    kind = docs.schema["doc_id"].dataType
+    key = F.col("doc_id")
+    if isinstance(kind, T.StringType):  # ranges follow the first seven bytes
+        key = F.conv(F.hex(F.rpad(F.substring(F.encode("doc_id", "UTF-8"), 1, 7), 7, b"\0")), 16, 10)
+    key = F.coalesce(key.cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
     count, top = docs.agg(F.count(F.lit(1)), F.max(key)).first()
-    parts = max(1, math.ceil(count / DOCS_A_PARTITION))
+    parts = max(1, min(MOST_PARTITIONS, math.ceil(count / DOCS_A_PARTITION)))
     found = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("b")).first()["b"] if parts > 1 else []
-    cuts = sorted(set(found or []) - {top})
-    part = F.lit(0)
-    ghosts = F.when(F.col("key") == F.lit(top), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    if cuts:
-        held = F.array(*[F.lit(c) for c in cuts])
-        part = F.size(F.filter(held, lambda b: b < F.col("key")))
-        ghosts = F.when(F.col("key") == F.lit(top), F.array(F.lit(0))).when(F.array_contains(held, F.col("key")), F.array(part + 1)).otherwise(F.array().cast("array<int>"))
+    # percentiles are sketched, and as doubles: the cuts are the largest keys that the ranges between them have
+    near = cuts_below(cut_array(sorted(set(found or [])), "bigint"), key, equal=False)
+    cuts = sorted({r["k"] for r in docs.groupBy(near.alias("p")).agg(F.max(key).alias("k")).collect()} - {top})
+    held = cut_array(cuts, "bigint")
+    part = cuts_below(held, F.col("key"), equal=False)
+    none = F.array().cast("array<int>")
+    # the largest id of each range but the highest is a cut
+    above = F.when(cuts_below(held, F.col("key"), equal=True) > part, F.array(part + 1)).otherwise(none)
+    ghosts = F.when(F.col("key") == F.lit(top), F.array(F.lit(0))).otherwise(above)
     placed = rows.withColumn("at", F.concat(F.array(F.struct(part.alias("part"), F.lit(False).alias("ghost"))), F.transform(ghosts, lambda g: F.struct(g.alias("part"), F.lit(True).alias("ghost")))))
     dealt = placed.select("doc_id", "text", "key", F.explode("at").alias("at")).select("at.part", "at.ghost", "doc_id", "text", "key")
-    ordered = dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "ghost", F.col("key").desc(), F.xxhash64("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.select("part", "ghost", "doc_id", "text").mapInArrow(_compare_batches, schema)
+    ordered = dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "ghost", F.col("key").desc(), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    schema = f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return ordered.select("part", "ghost", "doc_id", "text").mapInArrow(tidy(lambda batches: _compare_batches(batches, to_arrow_type(kind))), schema)

@@ -45,8 +45,8 @@ for _tags, _closes, _stops in (
         IMPLIED[_t] = (frozenset(_closes.split()), frozenset(_stops.split()))
 P_STOPS = frozenset("table td th caption button object template html body".split())
 END_STOPS = frozenset("table td th caption template html".split())
-#: A cell wider than this doesn't set its column's width: one long cell mustn't pad all rows.
-MAX_COLUMN = 60
+#: Levels of lists and quotes that indent: browsers build trees of at most 512 levels.
+MAX_LEVELS = 512
 
 #: In a tag a quote opens a value right after "=" only; others are ordinary characters.
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+)*+(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S)
@@ -314,10 +314,9 @@ def render_lines(top: Node, rules: list) -> list[str]:
                     n = _number(node, "value", n, 10**9)
                     counters[-1] = n + 1
                 page.mark = "- " if n is None else f"{n}. "
-                # deep nesting stops growing the indent, so that its cost stays linear
-                page.indents.append(page.indents[-1] + " " * len(page.mark) if len(page.indents[-1]) < 40 else page.indents[-1])
+                page.indents.append(page.indents[-1] + " " * len(page.mark) if len(page.indents) <= MAX_LEVELS else page.indents[-1])
             elif tag in ("dd", "blockquote"):
-                page.indents.append(page.indents[-1] + "  " if len(page.indents[-1]) < 40 else page.indents[-1])
+                page.indents.append(page.indents[-1] + "  " if len(page.indents) <= MAX_LEVELS else page.indents[-1])
             stack.append((node, True))
         stack.extend((c, False) for c in reversed(node.children))
     page.flush()
@@ -379,7 +378,7 @@ def table_lines(table: Node, rules: list) -> list[str]:
             lines = [s for s in render_lines(cell, rules) if s]
             placed.append((col, span, lines))
             width = max(map(len, lines), default=0)
-            if span == 1 and width <= MAX_COLUMN:
+            if span == 1:
                 widths[col] = max(widths.get(col, 0), width)
             for c in range(col, col + span):
                 if down > 1:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabflow.llm.common import _powers, bounded_batches, materialise, mix64, tidy
+from tabflow.llm.common import _powers, bounded_batches, finished, materialise, mix64, tidy
 from tabflow.llm.langid import held_out
 
 #: Contexts: the last 1 to 5 bytes, and as the sixth the whole word so far.
@@ -706,6 +706,7 @@ def answered_words(blocks: DataFrame, words: DataFrame, replies: DataFrame, buck
     return dealt.mapInArrow(work, "block long, bucket int, data binary")
 
 
+@finished("lm_scores")
 def score(docs: DataFrame) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score (both log10).
 

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabflow.llm.common import bounded_batches, by_volume, keyed, lower_bytes, materialise, mix64, scratch, span_hashes, tested, text_bytes, tidy, without, word_spans
+from tabflow.llm.common import bounded_batches, by_volume, finished, keyed, lower_bytes, materialise, mix64, scratch, span_hashes, tested, text_bytes, tidy, without, word_spans
 
 SHINGLE = 5
 #: Links: PER_HUNDRED percent of the union at least, unless a caller says otherwise.
@@ -259,6 +260,7 @@ def links(table: DataFrame, per_hundred: int = PER_HUNDRED) -> tuple[DataFrame,
     return nodes, stars, materialise(more, "pairs")
 
 
+@finished("near_duplicates")
 def near_duplicates(docs: DataFrame, per_hundred: int = PER_HUNDRED, bands: int = BANDS) -> DataFrame:
     """Per document: set size, smallest doc_id that it reaches by links, and whether that is its own.
 
@@ -287,8 +289,10 @@ def kept_documents(docs: DataFrame, per_hundred: int = PER_HUNDRED, bands: int =
     repeated rows one stays.
     """
     named = keyed(docs)
-    whole = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
-    ordered = named.withColumn("__tf_key", F.concat(F.coalesce(whole, F.lit("~")), F.lit(":"), F.col("__tf_key")))
+    whole = F.col("doc_id")
+    if not isinstance(docs.schema["doc_id"].dataType, T.StringType):  # as text whose order is that of the numbers
+        whole = F.lpad((whole.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    ordered = named.withColumn("__tf_key", F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), F.coalesce(whole, F.lit("")), F.lit("\0"), F.col("__tf_key")))
     with scratch(docs.sparkSession):
         found = near_duplicates(ordered.select(F.col("__tf_key").alias("doc_id"), "text"), per_hundred, bands)
         dropped = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("__tf_key")), "dropped", keep=True)

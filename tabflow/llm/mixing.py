@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import keyed, materialise, scratch, words
+from tabflow.llm.common import finished, keyed, materialise, scratch, words
 
-#: Slots that a schedule has at least, unless the corpus has fewer tokens; and tokens a block has at most.
-LEAST_SLOTS, MOST_TOKENS = 100_000, 4096
+#: Tokens of a block: what a slot of the schedule takes of its source.
+BLOCK = 1024
 #: Documents of a hash bucket, about: prefix sums go over buckets first, then within each.
 DOCS_A_BUCKET = 20_000
+#: Documents of a part of the mix, about.
+DOCS_A_PART = 8192
 #: Slots of a chunk: ranks go over chunks first, then within each.
 SLOTS_A_CHUNK = 1 << 16
 GOLDEN = 0.6180339887498949
@@ -109,9 +111,8 @@ def mix(sizes: DataFrame, seed: str = "mix", max_repeats: int = MAX_REPEATS) ->
     (slot, document) with the tokens ``first`` to ``first + tokens`` of the document that the
     slot takes.  Sizes of 0 and empty tables take nothing.
     """
+    block = BLOCK
     targets = materialise(source_targets(sizes, max_repeats), "mix_targets")
-    everything = int(targets.agg(F.sum("source_size")).first()[0] or 0)
-    block = max(1, min(MOST_TOKENS, everything // LEAST_SLOTS))
     rows = sizes.join(targets.select("source", "src"), sizes["source"].eqNullSafe(targets["source"])).select("rid", "doc_id", "src", "size")
     stream = materialise(shuffled_stream(rows, seed), "mix_stream")
     last = F.col("start") + F.col("size") - 1
@@ -129,45 +130,38 @@ def document_sizes(docs: DataFrame) -> DataFrame:
     return materialise(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size")), "mix_sizes")
 
 
+@finished("mix")
 def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Per document: size, its source's size and target, and the words that the mix takes, repeats counted."""
+    """Per document: size, its source's size and target, the words that the mix takes, repeats counted, and the first
+    slot of the schedule that takes some of them (null if none does)."""
     sizes = document_sizes(docs)
     stream, targets, taken = mix(sizes, seed)
-    sums = taken.groupBy("rid").agg(F.sum("tokens").alias("taken"))
+    sums = taken.groupBy("rid").agg(F.sum("tokens").alias("taken"), F.min("slot").alias("slot"))
     out = stream.join(sums, "rid", "left").join(targets.select("src", "source_size", "target"), "src")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot")
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix as documents: each one as often as it is taken whole, and once more cut to the words taken in part.
+    """The mix as documents in the schedule's order: each one as often as it is taken, a last copy cut to the words taken.
 
     Documents of which nothing is taken go.  All columns are kept; ``n_chars`` follows a cut.
-    A source's slots take its shuffled stream so many times whole and then up to some
-    document; with that document per source known from the mix, each text finds its own
-    number of copies by its place in the order, so texts needn't be shuffled.
+    A copy stands where the first slot stands that takes of it, so any stretch of the result
+    has about the sources' target shares.
     """
     named = keyed(docs)
-    place = F.struct(_shuffle_key(seed).alias("h"), F.col("doc_id"), F.col("size"), F.col("rid"))
     with scratch(docs.sparkSession):
         sizes = materialise(named.select(F.col("__tf_key").alias("rid"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")), "mix_sizes")
-        stream, targets, taken = mix(sizes, seed)
-        rounds = targets.select("src", "source", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0).alias("rounds"))
-        sums = stream.join(taken.groupBy("rid").agg(F.sum("tokens").alias("taken")), "rid").join(rounds, "src")
-        over = sums.where("taken > rounds * size").select("src", place.alias("at"), (F.col("taken") - F.col("rounds") * F.col("size")).alias("part"))
-        last = over.groupBy("src").agg(F.max("at").alias("last"), F.max_by("part", "at").alias("part"))
-        plan = materialise(rounds.join(last, "src", "left").select(F.col("source").alias("__tf_source"), "rounds", "last", "part"), "mix_plan", keep=True)
-    texts = named.withColumn("__tf_n", F.size(words(F.col("text"))).cast("long")).where("__tf_n > 0")
-    key = F.struct(_shuffle_key(seed).alias("h"), F.col("doc_id"), F.col("__tf_n").alias("size"), F.col("__tf_key").alias("rid"))
-    joined = texts.join(plan.select("__tf_source", F.struct("rounds", "last", "part").alias("__tf_plan")), F.col("source").eqNullSafe(F.col("__tf_source")))
-    more = F.coalesce(key <= F.col("__tf_plan.last"), F.lit(False))
-    copies = (F.col("__tf_plan.rounds") + more.cast("long")).cast("int")
-    cut = F.when(more & (key == F.col("__tf_plan.last")) & (F.col("__tf_plan.part") < F.col("__tf_n")), F.col("__tf_plan.part"))
-    out = joined.withColumn("__tf_copies", copies).withColumn("__tf_cut", cut).where("__tf_copies > 0")
-    out = out.withColumn("__tf_copy", F.explode(F.sequence(F.lit(1), F.col("__tf_copies"))))
-    part = F.col("__tf_cut").isNotNull() & (F.col("__tf_copy") == F.col("__tf_copies"))
+        _, _, taken = mix(sizes, seed)
+        copies = taken.groupBy("rid", "epoch").agg(F.min("slot").alias("__tf_slot"), F.sum("tokens").alias("__tf_tokens"))
+        copies = materialise(copies.join(sizes.select("rid", "size"), "rid").select(F.col("rid").alias("__tf_key"), "__tf_slot", "__tf_tokens", (F.col("__tf_tokens") < F.col("size")).alias("__tf_part")), "mix_copies", keep=True)
+    n, last = copies.agg(F.count(F.lit(1)), F.max("__tf_slot")).first()
+    parts = max(1, -(-n // DOCS_A_PART))
+    # slots are about evenly taken, so equal ranges of them are equal parts
+    part = F.least(F.lit(parts - 1), F.floor(F.col("__tf_slot") * parts / F.lit((last or 0) + 1))).cast("int")
+    joined = named.join(copies, "__tf_key").repartitionById(parts, part).sortWithinPartitions("__tf_slot", "__tf_key")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    shorter = F.array_join(F.slice(pieces, F.lit(1), F.col("__tf_cut").cast("int")), "")
-    out = out.withColumn("__tf_part", part).withColumn("text", F.when(F.col("__tf_part"), shorter).otherwise(F.col("text")))
+    shorter = F.array_join(F.slice(pieces, F.lit(1), F.col("__tf_tokens").cast("int")), "")
+    out = joined.withColumn("text", F.when(F.col("__tf_part"), shorter).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__tf_part"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -15,16 +15,18 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tabflow.llm.common import bounded_batches, tidy, work_path
+from tabflow.llm.common import bounded_batches, committed, tidy, work_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before this vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 ROW = 2048
-#: UTF-8 bytes of text that a packing shard holds, about; shards are packed each by itself.
-SHARD_BYTES = 8 << 20
+#: UTF-8 bytes of text that a packing shard holds, about, and at most; shards are packed each by itself, in one
+#: task's memory, and grow with the input up to the most, so that files don't get too many.
+SHARD_BYTES, MOST_SHARD_BYTES, SHARDS = 8 << 20, 48 << 20, 4096
 #: Runs of white space from this length on are found here: the tokenizer's search for pieces fails on very long ones.
 RUN = 2000
 #: White space as the tokenizer's pattern has it.
@@ -121,7 +123,7 @@ def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-PACKED = "shard int, row long, n_tokens int, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, resets array<int>, file string, sha256 string"
+PACKED = "shard int, row long, n_tokens int, doc_ids array<{0}>, pieces array<int>, starts array<long>, cu_seqlens array<int>, resets array<int>, file string, sha256 string"
 
 
 def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end: int = END) -> DataFrame:
@@ -141,8 +143,10 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
     bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text) + 4)).first()[0] or 0
-    shards = max(1, math.ceil(total / SHARD_BYTES))
+    shards = max(1, math.ceil(total / min(MOST_SHARD_BYTES, max(SHARD_BYTES, total // SHARDS))))
     kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
+    ids_of, named = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    schema = PACKED.format(ids_of)
 
     @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +155,7 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
             size = 0
 
             def out(cols: list[list]) -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                kinds = [pa.int64(), named, pa.int32(), pa.int64(), pa.binary()]
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rid", "doc_id", "piece", "start", "ids"])
 
             for rid, doc_id, t in zip(*[batch.column(c).to_pylist() for c in ("rid", "doc_id", "text")], strict=True):
@@ -166,8 +170,8 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
             if cols[0]:
                 yield out(cols)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    pieces = rows.mapInArrow(split, "rid long, doc_id long, piece int, start long, ids binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
+    pieces = rows.mapInArrow(split, f"rid long, doc_id {ids_of}, piece int, start long, ids binary")
     shard = F.pmod(F.xxhash64("rid", "piece"), F.lit(shards)).cast("int")
     dealt = pieces.withColumn("shard", shard).repartitionById(shards, F.col("shard"))
     system, at = pafs.FileSystem.from_uri(root)
@@ -179,7 +183,7 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
         temp = f"{base}/.{name}.{context.taskAttemptId() if context else 0}.tmp"
         with fs.open_output_stream(temp, compression=None) as f:
             f.write(data)
-        fs.move(temp, f"{base}/{name}")
+        committed(fs, temp, f"{base}/{name}")
 
     def finish(number: int, held: list[tuple]) -> pa.RecordBatch:
         held.sort(key=lambda p: (p[0], p[2]))
@@ -206,7 +210,7 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
             pa.array([number] * len(bins), pa.int32()),
             pa.array(range(len(bins)), pa.int64()),
             pa.array([int(cu[-1]) for cu in cus], pa.int32()),
-            pa.array([[held[i][1] for i in items] for items in bins], pa.list_(pa.int64())),
+            pa.array([[held[i][1] for i in items] for items in bins], pa.list_(named)),
             pa.array([[held[i][2] for i in items] for items in bins], pa.list_(pa.int32())),
             pa.array([[held[i][3] for i in items] for items in bins], pa.list_(pa.int64())),
             pa.array(cus, pa.list_(pa.int32())),
@@ -225,8 +229,8 @@ def pack(docs: DataFrame, root: str, path: str = TOKENIZER, row: int = ROW, end:
         for number in sorted(held):
             yield finish(number, held.pop(number))
 
-    dealt.select("shard", "rid", "doc_id", "piece", "start", "ids").mapInArrow(pack_shard, PACKED).write.parquet(f"{root}/rows")
-    return spark.read.schema(PACKED).parquet(f"{root}/rows")
+    dealt.select("shard", "rid", "doc_id", "piece", "start", "ids").mapInArrow(pack_shard, schema).write.parquet(f"{root}/rows")
+    return spark.read.schema(schema).parquet(f"{root}/rows")
 
 
 def zip_positions(positions: np.ndarray) -> Iterator[bytes]:

@@ -50,6 +50,11 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1's matches one by one: the windows that a document holds, word for word or within two words more."""
+    return decontam.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "benchmark_matches": benchmark_matches,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,6 +85,23 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS item
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "benchmark_matches": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT array_to_string(w[s : s + 7], ' ') AS g, least(len(w), 8) AS k
+        FROM (SELECT w, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS s FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM win),
+ex AS (SELECT doc_id, g, count(*) AS n_exact
+       FROM (SELECT doc_id, k, array_to_string(w[s : s + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k))
+       JOIN win USING (g, k) GROUP BY doc_id, g),
+t AS (SELECT DISTINCT g, k, unnest(string_split(g, ' ')) AS term FROM win),
+tn AS (SELECT g, count(*) AS n FROM t GROUP BY g),
+p AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d),
+o AS (SELECT doc_id, g, k, term, pos FROM p JOIN t USING (term)),
+r AS (SELECT doc_id, g, count(DISTINCT term) OVER (PARTITION BY doc_id, g ORDER BY pos RANGE BETWEEN CURRENT ROW AND k + 1 FOLLOWING) AS n FROM o),
+near AS (SELECT DISTINCT doc_id, g FROM r JOIN tn USING (g) WHERE r.n = tn.n)
+SELECT near.doc_id, near.g AS "window", CAST(coalesce(n_exact, 0) AS BIGINT) AS n_exact, TRUE AS near FROM near LEFT JOIN ex USING (doc_id, g)
 """,
     "op2_minhash": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -105,10 +128,23 @@ t AS (SELECT source, source_size, least(CASE WHEN capped THEN CAST(most AS DOUBL
 q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), most) AS quota FROM t),
 s AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.quota,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix|' || CAST(d.doc_id AS VARCHAR)), d.doc_id) AS BIGINT) - d.size AS a
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(a + size, quota % source_size) - a) END AS BIGINT) AS taken
-FROM s
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+-- the schedule: golden-ratio points through the cumulative shares of the sources' slots of 1024 tokens
+e AS (SELECT source, row_number() OVER (ORDER BY source IS NULL, source) AS src, quota, source_size FROM q),
+f AS (SELECT source, src, quota // source_size * ((source_size + 1023) // 1024) + (quota % source_size + 1023) // 1024 AS slots
+      FROM e WHERE source_size > 0 AND quota > 0),
+b AS (SELECT *, CAST(sum(slots) OVER () AS BIGINT) AS total, CAST(sum(slots) OVER (ORDER BY src) AS DOUBLE) / CAST(sum(slots) OVER () AS DOUBLE) AS hi FROM f),
+u AS (SELECT *, hi - CAST(slots AS DOUBLE) / CAST(total AS DOUBLE) AS lo FROM b),
+x AS (SELECT n AS slot, CAST(n AS DOUBLE) * 0.6180339887498949::DOUBLE % 1.0::DOUBLE AS x FROM (SELECT unnest(range((SELECT max(total) FROM b))) AS n)),
+h AS (SELECT source, src, slots, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rnk FROM x JOIN u ON x >= lo AND x < hi),
+c2 AS (SELECT src, count(*) AS drawn FROM h GROUP BY src),
+late AS (SELECT source, src, total + rnk * 1048576 + src AS slot, rnk
+         FROM (SELECT u.source, u.src, u.total, unnest(range(coalesce(drawn, 0), slots)) AS rnk FROM u LEFT JOIN c2 USING (src))),
+k AS (SELECT source, slot, rnk FROM h WHERE rnk < slots UNION ALL SELECT source, slot, rnk FROM late),
+z AS (SELECT s.*, d.source, CAST(CASE WHEN s.size = 0 THEN 0 ELSE (quota // source_size) * s.size + greatest(0, least(a + s.size, quota % source_size) - a) END AS BIGINT) AS taken
+      FROM s JOIN d USING (doc_id))
+SELECT z.doc_id, z.size, z.source_size, z.target, z.taken, CASE WHEN z.taken > 0 THEN CAST(k.slot AS BIGINT) END AS slot
+FROM z LEFT JOIN k ON z.source IS NOT DISTINCT FROM k.source AND k.rnk = a // 1024
 """,
     "op8_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.llm.common import materialise
+from tabflow.llm.common import finished, materialise
 
 #: Rows that one (curve index, salt) cell holds on average at most, however many rows share the index.
 ROWS_A_CELL = 50_000
@@ -132,6 +132,7 @@ def write_shards(sharded: DataFrame, path: str, n_shards: int) -> None:
     sharded.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
+@finished("shards")
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """All documents to shards 0 to ``n_shards - 1`` by the law ``rows``.
 

@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import bounded_batches, materialise, tidy, work_path
+from tabflow.llm.common import bounded_batches, committed, cut_array, cuts_below, materialise, scratch, tidy, work_path
 
-#: Payload bytes of a shard, about, and compressed bytes at which a file is closed and the next begun.
-SHARD_BYTES, ROLL_BYTES = 8 << 20, 4 << 20
+#: Payload bytes of a shard, about, shards at most, and compressed bytes at which a file is closed and the next begun.
+SHARD_BYTES, MOST_SHARDS, ROLL_BYTES = 8 << 20, 1 << 15, 4 << 20
 LEVEL = 5
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,8 +69,9 @@ def _gzip(data: bytes) -> bytes:
 class _Roll:
     """Writes members to ``shard-seq.warc.gz`` files: each under a temporary name of this attempt, renamed when whole."""
 
-    def __init__(self, root: str, shard: int, attempt: str):
+    def __init__(self, root: str, shard: int, attempt: str, most: int):
         self.fs, self.root = pafs.FileSystem.from_uri(root)
+        self.most = most
         self.shard, self.attempt, self.seq, self.out, self.done = shard, attempt, 0, None, []
 
     def add(self, data: bytes) -> None:
@@ -83,7 +84,7 @@ class _Roll:
             self._put(_gzip(warc_record("warcinfo", head, info)))
         self._put(_gzip(data))
         self.records += 1
-        if self.size >= ROLL_BYTES:
+        if self.size >= self.most:
             self.close()
 
     def _put(self, member: bytes) -> None:
@@ -94,7 +95,7 @@ class _Roll:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temp, f"{self.root}/{self.name}")
+            committed(self.fs, self.temp, f"{self.root}/{self.name}")
             self.done.append((self.shard, self.seq, self.name, self.records, self.size, self.hash.hexdigest()))
             self.seq, self.out = self.seq + 1, None
 
@@ -116,16 +117,15 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     facts = materialise(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size")), "warc_facts")
     total, count = facts.agg(F.sum("size"), F.count(F.lit(1))).first()
-    shards = max(1, min(count, math.ceil((total or 0) / SHARD_BYTES)))
-    bounds = facts.agg(F.percentile_approx("page_id", [i / shards for i in range(1, shards)], 10_000).alias("b")).first()["b"] if shards > 1 else []
+    most = ROLL_BYTES  # as it is here, for all tasks
+    shards = max(1, min(count, MOST_SHARDS, math.ceil((total or 0) / SHARD_BYTES)))
+    bounds = facts.agg(F.percentile_approx("page_id", [i / shards for i in range(1, shards)], max(10_000, 10 * shards)).alias("b")).first()["b"] if shards > 1 else []
     cuts = sorted(set(bounds or []))
     copies = facts.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
     # payloads move once: which rows revisit travels beside them as marks
     marks = facts.join(copies, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "digest", "first_id").distinct()
-    shard = F.lit(0)
-    if cuts:
-        held = F.array(*[F.lit(c) for c in cuts])
-        shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter(held, lambda b: b <= F.col("page_id"))))
+    held = cut_array(cuts, dict(pages.dtypes)["page_id"])
+    shard = F.when(F.col("page_id").isNull(), 0).otherwise(cuts_below(held, F.col("page_id"), equal=True))
     none = F.lit(None)
     records = rows.select(shard.alias("shard"), "page_id", F.lit(1).alias("kind"), "url", "payload", none.cast("string").alias("digest"), none.cast(rows.schema["page_id"].dataType).alias("first_id"))
     marked = marks.select(shard.alias("shard"), "page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", "first_id")
@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
                     if roll is not None:
                         roll.close()
                         done += roll.done
-                    roll = _Roll(f"{root}/archive", r["shard"], attempt)
+                    roll = _Roll(f"{root}/archive", r["shard"], attempt, most)
                 if (r["shard"], r["page_id"]) != last:
                     last, seen, first = (r["shard"], r["page_id"]), {}, {}
                 if not r["kind"]:

@@ -1,7 +1,12 @@
+import re
+from collections import Counter
+from html.parser import HTMLParser
+
 import time
 
 import pytest
 
+from tabflow.llm import html as M
 from tabflow.llm.html import extract, render
 
 CASES = [
@@ -59,3 +64,67 @@ def test_all_pages(spark, sf):
     odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "<p>x", 3), (1, "u", "<p>x", 3)], "page_id long, url string, html string, text int")
     assert [r.text for r in extract(odd).collect()] == ["", "", "x", "x"]
     assert extract(odd.limit(0)).count() == 0
+
+
+def test_wide_cells_align():
+    rows = [("a" * 90, "b"), ("c", "d" * 70), ("e", "f")]
+    page = "<table>" + "".join(f"<tr><td>{x}<td>{y}<td>z" for x, y in rows) + "</table>"
+    lines = M.render(page)[0].split("\n")
+    assert {line.rindex("z") for line in lines} == {90 + 2 + 70 + 2}
+    assert [line.index(y) for line, (_, y) in zip(lines, rows, strict=True)] == [92] * 3
+
+
+def test_deep_nesting_indents():
+    depth = 60
+    text = M.render("<blockquote>" * depth + "deep" + "</blockquote>" * depth)[0]
+    assert text == "  " * depth + "deep"
+    far = M.render("<ul><li>" * 3000 + "x")[0].split("\n")[-1]
+    assert far.strip("- ") == "x" and len(far) <= 2 * (M.MAX_LEVELS + 2) + 2
+
+
+class Plain(HTMLParser):
+    """The visible words of a well-formed page, in no layout: an independent reading of what must be shown."""
+
+    SKIP = {"script", "style", "head", "title", "template", "noscript", "svg", "iframe"}
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.open, self.words = 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        style = (a.get("style") or "").replace(" ", "").lower()
+        unseen = tag in self.SKIP or "hidden" in a or "display:none" in style or "visibility:hidden" in style
+        if tag not in M.VOID:
+            self.open.append((tag, unseen))
+            self.hidden += unseen
+        self.words.append(" ")
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while True:
+                t, unseen = self.open.pop()
+                self.hidden -= unseen
+                if t == tag:
+                    break
+        self.words.append(" ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words.append(data)
+
+
+def test_all_visible_words_of_real_pages(spark, sf):
+    """Of the test pages that close what they open, the words shown are those that an independent parser sees."""
+    agreed = 0
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect() if r.html]
+    for page in pages:
+        p = Plain()
+        p.feed(page)
+        p.close()
+        want = Counter("".join(p.words).split())
+        got = Counter(M.render(page)[0].split())
+        marks = Counter({w: n for w, n in got.items() if w == "-" or re.fullmatch(r"\d+\.", w)})
+        missing, more = want - got, got - want - marks
+        agreed += not missing and not more
+    assert agreed >= 0.9 * len(pages)

@@ -15,7 +15,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, per_hundred=85):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -27,7 +27,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= per_hundred * len(a | b):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -90,3 +90,14 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "A b c d e f"), (None, "other")], "doc_id long, text string")
     got = sorted([tuple(r) for r in M.near_duplicates(df).collect()], key=str)
     assert got == sorted([(None, 2, 5, False), (5, 2, 5, True), (None, 1, None, True)], key=str)
+
+
+def test_ids_of_text(spark, rows):
+    """One document of each group stays, the smallest by its id's text; a null id only where there is no other."""
+    named = [(None if i == 900 else f"id-{i}", t) for i, t, *_ in rows]
+    df = spark.createDataFrame(named, "doc_id string, text string")
+    got = sorted(str(r.doc_id) for r in M.kept_documents(df).collect())
+    groups = {}
+    for i, _, c, _ in brute([(k, t) for k, (_, t) in enumerate(named)]):
+        groups.setdefault(c, []).append(named[i][0])
+    assert got == sorted(str(min((d for d in g if d is not None), default=None)) for g in groups.values())

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 from tabflow.llm import mixing as M
 
@@ -50,8 +51,9 @@ def test_agrees_with_brute_force(rows, docs):
     assert sorted(map(tuple, M.mix_documents(docs).collect())) == sorted(map(tuple, got))
 
 
-def test_the_schedule_is_spread(spark, docs):
+def test_the_schedule_is_spread(spark, docs, monkeypatch):
     """Any stretch of the schedule has about each source's share of slots, and takes blocks in rank order."""
+    monkeypatch.setattr(M, "BLOCK", 5)
     sizes = M.document_sizes(docs)
     _, t, taken = M.mix(sizes)
     rows = taken.select("slot", "src", "rank").distinct().orderBy("slot").collect()
@@ -72,8 +74,35 @@ def test_small_buckets_and_chunks_agree(docs, monkeypatch):
     want = sorted(map(tuple, M.mix_documents(docs).collect()))
     monkeypatch.setattr(M, "DOCS_A_BUCKET", 3)
     monkeypatch.setattr(M, "SLOTS_A_CHUNK", 64)
-    monkeypatch.setattr(M, "LEAST_SLOTS", 500)
     assert sorted(map(tuple, M.mix_documents(docs).collect())) == want
+    monkeypatch.setattr(M, "BLOCK", 7)
+    assert sorted(tuple(r)[:5] for r in M.mix_documents(docs).collect()) == [w[:5] for w in want]
+
+
+def test_documents_come_in_the_schedules_order(spark, monkeypatch):
+    """Any prefix of the mix has about the target shares, and each copy stands at its first slot."""
+    monkeypatch.setattr(M, "BLOCK", 50)
+    monkeypatch.setattr(M, "DOCS_A_PART", 300)
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randint(20, 60)), rng.choice("aaaaabbc")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    slots = {r.doc_id: r.slot for r in M.mix_documents(df).collect()}
+    target = {r.source: r.target for r in M.mix_documents(df).join(df.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
+    got = M.mixed_documents(df).collect()
+    total = sum(size(r.text) for r in got)
+    taken = dict.fromkeys(target, 0)
+    done = 0
+    first = {}
+    for n, r in enumerate(got):
+        taken[r.source] += size(r.text)
+        done += size(r.text)
+        first.setdefault(r.doc_id, n)
+        if done > total / 10:
+            for s, t in target.items():
+                assert abs(taken[s] / done - t / total) < 0.03
+    order = sorted(first, key=first.get)
+    assert order == sorted(order, key=lambda d: slots[d])
+    assert set(first) == {d for d, s in slots.items() if s is not None}
 
 
 def test_documents_of_the_mix(rows, docs, empty):

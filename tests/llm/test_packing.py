@@ -76,3 +76,16 @@ def test_odd_texts(spark, empty):
         assert decode([int(i) for i in M.encode(t or "")]) == (t or "")
     df = spark.createDataFrame([(None, None), (None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert sorted(str(i) for r in M.pack(df, work_path(spark, "packed")).collect() for i in r.doc_ids) == ["1", "1", "None", "None"]
+
+
+def test_ids_are_the_tokenizers(spark):
+    """Texts with long runs have the ids that the tokenizer gives to the whole text."""
+    plain = M.encoding(M.TOKENIZER).encode_ordinary
+    prose = "A text of ordinary prose, with 12 numbers and words. " * 20
+    for t in (prose + "x" * 2500 + prose, prose + " " * 2500 + "word" + prose, prose + "\n" * 2100, "日本語テキスト" * 700 + prose, prose + "=" * 3000):
+        assert M.encode(t).tolist() == plain(t)
+
+
+def test_ids_of_any_type(spark):
+    got = M.pack(spark.createDataFrame([("a", "x y"), (None, "z")], "doc_id string, text string"), work_path(spark, "packed")).collect()
+    assert sorted(str(i) for r in got for i in r.doc_ids) == ["None", "a"]

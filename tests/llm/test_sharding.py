@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -62,9 +63,27 @@ def test_small_tables(spark, empty):
     assert sorted((r["size"], r.slot) for r in M.shard_documents(few).collect()) == [(16, 0), (17, 0)]
 
 
-def test_written_shards_prune(spark, docs, tmp_path):
-    sharded = M.hilbert_shards(docs.select("doc_id", "lang", "source", "n_chars"), ["source", "lang", "n_chars"], ["doc_id"], 8)
-    M.write_shards(sharded, f"file://{tmp_path}/s", 8)
+def test_written_shards_prune(spark, tmp_path):
+    """A condition on any one of the dimensions leaves most files out by their statistics."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    rows = [(i, f"s{rng.randint(0, 15):02d}", f"l{rng.randint(0, 15):02d}", rng.randint(0, 10**6)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long")
+    M.write_shards(M.hilbert_shards(df, ["source", "lang", "n_chars"], ["doc_id"], 64), f"file://{tmp_path}/s", 64)
     back = spark.read.parquet(f"file://{tmp_path}/s")
-    assert back.count() == docs.count()
-    assert back.select("shard").distinct().count() == 8
+    assert sorted(r.doc_id for r in back.collect()) == list(range(8000))
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "s").rglob("*.parquet")]
+    assert len(files) == 64
+
+    def read(column, value):
+        """Files whose statistics don't rule the value out."""
+        kept = 0
+        for f in files:
+            at = f.schema.to_arrow_schema().get_field_index(column)
+            spans = [f.row_group(g).column(at).statistics for g in range(f.num_row_groups)]
+            kept += any(x.min <= value <= x.max for x in spans)
+        return kept
+
+    for column, values in (("source", ["s03", "s08", "s12"]), ("lang", ["l02", "l09", "l14"]), ("n_chars", [100_000, 480_000, 900_000])):
+        assert sum(read(column, v) for v in values) / len(values) <= 32, column
