@@ -8,7 +8,7 @@ and words that it holds, and gets back their probabilities:
 1. ``analyse`` the parts of a block of some MB: their grams (a byte with the five before it),
    and their words, whose bytes from the sixth on are left to the word; write the block's
    dictionaries, grams dealt by the last three context bytes and words by their hash, and its
-   text, compressed;
+   texts as places in the dictionary of words;
 2. merge the words of each word bucket, and send on the grams of their later bytes, each
    together with a hash of the whole word so far;
 3. merge each gram bucket: the counts of a context of three bytes or more, or of a word, are
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabflow.llm.common import _powers, bounded_batches, finished, materialise, mix64, tidy
+from tabflow.llm.common import _powers, bounded_batches, finished, materialise, mix64, scratch, tidy
 from tabflow.llm.langid import held_out
 
 #: Contexts: the last 1 to 5 bytes, and as the sixth the whole word so far.
@@ -85,6 +85,11 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def rounded(values: np.ndarray) -> np.ndarray:
+    """Floats with the 16 highest bits of their fraction, which compress better: off by at most a part in 2**16."""
+    return (values.astype(np.float32).view(np.uint32) + np.uint32(64) & np.uint32(0xFFFFFF80)).view(np.float32)
+
+
 def steps(a: np.ndarray) -> np.ndarray:
     """Ascending keys as differences; ``np.cumsum`` gives them back."""
     out = a.copy()
@@ -170,8 +175,10 @@ class Part:
         early = np.cumsum(late[:-1], dtype=np.int8) == 0
         for a, b in zip(begin[:-1][lead > 0], body[lead > 0], strict=True):
             early[a:b] = False
-        self.early_at, self.piece, self.end = np.flatnonzero(early), piece, end
-        self.early = g[self.early_at]
+        self.piece = piece
+        self.before = s[np.repeat(begin[:-1] - np.cumsum(lead) + lead, lead) + np.arange(lead.sum())]
+        early_at = np.flatnonzero(early)
+        g = g[early_at]
         closed = Spans(s)(start, stop + 1)
         order = np.argsort(closed)
         new = np.append(True, closed[order][1:] != closed[order][:-1]) if len(order) else np.zeros(0, bool)
@@ -181,20 +188,67 @@ class Part:
         whole = s.tobytes()
         self.words = [whole[a : b + 1] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
         self.times = np.bincount(self.word[piece < trained], minlength=len(first))
-        cut = np.searchsorted(self.early_at, end[trained - 1]) if trained else 0
-        seen = np.sort(self.early)
+        cut = np.searchsorted(early_at, end[trained - 1]) if trained else 0
+        seen = np.sort(g)
         self.grams = seen[np.append(True, seen[1:] != seen[:-1])] if len(seen) else seen
-        known = np.sort(self.early[:cut])
+        known = np.sort(g[:cut])
         self.counts = np.searchsorted(known, self.grams, "right") - np.searchsorted(known, self.grams)
 
-    def sums(self, logs: np.ndarray, word_logs: np.ndarray, word_counts: np.ndarray, divisor: float) -> tuple[np.ndarray, ...]:
-        """By piece: log probability of its bytes, base score, tokens and known tokens, all without the end token."""
-        n = len(self.size)
-        of = np.searchsorted(self.end, self.early_at, "right")
-        total = np.bincount(of, logs[looked_up(self.grams, self.early)], n) + np.bincount(self.piece, word_logs[self.word], n)
-        base = np.bincount(self.piece, np.log10((word_counts + 1) / divisor)[self.word], n)
-        known = np.bincount(self.piece, word_counts[self.word] > 0, n).astype(np.int64)
-        return total, base, np.bincount(self.piece, minlength=n), known
+
+@dataclass
+class Spelt:
+    """The texts of a part, put together again from the block's words.
+
+    ``words``: the place of each word among the block's; ``many``: words of each piece, whose
+    own bytes are a zero alone if there is none; ``lead``, ``before``: bytes before each piece.
+    """
+
+    words: np.ndarray
+    many: np.ndarray
+    lead: np.ndarray
+    before: np.ndarray
+
+    def sums(self, text: np.ndarray, length: np.ndarray, grams: np.ndarray, logs: np.ndarray, word_logs: np.ndarray, word_counts: np.ndarray, divisor: float) -> tuple[np.ndarray, ...]:
+        """By piece: log probability of its bytes, base score, tokens and known tokens, without the end token, and bytes.
+
+        ``text``, ``length``: of the block's words, one after the other; ``grams``, ``logs``: the block's, ascending.
+        """
+        n = len(self.many)
+        begin = np.cumsum(length) - length
+        every = np.concatenate([text, self.before, np.zeros(1, np.uint8)])
+        # what stands beside words: leads, and the zeros of pieces without words
+        place = np.cumsum(self.many) - self.many
+        led, bare = np.flatnonzero(self.lead), np.flatnonzero(self.many == 0)
+        at = np.concatenate([place[led], place[bare]])
+        order = np.argsort(np.concatenate([led, bare]), kind="stable")
+        extra = np.concatenate([len(text) + np.cumsum(self.lead)[led] - self.lead[led], np.full(len(bare), len(every) - 1)])
+        size = np.concatenate([self.lead[led], np.ones(len(bare), np.int64)])
+        starts, sizes = np.insert(begin[self.words], at[order], extra[order]), np.insert(length[self.words].astype(np.int64), at[order], size[order])
+        own = np.insert(np.ones(len(self.words), bool), at[order], False)
+        upto = np.cumsum(sizes)
+        first = upto - sizes
+        s = every[np.repeat(starts - first, sizes) + np.arange(upto[-1])]
+        piece = np.repeat(np.arange(n), self.many)
+        total_size = np.bincount(piece, length[self.words], n).astype(np.int64) + (self.many == 0)
+        ends = np.cumsum(self.lead + total_size)
+        g = shifted(s)
+        for j in range(REACH):
+            where = ends - self.lead - total_size + j
+            where = where[where < ends]
+            g[where] &= np.uint64((1 << (8 * (j + 1))) - 1)
+        # the first five bytes of words, and the zeros
+        early = np.zeros(len(s) + 1, np.int8)
+        words_at, words_end = first[own], upto[own]
+        early[words_at] += 1
+        early[np.minimum(words_at + REACH, words_end)] -= 1
+        early = np.cumsum(early[:-1], dtype=np.int8) > 0
+        zeros = ends[bare] - 1
+        early[zeros] = True
+        early_at = np.flatnonzero(early)
+        total = np.bincount(np.searchsorted(ends, early_at, "right"), logs[looked_up(grams, g[early_at])], n) + np.bincount(piece, word_logs[self.words], n)
+        base = np.bincount(piece, np.log10((word_counts + 1) / divisor)[self.words], n)
+        known = np.bincount(piece, word_counts[self.words] > 0, n).astype(np.int64)
+        return total, base, self.many, known, total_size
 
 
 def packed_words(words: list[bytes], *columns: np.ndarray) -> bytes:
@@ -219,21 +273,29 @@ def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(b), order[cuts[b] : cuts[b + 1]]
 
 
-def block_rows(parts: list[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, bucket, data) of a block's dictionaries: grams and words of its parts with their counts."""
-    grams, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+def block_rows(parts: list[Part], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, bucket, data) of a block's dictionaries, grams and words of its parts with their counts, and of each part's texts.
+
+    A word's place in the block is that in the words of all buckets, one after the other.
+    """
+    grams, counts = summed(np.concatenate([p.grams for p in parts]), np.concatenate([p.counts for p in parts]))
     for b, at in _dealt(gram_bucket(grams, buckets), buckets):
         yield GRAMS, b, packed(steps(grams[at]), np.zeros(0, np.uint32), counts[at])
-    words: Counter[bytes] = Counter()
+    words: dict[bytes, int] = {}
     for p in parts:
-        for w, n in zip(p[2], p[3].tolist(), strict=True):
-            words[w] += n
+        for w, n in zip(p.words, p.times.tolist(), strict=True):
+            words[w] = words.get(w, 0) + n
     held: list[list[bytes]] = [[] for _ in range(buckets)]
     for w in sorted(words):  # words that begin alike compress together
         held[zlib.crc32(w[:-1]) % buckets].append(w)
+    place: dict[bytes, int] = {}
     for b, own in enumerate(held):
         if own:
             yield WORDS, b, packed_words(own, np.array([words[w] for w in own], np.int64))
+            place.update(zip(own, range(len(place), len(place) + len(own)), strict=True))
+    for p in parts:
+        at = np.array([place[w] for w in p.words], np.int32)
+        yield TEXT, -1, packed(at[p.word], np.bincount(p.piece, minlength=len(p.size)).astype(np.int32), p.lead.astype(np.int8), p.before)
 
 
 def later_grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -468,18 +530,26 @@ def dictionaries(docs: DataFrame, training: Column, buckets: int) -> DataFrame:
         arrow = to_arrow_schema(schema)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
-        texts: list[tuple] = []
-        held: list[tuple] = []
+        held: list[Part] = []
+        names_of: list[list[tuple]] = []
         size = 0
+
+        def made() -> pa.RecordBatch:
+            rows, texts = [], iter(names_of)
+            for kind, bucket, data in block_rows(held, buckets):
+                rows.append((number, kind, bucket, data, [dict(zip(names.names, r, strict=True)) for r in next(texts)] if kind == TEXT else None))
+            return _batch(rows, arrow)
+
         for part, rows in _parts(batches):
-            texts.append((number, TEXT, -1, packed(part.lead, part.size, part.stream, np.array([part.trained])), [dict(zip(names.names, r, strict=True)) for r in rows]))
-            held.append((part.grams, part.counts, part.words, part.times))
-            size += len(part.stream)
+            part.stream = None  # not needed any more
+            held.append(part)
+            names_of.append(rows)
+            size += part.size.sum()
             if size >= BLOCK:
-                yield _batch([*texts, *[(number, *r, None) for r in block_rows(held, buckets)]], arrow)
-                number, texts, held, size = number + 1, [], [], 0
+                yield made()
+                number, held, names_of, size = number + 1, [], [], 0
         if held:
-            yield _batch([*texts, *[(number, *r, None) for r in block_rows(held, buckets)]], arrow)
+            yield made()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (~training).alias("held_out"), text_column(docs).alias("text"))
     return materialise(rows.mapInArrow(work, schema), "lm_blocks")
@@ -658,7 +728,7 @@ def answers(asked: DataFrame, model: Model, low: list[tuple[np.ndarray, np.ndarr
                 values[at] = model.log10(Contexts(keys[at], grams[at], n[at], low))
             for block, data in rows:
                 own, wanted, _ = entries(data)
-                found = values[looked_up(keys, own)]
+                found = rounded(values[looked_up(keys, own)])
                 reply = packed(found) if block < 0 else packed(steps(wanted), found)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([reply], pa.binary())], names=["block", "bucket", "data"])
 
@@ -696,7 +766,7 @@ def answered_words(blocks: DataFrame, words: DataFrame, replies: DataFrame, buck
                     sums = np.bincount(np.repeat(np.arange(len(own)), many), values[place], len(own))
                     logs = dict(zip(own, sums.tolist(), strict=True))
                 wanted, _ = unpacked_words(data)
-                reply = packed_words(wanted, np.array([logs[w] for w in wanted], np.float32), np.array([tokens[w[:-1]] for w in wanted], np.int64))
+                reply = packed_words(wanted, rounded(np.array([logs[w] for w in wanted])), np.array([tokens[w[:-1]] for w in wanted], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([reply], pa.binary())], names=["block", "bucket", "data"])
 
     held = words.where(F.col("kind") == WORDS).select("bucket", F.lit(0).alias("step"), "block", F.lit(0).alias("part"), "data")
@@ -726,17 +796,18 @@ def score(docs: DataFrame) -> DataFrame:
     words = merged_words(blocks, buckets)
     tokens, distinct = words.agg(F.sum("total"), F.sum("distinct")).first()
     total, divisor = int(tokens or 0) + texts, float(int(tokens or 0) + texts + int(distinct or 0) + (texts > 0) + 1)
-    merged = merged_buckets(asked_grams(blocks, words, buckets))
-    low = low_orders(merged)
-    model = train(merged, low)
+    with scratch(spark):
+        merged = merged_buckets(asked_grams(blocks, words, buckets))
+        low = low_orders(merged)
+        model = train(merged, low)
     replies = answers(asked_grams(blocks, words, buckets), model, low)
     kind = docs.schema["doc_id"].dataType
     none = F.lit(None).cast(blocks.schema["names"].dataType)
     spoken = answered_words(blocks, words, replies, buckets)
-    both = blocks.where(F.col("kind") == TEXT).select("block", F.lit(0).alias("step"), "data", "names")
-    both = both.unionByName(replies.where("block >= 0").select("block", F.lit(1).alias("step"), "data", none.alias("names")))
-    both = both.unionByName(spoken.select("block", F.lit(2).alias("step"), "data", none.alias("names")))
-    dealt = both.repartition(buckets, "block").sortWithinPartitions("block", "step")
+    both = blocks.where(F.col("kind") == TEXT).select("block", F.lit(0).alias("step"), "bucket", "data", "names")
+    both = both.unionByName(replies.where("block >= 0").select("block", F.lit(1).alias("step"), "bucket", "data", none.alias("names")))
+    both = both.unionByName(spoken.select("block", F.lit(2).alias("step"), "bucket", "data", none.alias("names")))
+    dealt = both.repartition(buckets, "block").sortWithinPartitions("block", "step", "bucket")
     end_base = float(np.log10((texts + 1) / divisor))
 
     @tidy
@@ -746,18 +817,16 @@ def score(docs: DataFrame) -> DataFrame:
             grams = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(p[0], dtype=np.uint64) for p in parts]])
             order = np.argsort(grams)
             grams, logs = grams[order], np.concatenate([np.zeros(0), *[p[1] for p in parts]])[order]
-            known: dict[bytes, tuple[float, int]] = {}
-            for data in said:
-                listed, (values, counts) = unpacked_words(data)
-                known.update(zip(listed, zip(values.tolist(), counts.tolist(), strict=True), strict=True))
+            # the words of all buckets, one after the other
+            spoken = [unpacked(data) for data in said]
+            text, length, word_logs, word_counts = (np.concatenate([np.zeros(0, k), *[p[i] for p in spoken]]) for i, k in enumerate((np.uint8, np.int64, np.float64, np.int64)))
             for names, data in held:
-                lead, size, stream, trained = unpacked(data)
-                part = Part(lead, size, stream, int(trained[0]))
-                facts = np.array([known[w] for w in part.words]).reshape(-1, 2)
-                total, base, n, seen = part.sums(logs[looked_up(grams, part.grams)], facts[:, 0], facts[:, 1], divisor)
+                words, many, lead, before = unpacked(data)
+                spelt = Spelt(words, many.astype(np.int64), lead.astype(np.int64), before)
+                total, own, n, seen, size = spelt.sums(text, length, grams, logs, word_logs, word_counts, divisor)
                 ends = names.field("ends").to_numpy(zero_copy_only=False).astype(np.int64)
                 named = [names.field(c) for c in ("rid", "doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*named, pa.array(n + ends), pa.array(seen + ends * (texts > 0)), pa.array(base + ends * end_base), pa.array(total), pa.array(size)], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([*named, pa.array(n + ends), pa.array(seen + ends * (texts > 0)), pa.array(own + ends * end_base), pa.array(total), pa.array(size)], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
         now, held, found, said = None, [], [], []
         for batch in batches:
