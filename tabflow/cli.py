@@ -1,4 +1,4 @@
-"""Command line: check, run, plan, run-plan, amend, lock, validate, verify, fmt."""
+"""Command line: check, run, plan, run-plan, validate-plan, amend, lock, validate, verify, fmt."""
 
 from __future__ import annotations
 
@@ -22,11 +22,8 @@ def _spark():
     return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def bindings(spark, tables: str, folder: str | None) -> dict:
+def paths(tables: str, folder: str | None) -> dict[str, str]:
     """``name=path,...`` and the CSV files of a folder, by their stems."""
-    from tabflow.sources import csv as C
-    from tabflow.sources import xpt
-
     found: dict[str, str] = {}
     if folder:
         files = sorted(p for p in Path(folder).iterdir() if p.suffix == ".csv")
@@ -38,14 +35,24 @@ def bindings(spark, tables: str, folder: str | None) -> dict:
     for part in filter(None, tables.split(",")):
         name, _, path = part.partition("=")
         found[name.strip()] = path.strip()
+    return found
+
+
+def bindings(spark, tables: str, folder: str | None, locks: dict | None = None) -> dict:
+    """The bound tables; CSV files have the types of their lock, or inferred ones."""
+    from tabflow.plans.execute import locked
+    from tabflow.sources import csv as C
+    from tabflow.sources import xpt
+
     out = {}
-    for name, path in found.items():
+    for name, path in paths(tables, folder).items():
         if path.endswith(".xpt"):
             out[name] = xpt.read(spark, path)
         elif path.endswith(".parquet"):
             out[name] = spark.read.parquet(path)
         else:
-            out[name] = C.inferred(C.relation(spark, C.read_text(spark, path)))
+            rel = C.relation(spark, C.read_text(spark, path))
+            out[name] = locked(rel, locks[name]) if locks and name in locks else C.inferred(rel)
     return out
 
 
@@ -57,9 +64,17 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("script")
         if name in ("run", "lock"):
             p.add_argument("--out", required=True)
-        if name == "run":
+        if name != "fmt":
+            p.add_argument("--include-root", action="append", default=[])
+            p.add_argument("--allow-absolute-include", action="store_true")
+            p.add_argument("--allow-include-escape", action="store_true")
+            p.add_argument("--legacy", action="store_true", help="the older spellings of operators in batch scripts")
+        if name in ("run", "lock"):
             p.add_argument("--tables", default="")
             p.add_argument("--inputs-dir")
+        if name == "run":
+            p.add_argument("--format", choices=("csv", "xpt"), default="csv")
+            p.add_argument("--parts", action="store_true", help="folders of part files that the executors write")
             p.add_argument("--schema-lock")
             p.add_argument("--emit", choices=("auto", "saved", "all"), default="auto")
             p.add_argument("--thin", action="store_true")
@@ -69,6 +84,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("plan")
     p.add_argument("--out", required=True)
     p.add_argument("--tables", default="")
+    p.add_argument("--format", choices=("csv", "xpt"), default="csv")
+    p = sub.add_parser("validate-plan")
+    p.add_argument("plan")
+    p.add_argument("--strict", action="store_true")
     p = sub.add_parser("amend")
     p.add_argument("plan")
     p.add_argument("amendment")
@@ -84,11 +103,18 @@ def main(argv: list[str] | None = None) -> int:
         return EXIT.get(e.bucket, EXIT["runtime"])
 
 
+def _includer(a: argparse.Namespace):
+    """Includes are looked for beside the script, then below the further roots."""
+    from tabflow.frontend.sas import includer
+
+    return includer([Path(a.script).parent, *map(Path, a.include_root)], a.allow_absolute_include, a.allow_include_escape)
+
+
 def _command(a: argparse.Namespace) -> int:
     from tabflow.governance import amend, bundle, lock, printer, sdtm
 
     if a.command in ("check", "plan"):
-        plan = compile_text(Path(a.script).read_text(), _language(a.script))
+        plan = compile_text(Path(a.script).read_text(), _language(a.script), a.legacy, _includer(a))
         print(json.dumps(plain(to_json(plan)), indent=2, sort_keys=True) if a.command == "plan" else "\n".join(plan.warnings) or "ok")
         return EXIT["warnings"] if plan.warnings else EXIT["ok"]
     if a.command == "fmt":
@@ -102,31 +128,41 @@ def _command(a: argparse.Namespace) -> int:
         bad = bundle.verify(a.bundle)
         print("\n".join(bad) or "ok")
         return 1 if bad else EXIT["ok"]
+    if a.command == "validate-plan":
+        plan = from_json(json.loads(Path(a.plan).read_text()))
+        made = {o for s in plan.steps for o in s.outputs}
+        plan.check({i for s in plan.steps for i in s.inputs} - made)
+        plan.order()
+        warnings = plan.invariants(a.strict)
+        print("\n".join(warnings) or "ok")
+        return EXIT["warnings"] if warnings else EXIT["ok"]
     if a.command == "amend":
         plan = from_json(json.loads(Path(a.plan).read_text()))
         made = {o for s in plan.steps for o in s.outputs}
-        new = amend.apply(plan, json.loads(Path(a.amendment).read_text()), {i for s in plan.steps for i in s.inputs} - made)
-        print(json.dumps({"plan": plain(to_json(new)), "diff": amend.diff(plan, new)}, indent=2, sort_keys=True))
-        return EXIT["ok"]
+        answer = amend.request(plan, json.loads(Path(a.amendment).read_text()), {i for s in plan.steps for i in s.inputs} - made)
+        print(json.dumps(answer, indent=2, sort_keys=True))
+        return EXIT["ok"] if answer["status"] == "ok" else EXIT["validate"]
     spark = _spark()
     if a.command == "run":
         found = a.schema_lock or lock.discover(a.script)
-        report = bundle.create(spark, Path(a.script).read_text(), a.out, bindings(spark, a.tables, a.inputs_dir), _language(a.script), str(Path(a.script).parent), a.emit, a.thin, lock.load(found) if found else None)
+        locks = lock.load(found) if found else None
+        tables = bindings(spark, a.tables, a.inputs_dir, locks)
+        report = bundle.create(spark, Path(a.script).read_text(), a.out, tables, _language(a.script), str(Path(a.script).parent), a.emit, a.thin, locks, legacy=a.legacy, include=_includer(a), form=a.format, parts=a.parts)
         print(json.dumps({k: report[k] for k in ("status", "exit") if k in report} | {"error": report.get("error")}))
         return report["exit"]
     if a.command == "lock":
-        plan = compile_text(Path(a.script).read_text(), "pipeline")
-        lock.write(lock.generate(spark, plan, str(Path(a.script).parent)), a.out)
+        plan = compile_text(Path(a.script).read_text(), _language(a.script), a.legacy, _includer(a))
+        lock.write(lock.generate(spark, plan, str(Path(a.script).parent), bound=paths(a.tables, a.inputs_dir)), a.out)
         return EXIT["ok"]
     if a.command == "run-plan":
         run = run_plan(spark, from_json(json.loads(Path(a.plan).read_text())), bindings(spark, a.tables, None))
-        run.write(a.out, "auto")
+        run.write(a.out, "auto", a.format)
         return EXIT["ok"]
-    found = {n: t.visible() if hasattr(t, "visible") else t for n, t in bindings(spark, a.tables, None).items()}
-    issues = sdtm.validate(found).collect()
-    for i in issues:
+    none = True
+    for i in sdtm.validate(bindings(spark, a.tables, None)).toLocalIterator():
         print(json.dumps(i.asDict()))
-    return EXIT["validate"] if issues else EXIT["ok"]
+        none = False
+    return EXIT["ok"] if none else EXIT["validate"]
 
 
 if __name__ == "__main__":

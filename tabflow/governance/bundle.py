@@ -6,7 +6,7 @@ import hashlib
 import json
 import shutil
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,7 +39,7 @@ def _put(path: Path, content: object) -> None:
     path.write_text(json.dumps(plain(content), indent=2, sort_keys=True) + "\n")
 
 
-def create(spark: SparkSession, text: str, out: str, tables: Mapping | None = None, language: str = "batch", base: str = "", emit: str = "auto", thin: bool = False, locks: Mapping | None = None, profile: bool = True) -> dict:
+def create(spark: SparkSession, text: str, out: str, tables: Mapping | None = None, language: str = "batch", base: str = "", emit: str = "auto", thin: bool = False, locks: Mapping | None = None, profile: bool = True, legacy: bool = True, include: Callable[[str], str] | None = None, form: str = "csv", parts: bool = False) -> dict:
     """Run a script into a bundle: ``inputs/``, ``artifacts/``, ``outputs/`` and the report.  A refusal is reported, not raised."""
     root = Path(out)
     for d in ("inputs", "artifacts", "outputs"):
@@ -49,7 +49,7 @@ def create(spark: SparkSession, text: str, out: str, tables: Mapping | None = No
     began = time.time()
     report: dict = {"version": 1, "status": "ok", "exit": EXIT["ok"], "language": language}
     try:
-        plan = compile_text(text, language)
+        plan = compile_text(text, language, legacy, include)
         _put(root / "artifacts/plan.json", to_json(plan))
         _put(root / "artifacts/graph.json", lineage.step_graph(plan))
         _put(root / "artifacts/effects.json", lineage.table_effects(plan))
@@ -65,7 +65,7 @@ def create(spark: SparkSession, text: str, out: str, tables: Mapping | None = No
                     if path.is_file():
                         (root / "inputs/data").mkdir(exist_ok=True)
                         shutil.copyfile(path, root / "inputs/data" / path.name)
-        report["outputs"] = [{"name": o["name"], "path": str(Path(o["path"]).relative_to(root)), "columns": o["columns"]} for o in run.write(str(root / "outputs"), emit)]
+        report["outputs"] = [{"name": o["name"], "path": str(Path(o["path"]).relative_to(root)), "columns": o["columns"]} for o in run.write(str(root / "outputs"), emit, form, parts)]
         _put(root / "artifacts/registry.json", {transform_id(s): {"op": s.op, "class": transform_class_id(s), "params": s.params} for s in plan.steps})
         if profile:
             found = {t: [r.asDict() for r in evidence.profile(run.tables[t]).orderBy("column").collect()] for t in run.terminal() if t in run.tables}

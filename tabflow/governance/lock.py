@@ -18,9 +18,14 @@ VERSION = 1
 SCAN_ROWS = 10_000
 
 
-def generate(spark: SparkSession, plan: Plan, base: str = "", rows: int = SCAN_ROWS) -> dict:
-    """A lock of all datasources: pinned types as they are, others inferred."""
+def generate(spark: SparkSession, plan: Plan, base: str = "", rows: int = SCAN_ROWS, bound: Mapping[str, str] | None = None) -> dict:
+    """A lock of all datasources, and of the CSV files that are bound to tables: pinned types as they are, others inferred."""
     out = []
+    for name, path in sorted((bound or {}).items()):
+        if not path.endswith((".parquet", ".xpt")):
+            kinds = csv_io.infer(csv_io.relation(spark, csv_io.read_text(spark, path)), rows)
+            rules = {"extra_columns": "ignore", "missing_columns": "error"}
+            out.append({"name": name, "kind": "csv", "path": path, "rules": rules, "columns": [{"name": n, "type": k} for n, k in kinds.items()], "types": f"inferred from {rows} rows"})
     for name, spec in sorted(plan.sources.items()):
         pinned = [tuple(c) for c in spec.get("columns") or []]
         entry = {"name": name, "kind": spec["kind"], "path": spec.get("path"), "rules": {"extra_columns": "ignore", "missing_columns": "error"}}

@@ -53,6 +53,42 @@ class Plan:
                 made.add(o)
                 known.add(o)
 
+    def invariants(self, strict: bool = False) -> list[str]:
+        """Warnings about a plan that is to run by itself; what breaks it is refused.
+
+        Something must be saved, nothing twice to one place, and each saved table must come
+        from a datasource.  Tables that nothing uses and steps that no save needs are
+        warnings, with ``strict`` refused too.
+        """
+        maker = {o: s for s in self.steps for o in s.outputs}
+        saves = [s for s in self.steps if s.op == "save"]
+        if not saves:
+            raise invalid("E_PLAN_NO_SAVE", "a plan saves one table at least")
+        places = [(s.inputs[0], s.params.get("path")) for s in saves]
+        if len(set(places)) < len(places):
+            raise invalid("E_PLAN_SAVED_TWICE", "a table is saved twice to one place")
+
+        def upstream(steps: list[OpStep]) -> list[OpStep]:
+            todo, seen = list(steps), []
+            while todo:
+                s = todo.pop()
+                if not any(s is x for x in seen):
+                    seen.append(s)
+                    todo += [maker[i] for i in s.inputs if i in maker]
+            return seen
+
+        for s in saves:
+            if not any(x.op == "datasource" for x in upstream([s])):
+                raise invalid("E_PLAN_UNTRACED", f"{s.inputs[0]!r} is saved but comes from no datasource", s.line)
+        used = {i for s in self.steps for i in s.inputs}
+        warnings = [f"table {o!r} is neither used nor saved" for o in maker if o not in used]
+        needed = upstream([s for s in self.steps if s.op in ("save", "assert")])
+        plain_ops = ("const", "let_scalar", "format")
+        warnings += [f"step {s.op} of {', '.join(s.outputs)!r} adds to no save" for s in self.steps if s.op not in plain_ops and not any(s is x for x in needed)]
+        if strict and warnings:
+            raise invalid("E_PLAN_STRICT", "; ".join(warnings))
+        return warnings
+
     def needed(self, wanted: set[str]) -> list[OpStep]:
         """The steps that the wanted tables, saves and assertions depend on."""
         need, keep = set(wanted), []

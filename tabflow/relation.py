@@ -20,18 +20,9 @@ def hidden_name(tag: str = "h") -> str:
     return f"__tf_{tag}{next(_numbers)}"
 
 
-#: Files up to this many are told apart by their number in the order of names, more by their path.
-NUMBERED_FILES = 1000
-
-
 def file_place(df: DataFrame) -> Column | None:
-    """The place of a row's file among the table's files; None if there is only one."""
-    names = sorted(f.rpartition("/")[2] for f in df.inputFiles()[: NUMBERED_FILES + 1])
-    if len(names) == 1:
-        return None
-    if 1 < len(names) <= NUMBERED_FILES and len(set(names)) == len(names):
-        return F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_metadata.file_name")).cast("int")
-    return F.col("_metadata.file_path")
+    """What orders a table's files, their path; None if there is only one."""
+    return None if len(df.inputFiles()) == 1 else F.col("_metadata.file_path")
 
 
 @dataclass(frozen=True)

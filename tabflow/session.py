@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -68,13 +68,13 @@ class Run:
         return done
 
 
-def compile_text(text: str, language: str, legacy: bool = True, include=None) -> Plan:
+def compile_text(text: str, language: str, legacy: bool = True, include: Callable[[str], str] | None = None) -> Plan:
     return pipeline.compile_script(text) if language == "pipeline" else sas.compile_script(text, legacy, include)
 
 
-def run(spark: SparkSession, text: str, tables: Mapping[str, DataFrame | Relation] | None = None, language: str = "batch", legacy: bool = True, base: str = "", wanted: set[str] | None = None, locks: Mapping | None = None, strict: bool | None = None) -> Run:
-    """Run a script over bound tables.  ``language``: ``batch`` (DATA and PROC steps) or ``pipeline``."""
-    plan = compile_text(text, language, legacy)
+def run(spark: SparkSession, text: str, tables: Mapping[str, DataFrame | Relation] | None = None, language: str = "batch", legacy: bool = True, base: str = "", wanted: set[str] | None = None, locks: Mapping | None = None, strict: bool | None = None, include: Callable[[str], str] | None = None) -> Run:
+    """Run a script over bound tables.  ``language``: ``batch`` (DATA and PROC steps) or ``pipeline``; ``include`` reads included files."""
+    plan = compile_text(text, language, legacy, include)
     return run_plan(spark, plan, tables, base, wanted, locks, language == "pipeline" if strict is None else strict)
 
 

@@ -197,7 +197,14 @@ def test_amendments(spark):
     assert [d["outputs"] for d in amend.diff(plan, new)["changed"]] == [[target]]
     for bad, code in (
         ([{"kind": "nothing"}], "E_AMEND_KIND"),
-        ([{"kind": "remove_step", "step": target}], "E_UNKNOWN_TABLE"),
+        ([{"kind": "remove_step", "step": target}], "E_AMEND_POLICY"),
+        ([{"kind": "remove_assertion", "index": 0}], "E_AMEND_POLICY"),
+        ([{"kind": "rewire_outputs", "step": target, "outputs": ["z"]}], "E_AMEND_POLICY"),
+        ([{"kind": "edit_expr", "step": target, "at": ["predicate"], "edit": "evaluate"}], "E_AMEND_EDIT"),
+        ([{"kind": "edit_expr", "step": target, "at": ["predicate", 0, "right"], "edit": "replace_literal", "literal": "x"}], "E_AMEND_TYPE"),
+        ([{"kind": "edit_expr", "step": target, "at": ["predicate", 0], "edit": "replace_op", "op": "+"}], "E_AMEND_TYPE"),
+        ([{"kind": "edit_expr", "step": target, "at": ["predicate", 7], "edit": "wrap_not"}], "E_AMEND_TARGET"),
+        ([{"kind": "add_assertion", "predicate": "row_count(t) > 1"}], "E_AMEND_NAME"),
         ([{"kind": "edit_expr", "step": target, "at": ["predicate"], "find": "77", "replace": "3"}], "E_AMEND_TARGET"),
         ([{"kind": "rename_table", "from": "u", "to": "t"}], "E_AMEND_NAME"),
         ([{"kind": "set_params", "step": target, "params": {"zzz": 1}}], "E_AMEND_PARAM"),
@@ -208,6 +215,42 @@ def test_amendments(spark):
             amend.apply(plan, bad, set())
         assert e.value.code == code
     assert plan == pipeline.compile_script(TEXT)
+    with pytest.raises(Refusal) as e:
+        amend.apply(plan, [{"kind": "remove_step", "step": target}], set(), amend.Policy(destructive=True))
+    assert e.value.code == "E_UNKNOWN_TABLE"
+
+
+def test_typed_edits_and_requests(spark):
+    plan = pipeline.compile_script(TEXT)
+    target = next(s for s in plan.steps if s.op == "filter").outputs[0]
+    edits = [
+        {"kind": "edit_expr", "step": target, "at": ["predicate", 0, "right"], "edit": "replace_literal", "literal": 3},
+        {"kind": "edit_expr", "step": target, "at": ["predicate", 0], "edit": "replace_op", "op": "<="},
+        {"kind": "edit_expr", "step": target, "at": ["predicate", 1], "edit": "wrap_not"},
+        {"kind": "edit_expr", "step": target, "at": ["predicate", 0, "left"], "edit": "replace_column", "column": "a"},
+    ]
+    answer = amend.request(plan, {"edits": [*edits, {"kind": "add_assertion", "id": "few", "predicate": "row_count(t) < 9"}]}, set())
+    assert answer["status"] == "ok" and answer["assertions"] == {"added": ["few"], "removed": [], "modified": []}
+    new = from_json(json.loads(json.dumps(answer["plan"])))
+    # a <= 3, which a missing value is, or not a == null
+    assert {r["a"] for r in run_plan(spark, new)["t"].collect()} == {6, 3, None}
+    more = amend.request(new, {"edits": [{"kind": "replace_assertion", "id": "few", "predicate": "row_count(t) < 5"}]}, set())
+    assert [m["id"] for m in more["assertions"]["modified"]] == ["few"]
+    gone = amend.request(new, {"policy": {"destructive": True}, "edits": [{"kind": "remove_assertion", "id": "few"}]}, set())
+    assert gone["assertions"]["removed"] == ["few"]
+    for bad, code in (({"edits": [{"kind": "remove_assertion", "id": "few"}]}, "E_AMEND_POLICY"), ({"policy": {"all": True}, "edits": []}, "E_AMEND_POLICY"), ({}, "E_AMEND_SHAPE")):
+        answer = amend.request(new, bad, set())
+        assert answer["status"] == "refused" and answer["refusals"][0]["code"] == code
+
+
+def test_plan_invariants():
+    plan = pipeline.compile_script(TEXT)
+    assert any("'u'" in w for w in plan.invariants())
+    save = 'save t to "t.csv"'
+    for text, strict, code in ((TEXT, True, "E_PLAN_STRICT"), (TEXT.replace(save, ""), False, "E_PLAN_NO_SAVE"), (TEXT.replace(save, f"{save}\n{save}"), False, "E_PLAN_SAVED_TWICE")):
+        with pytest.raises(Refusal) as e:
+            pipeline.compile_script(text).invariants(strict)
+        assert e.value.code == code
 
 
 def test_clinical_profile(spark):
@@ -298,6 +341,32 @@ def test_command_line(tmp_path, capsys):
     assert main(["plan", str(tmp_path / "s.flow")]) == 0
     assert main(["run", str(tmp_path / "s.flow"), "--out", str(tmp_path / "out")]) == 0
     assert main(["verify", str(tmp_path / "out")]) == 0
+    capsys.readouterr()
+    main(["plan", str(tmp_path / "s.flow")])
+    (tmp_path / "plan.json").write_text(capsys.readouterr().out)
+    assert main(["validate-plan", str(tmp_path / "plan.json")]) == 10
+    assert main(["validate-plan", "--strict", str(tmp_path / "plan.json")]) == 31
+    (tmp_path / "req.json").write_text(json.dumps({"edits": [{"kind": "remove_assertion", "index": 0}]}))
+    capsys.readouterr()
+    assert main(["amend", str(tmp_path / "plan.json"), str(tmp_path / "req.json")]) == 31
+    assert json.loads(capsys.readouterr().out)["refusals"][0]["code"] == "E_AMEND_POLICY"
+    (tmp_path / "shared").mkdir()
+    (tmp_path / "shared/inc.sas").write_text("%let n = 5;\n")
+    (tmp_path / "in.csv").write_text("x,code\n1,007\n9,008\n")
+    (tmp_path / "b.sas").write_text("%include 'inc.sas';\ndata o; set t; if x > &n; run;")
+    assert main(["run", str(tmp_path / "b.sas"), "--out", str(tmp_path / "no"), "--tables", f"t={tmp_path}/in.csv"]) == 30
+    more = ["--include-root", str(tmp_path / "shared"), "--tables", f"t={tmp_path}/in.csv"]
+    assert main(["lock", str(tmp_path / "b.sas"), "--out", str(tmp_path / "b.schema.lock.json"), *more]) == 0
+    assert main(["run", str(tmp_path / "b.sas"), "--out", str(tmp_path / "yes"), "--format", "xpt", *more]) == 0
+    assert [p.name for p in (tmp_path / "yes/outputs").iterdir() if p.suffix != ".crc"] == ["o.xpt"]
+    assert main(["run", str(tmp_path / "b.sas"), "--out", str(tmp_path / "many"), "--parts", *more]) == 0
+    assert "9,008" in "".join(p.read_text() for p in (tmp_path / "many/outputs/o.csv").glob("*.csv"))
+    (tmp_path / "old.sas").write_text("data o; set t; if x gt 5; run;")
+    assert main(["check", str(tmp_path / "old.sas")]) == 30 and main(["check", "--legacy", str(tmp_path / "old.sas")]) == 0
+    (tmp_path / "dm.csv").write_text("DOMAIN,USUBJID,SUBJID,SITEID,SEX,RACE,RFSTDTC\nDM,1,1,A,M,W,soon\n")
+    capsys.readouterr()
+    assert main(["validate", "--tables", f"dm={tmp_path}/dm.csv"]) == 31
+    assert '"row": 1' in capsys.readouterr().out
     (tmp_path / "bad.sas").write_text("data o; merge a b; run;")
     assert main(["check", str(tmp_path / "bad.sas")]) == 30
     capsys.readouterr()
