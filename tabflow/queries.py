@@ -274,36 +274,31 @@ script(
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a table as CSV in order and read it back with pinned types."""
-    import os
-
     from tabflow.sources import csv as C
 
-    path = _scratch(spark, "nation.csv")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = scratch_file(spark, "nation.csv")
     C.write(Relation.of(table(spark, sf_dir, "nation")), path)
-    rel, _ = C.typed(C.relation(spark, C.read_text(spark, "file://" + path)), [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")])
+    rel, _ = C.typed(C.relation(spark, C.read_text(spark, path)), [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")])
     return rel.visible()
 
 
 def xpt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a table as a transport file and read it back; numbers come back as doubles, names with 8 bytes."""
-    import os
-
     from tabflow.sources import xpt
 
-    path = _scratch(spark, "nation.xpt")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = scratch_file(spark, "nation.xpt")
     xpt.write(Relation.of(table(spark, sf_dir, "nation")), path, "NATION")
-    return xpt.read(spark, "file://" + path).visible()
+    return xpt.read(spark, path).visible()
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A place in the folder that the cluster shares, for files that the driver writes and executors read."""
+def scratch_file(spark: SparkSession, name: str) -> str:
+    """A place in the folder that the cluster shares, as a URI, for files that the driver writes and executors read."""
     import tempfile
     import uuid
 
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    return f"{at.removeprefix('file://').rstrip('/')}/tabflow-{uuid.uuid4().hex}/{name}"
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    at = at if "://" in at else f"file://{at}"
+    return f"{at.rstrip('/')}/tabflow-{uuid.uuid4().hex}/{name}"
 
 
 QUERIES["csv_roundtrip"] = csv_roundtrip
@@ -313,9 +308,7 @@ ORACLES["xpt_roundtrip"] = "SELECT CAST(n_nationkey AS DOUBLE) AS n_nation, n_na
 
 
 def stream_row_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row-wise plan over a stream of the events' file, drained to a table in memory."""
-    import uuid
-
+    """A row-wise plan over a stream of the events' file, drained to a table in the shared folder."""
     from tabflow import streaming
     from tabflow.frontend import sas
 
@@ -323,10 +316,10 @@ def stream_row_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stream reads a folder: of the data folder, the events' file
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     plan = sas.compile_script("data out; set events(where=(value > 50)); big = if(value > 90, 1, 0); keep event_id big; run;", True)
-    name = f"tabflow_{uuid.uuid4().hex}"
-    query = streaming.apply(plan, stream, "events", "out").writeStream.format("memory").queryName(name).option("checkpointLocation", "file://" + _scratch(spark, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    made = streaming.apply(plan, stream, "events", "out")
+    path = scratch_file(spark, "rows")
+    made.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_file(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(path)
 
 
 QUERIES["stream_row_wise"] = stream_row_wise

@@ -16,6 +16,7 @@ from tabflow.functions.columns import NUMBER, WHOLE
 from tabflow.functions.types import WIDE
 from tabflow.operators.project import parsed
 from tabflow.relation import Relation, hidden_name
+from tabflow.sources import files
 
 #: Rows of evidence for a column that doesn't coerce.
 SAMPLES = 10
@@ -122,7 +123,7 @@ def cell(value: object) -> str:
 def write(rel: Relation, path: str) -> dict:
     """One file in the relation's order.  Rows stream through the driver a partition at a time."""
     rows = 0
-    with open(path, "w", encoding="utf-8", newline="") as f:
+    with io.TextIOWrapper(files.create(path), encoding="utf-8", newline="") as f:
         out = csv.writer(f, lineterminator="\n")
         out.writerow(rel.columns)
         for r in rel.ordered().toLocalIterator(prefetchPartitions=True):

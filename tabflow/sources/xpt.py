@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tabflow.errors import runtime
 from tabflow.functions.types import NUMERIC
 from tabflow.relation import Relation, hidden_name
+from tabflow.sources import files
 from tabflow.workers import importable
 
 RECORD, MAX_CHAR = 80, 200
@@ -163,7 +164,7 @@ def write(rel: Relation, path: str, name: str = "DATA") -> dict:
         for r in rel.ordered().toLocalIterator():
             yield [float(v) if isinstance(v, Decimal | bool) else v for v in r]
 
-    with open(path, "wb") as f:
+    with files.create(path) as f:
         for part in encode(name, columns, plain()):
             f.write(part)
     return {"path": path, "columns": list(rel.columns)}

@@ -1,7 +1,7 @@
 import pytest
 from oracle import same
 
-from tabflow import queries as Q
+from tabflow import queries_checks as Q
 
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
