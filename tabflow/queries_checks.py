@@ -136,9 +136,9 @@ def save_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 script(
     "retain_multiplied",
     "events",
-    "proc sort data=events out=s; by event_id; run;\ndata out; set s; retain acc; x = if(event_type == 'click', ., event_id + 9007199254740993); acc = coalesce(acc, 0) * if(event_type == 'error', 0, 1) + if(event_type == 'view', 1, 0); keep event_id x acc; run;",
+    "proc sort data=events out=s; by event_id; run;\ndata out; set s; retain acc; x = if(event_type == 'click', ., event_id); k = event_id + 9007199254740993; acc = coalesce(acc, 0) * if(event_type == 'error', 0, 1) + if(event_type == 'view', 1, 0); keep event_id k x acc; run;",
     """WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS part FROM events)
-SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE event_id + 9007199254740993 END AS x,
+SELECT event_id, event_id + 9007199254740993 AS k, CASE WHEN event_type = 'click' THEN NULL ELSE event_id END AS x,
        CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY event_id) AS BIGINT) AS acc FROM g""",
 )
 script(
