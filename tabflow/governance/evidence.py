@@ -12,6 +12,8 @@ from tabflow.relation import Relation
 
 #: Distinct values are counted up to this, and so many frequent values are shown.
 UNIQUE_CAP, TOP = 2048, 5
+#: Lots of values that are ranked by themselves first.
+LOTS = 64
 
 
 def profile(rel: Relation) -> DataFrame:
@@ -24,14 +26,17 @@ def profile(rel: Relation) -> DataFrame:
     df = rel.visible()
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(rel.columns)]))
     counted = df.select(cells.alias("c")).groupBy("c.i", "c.v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.col("v").isNull(), F.col("n").desc(), "v")))
-    top = F.when((F.col("r") <= TOP) & F.col("v").isNotNull(), F.struct("r", "v", "n"))
-    facts = ranked.groupBy("i").agg(
+    facts = counted.groupBy("i").agg(
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null_count"),
         F.count("v").alias("distinct"),
-        F.sort_array(F.collect_list(top)).alias("top"),  # TOP values a column
     )
+    # the best of each of LOTS lots of values, then the best of these: no task ranks a whole column
+    order = [F.col("n").desc(), F.col("v")]
+    lot = F.pmod(F.xxhash64("v"), F.lit(LOTS))
+    some = counted.where("v is not null").withColumn("r", F.row_number().over(Window.partitionBy("i", lot).orderBy(*order))).where(F.col("r") <= TOP)
+    best = some.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(*order))).where(F.col("r") <= TOP)
+    facts = facts.join(best.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("r", "v", "n"))).alias("top")), "i", "left")
     spark = df.sparkSession
     names = spark.createDataFrame([(i, c, shown(type_name(rel.df.schema[c].dataType))) for i, c in enumerate(rel.columns)], "i int, column string, type_hint string")
     out = names.join(facts, "i", "left")
@@ -43,7 +48,7 @@ def profile(rel: Relation) -> DataFrame:
         F.coalesce("non_null_count", zero).alias("non_null_count"),
         F.when(F.col("distinct") > UNIQUE_CAP, F.lit(f">={UNIQUE_CAP + 1}")).otherwise(F.coalesce("distinct", zero).cast("string")).alias("unique_count"),
         F.when((F.col("distinct") == 1) & (F.col("null_count") == 0), F.col("top")[0]["v"]).alias("constant_value"),
-        F.array_join(F.transform("top", lambda t: F.concat(t["v"], F.lit("="), t["n"].cast("string"))), ";").alias("top_values"),
+        F.array_join(F.transform(F.coalesce("top", F.array().cast("array<struct<r:int,v:string,n:bigint>>")), lambda t: F.concat(t["v"], F.lit("="), t["n"].cast("string"))), ";").alias("top_values"),
     )
 
 

@@ -342,6 +342,8 @@ def solve(rel: Relation, env: dict[str, Typed], step: Step, active: list[str], f
     df = trial.df
     depth = max((reset_depth(step, r) for r in active), default=0) if all(reset_depth(step, r) for r in active) else 0
     names = [rel.resolve(k) for k in step.by[:depth]]
+    if not names and (place := stretch(rel)) is not None:
+        return in_stretches(rel, df, trial, active, kinds, place)
     keys = [rel.col(n) for n in names]
     order = rel.order_columns(names)
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -366,6 +368,68 @@ def solve(rel: Relation, env: dict[str, Typed], step: Step, active: list[str], f
     return rel.with_columns(df, rel.columns), previous
 
 
+#: Stretches of the order that a state is carried over, so that no task sees all rows.
+STRETCHES = 256
+
+
+def stretch(rel: Relation) -> Column | None:
+    """The number of the row's stretch of the order, by the first order column; None if that has no cuts."""
+    if not rel.order:
+        return None
+    first = rel.col(rel.order[0])
+    if not isinstance(rel.df.schema[rel.order[0]].dataType, T.IntegralType | T.FractionalType):
+        return None
+    found = rel.df.agg(F.percentile_approx(first.cast("double"), [i / STRETCHES for i in range(1, STRETCHES)], 10_000).alias("b")).first()["b"]
+    cuts = F.array(*[F.lit(c) for c in sorted({c for c in found or [] if c == c})])
+    # missing comes first; not-a-number, which orders last, is above all cuts
+    return F.when(first.isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < first.cast("double"))))
+
+
+def in_stretches(rel: Relation, df: DataFrame, trial: Symbolic, active: list[str], kinds: dict[str, str], place: Column) -> tuple[Relation, dict[str, Typed]]:
+    """States that no group resets: solved within each stretch of the order, and carried from stretch to stretch.
+
+    Of a stretch only what it hands on meets in one task: whether it sets the state, to
+    what, and what it adds; a row for each stretch.
+    """
+    at = hidden_name("z")
+    df = df.withColumn(at, place)
+    order = rel.order_columns()
+    upto = Window.partitionBy(at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before, previous = Window.partitionBy(at).orderBy(*order), {}
+    for r in active:
+        c, kind = trial.carry[r], kinds[r] if kinds[r] != "null" else "float"
+        spark = spark_type(kind)
+        held, part, added, lost, own = (hidden_name(t) for t in ("s", "p", "d", "l", "w"))
+        df = df.withColumn(held, F.last(F.when(c["set"], F.struct(c["value"].col.cast(spark).alias("v"))), ignorenulls=True).over(upto))
+        df = df.withColumn(part, F.sum(c["set"].cast("int")).over(upto))
+        since = Window.partitionBy(at, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        add = c["add"].col if c["add"] is not None else F.lit(0).cast(spark)
+        df = df.withColumn(added, F.sum(F.coalesce(add, F.lit(0))).over(since)).withColumn(lost, F.max(add.isNull().cast("int")).over(since) > 0)
+        # what a stretch hands on, and what it is handed: the last state set before it, and all that was added since
+        last = df.groupBy(at).agg(F.max_by(F.struct(held, added, lost), F.struct(*[F.col(f"`{o}`") for o in rel.order])).alias("x")).select(at, *[F.col("x")[n].alias(n) for n in (held, added, lost)])
+        over = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        group = hidden_name("y")
+        run = Window.partitionBy(group).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        sets = last.withColumn(group, F.sum(F.col(held).isNotNull().cast("int")).over(over)).withColumn(own, F.last(held, ignorenulls=True).over(over))
+        sums = sets.withColumn(added, F.sum(added).over(run)).withColumn(lost, F.max(lost).over(run))
+        after = hidden_name("q")
+        given = sums.select(at, F.lag(F.struct(F.col(own).alias("s"), F.col(added).alias("d"), F.col(lost).alias("l"))).over(Window.orderBy(at)).alias(after))
+        df = df.join(F.broadcast(given), at)  # a row for each of at most STRETCHES + 1 stretches
+        mine = F.col(held).isNotNull()
+        state = F.when(mine, F.col(held)["v"]).otherwise(F.col(after)["s"]["v"])
+        total = F.when(mine, F.col(added)).otherwise(F.col(added) + F.col(after)["d"])
+        gone = F.when(mine, F.col(lost)).otherwise(F.col(lost) | F.col(after)["l"])
+        value = state if c["add"] is None else F.when(gone, F.lit(None).cast(spark)).otherwise((state + total).cast(spark))
+        done, old = hidden_name("a"), hidden_name("b")
+        df = df.withColumn(done, value)
+        # the row before, or for the first of a stretch what the stretches before it came to
+        given_state = F.col(after)["s"]["v"]
+        first = given_state if c["add"] is None else F.when(F.col(after)["l"], F.lit(None).cast(spark)).otherwise((given_state + F.col(after)["d"]).cast(spark))
+        df = df.withColumn(old, F.when(F.row_number().over(before) == 1, first).otherwise(F.lag(done).over(before)))
+        previous[r] = Typed(F.col(old), kind)
+    return rel.with_columns(df, rel.columns), previous
+
+
 def reset_depth(step: Step, name: str) -> int:
     """How many by keys a top-level ``if first.k then v = <without v>`` spans, before anything reads v; 0 if none does."""
     by = [b.lower() for b in step.by]
