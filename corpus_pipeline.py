@@ -24,7 +24,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays as often as the mix takes it; the last copy may be cut to the words taken."""
+    """Each document stays as often as the mix takes it, in the schedule's order; the last copy may be cut to the words taken."""
     return mixing.mixed_documents(docs)
 
 
