@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.errors import invalid
@@ -34,31 +34,24 @@ def merge(tables: Sequence[Relation], by: Sequence[str], flags: Sequence[str | N
         value = F.struct(*[t.col(c).alias(f"c{i}") for i, c in enumerate(t.columns)])
         place = F.struct(*[F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(t.order)])
         sides.append(t.df.select(*[t.col(c).alias(k) for c, k in zip(own, keys, strict=True)], F.lit(n).alias("__tf_t"), value.alias(f"__tf_v{n}"), place.alias(f"__tf_o{n}")))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
-    group = Window.partitionBy(*keys)
-    rows = rows.select("*", *[F.count_if(F.col("__tf_t") == n).over(group).alias(f"__tf_n{n}") for n in range(len(tables))], *[F.first(f"__tf_v{n}", ignorenulls=True).over(group).alias(f"__tf_w{n}") for n in range(len(tables))])
-    counts = [F.col(f"__tf_n{n}") for n in range(len(tables))]
-    several = reduce(lambda a, b: a + b, [(c > 1).cast("int") for c in counts])
-    lead = F.coalesce(*[F.when(c > 1, n) for n, c in enumerate(counts)], *[F.when(c > 0, n) for n, c in enumerate(counts)])
-    if len(tables) > 1:
-        lead = F.when(several > 1, F.raise_error(F.lit(MANY)).cast("int")).otherwise(lead)
-    rows = rows.where(F.col("__tf_t") == lead)
+    known = [frozenset(o) in t.unique for o, t in zip(owns, tables, strict=True)]
     at = hidden_name("i")
-    within = Window.partitionBy(*keys).orderBy(*[F.col(f"__tf_o{n}").asc_nulls_first() for n in range(len(tables))])
-    rows = rows.withColumn(at, F.row_number().over(within))
+    if len(tables) > 1 and sum(known) >= len(tables) - 1:
+        rows, counts, mine = joined(sides, keys, known, at)
+    else:
+        rows, counts, mine = grouped(sides, keys, at)
     values: dict[str, Column] = {k: F.col(c) for k, c in zip(names, keys, strict=True)}
     columns: list[str] = []
     for n, t in enumerate(tables):
-        mine = F.when(F.col("__tf_t") == n, F.col(f"__tf_v{n}")).otherwise(F.col(f"__tf_w{n}"))
         for i, c in enumerate(t.columns):
             if c in owns[n]:
                 name = names[owns[n].index(c)]
             elif c in values:
                 name = c
-                values[c] = F.when(counts[n] > 0, mine[f"c{i}"]).otherwise(values[c])
+                values[c] = F.when(counts[n] > 0, mine[n][f"c{i}"]).otherwise(values[c])
             else:
                 name = c
-                values[c] = mine[f"c{i}"]
+                values[c] = mine[n][f"c{i}"]
             if name not in columns:
                 columns.append(name)
     for n, flag in enumerate(flags):
@@ -68,3 +61,46 @@ def merge(tables: Sequence[Relation], by: Sequence[str], flags: Sequence[str | N
     columns = list(dict.fromkeys(columns))
     unique = frozenset([frozenset(names)]) if all(frozenset(o) in t.unique for o, t in zip(owns, tables, strict=True)) else frozenset()
     return Relation(rows.select(*[values[c].alias(c) for c in columns], F.col(at)), tuple(columns), (*names, at), unique)
+
+
+def joined(sides: list[DataFrame], keys: list[str], known: list[bool], at: str) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Outer joins of tables of which one at most may repeat a key.
+
+    Conditions on presence flags turn them into inner or left joins, whose small sides the
+    planner broadcasts and whose hot keys it splits.
+    """
+    many = known.index(False) if False in known else 0
+    order = [many, *[n for n in range(len(sides)) if n != many]]
+    rows = None
+    for n in order:
+        own = sides[n].select(*[F.col(k).alias(f"{k}_{n}") for k in keys], F.lit(1).alias(f"__tf_p{n}"), f"__tf_v{n}", *([f"__tf_o{n}"] if n == many else []))
+        if rows is None:
+            rows = own.select(*[F.col(f"{k}_{n}").alias(k) for k in keys], *[c for c in own.columns if not c.startswith("__tf_k")])
+            continue
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_{n}")) for k in keys])
+        both = rows.join(own, on, "full_outer")
+        # a missing key matches, so what tells that a side is there is its mark
+        here = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in rows.columns if c.startswith("__tf_p")])
+        kept = [c for c in both.columns if not c.startswith("__tf_k")]
+        rows = both.select(*[F.when(here, F.col(k)).otherwise(F.col(f"{k}_{n}")).alias(k) for k in keys], *kept)
+    rows = rows.withColumn(at, F.col(f"__tf_o{many}")).drop(f"__tf_o{many}")
+    marks = [F.coalesce(F.col(f"__tf_p{n}"), F.lit(0)) for n in range(len(sides))]
+    return rows, marks, [F.col(f"__tf_v{n}") for n in range(len(sides))]
+
+
+def grouped(sides: list[DataFrame], keys: list[str], at: str) -> tuple[DataFrame, list[Column], list[Column]]:
+    """All tables in one union, shuffled once by the key: the rows of the table with several (else of the first that has
+    the key) stay, and windows over the key bring the others' row to them."""
+    n_tables = len(sides)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+    group = Window.partitionBy(*keys)
+    rows = rows.select("*", *[F.count_if(F.col("__tf_t") == n).over(group).alias(f"__tf_n{n}") for n in range(n_tables)], *[F.first(f"__tf_v{n}", ignorenulls=True).over(group).alias(f"__tf_w{n}") for n in range(n_tables)])
+    counts = [F.col(f"__tf_n{n}") for n in range(n_tables)]
+    several = reduce(lambda a, b: a + b, [(c > 1).cast("int") for c in counts])
+    lead = F.coalesce(*[F.when(c > 1, n) for n, c in enumerate(counts)], *[F.when(c > 0, n) for n, c in enumerate(counts)])
+    if n_tables > 1:
+        lead = F.when(several > 1, F.raise_error(F.lit(MANY)).cast("int")).otherwise(lead)
+    rows = rows.where(F.col("__tf_t") == lead)
+    within = Window.partitionBy(*keys).orderBy(*[F.col(f"__tf_o{n}").asc_nulls_first() for n in range(n_tables)])
+    rows = rows.withColumn(at, F.row_number().over(within))
+    return rows, counts, [F.when(F.col("__tf_t") == n, F.col(f"__tf_v{n}")).otherwise(F.col(f"__tf_w{n}")) for n in range(n_tables)]

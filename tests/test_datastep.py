@@ -66,6 +66,31 @@ def test_windows_agree_with_the_fold(spark, inline, body, monkeypatch):
     assert fast == slow
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_joins_agree_with_the_union(spark, n, monkeypatch):
+    """Merges of tables that are known to have a key once are the same by joins as by one union, with missing keys too."""
+    import random
+
+    from tabflow.operators import merge
+    from tabflow.relation import Relation
+
+    rng = random.Random(11)
+    tables = {}
+    for t in range(n):
+        rows = [(rng.choice([None, *range(12)]), i, rng.choice([None, 1, 2])) for i in range(30)]
+        tables[f"t{t}"] = Relation(spark.createDataFrame(rows, f"k int, i{t} long, v long"), ("k", f"i{t}", "v"), ("k", f"i{t}"))
+    single = "".join(f"proc sort data=t{t} out=u{t} nodupkey; by k; run;\n" for t in range(n - 1))
+    names = " ".join(f"u{t}(in=f{t})" for t in range(n - 1))
+    for body in ("", "if f0;", "if f0 and m;", "if m and not f0;", "a = if(f0, 1, 0); b = if(m, 1, 0); if last.k;"):
+        text = f"{single}proc sort data=t{n - 1} out=m; by k; run;\ndata out; merge {names} m(in=m); by k; {body} run;"
+        fast = out(run(spark, text, tables))
+        with monkeypatch.context() as only:
+            only.setattr(merge, "joined", lambda sides, keys, known, at: merge.grouped(sides, keys, at))
+            assert fast == out(run(spark, text, tables)), body
+    plan = run(spark, f"{single}proc sort data=t{n - 1} out=m; by k; run;\ndata out; merge {names} m(in=m); by k; if f0 and m; run;", tables)["out"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan
+
+
 REFUSED = [
     ("data out; merge a b; run;", "DATASTEP_MISSING_BY"),
     ("data out; set a; do while (1); end; run;", "LOOP_UNSUPPORTED"),
