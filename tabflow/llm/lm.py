@@ -47,7 +47,7 @@ RATE, CURVE_RATE, STEP, ROUNDS = 0.03, 0.03, 1024, 2
 #: Bytes of text of a block, of a part of it, and of a piece of a long text (cut after a space).
 BLOCK, PART, PIECE = 8 << 20, 1 << 20, 1 << 19
 #: Training bytes a bucket, about, and buckets at most; keys that are computed at once.
-BUCKET_BYTES, BUCKETS, CHUNK = 8 << 20, 4096, 1 << 15
+BUCKET_BYTES, BUCKETS, CHUNK = 24 << 20, 4096, 1 << 15
 MODULUS, REMAINDER = 7, 2
 GATES = 2 * (REACH + 1) * 8
 KNOTS = 33
