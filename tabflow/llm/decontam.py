@@ -86,14 +86,14 @@ def intersection(candidates: DataFrame, others: DataFrame, on: list[str]) -> Dat
     return candidates.join(kept.hint("merge"), on, "left_semi")
 
 
-def occurrences(index: DataFrame, wins: DataFrame) -> DataFrame:
+def occurrences(index: DataFrame, wins: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """Where windows occur word for word: rid, start (from 0), len, wid.
 
     The postings of each window's rarest term, moved back by its offset, are the candidate
     starts; they are intersected with the moved postings of the next rarest term.  What is
     left looks up all other terms at their places at once, and stays if each is there.
     """
-    ranked = ranked_terms(index, wins)
+    ranked = ranked_terms(index, wins) if ranked is None else ranked
     first = materialise(lists(index, ranked, 0), "first_lists")
     both = materialise(intersection(first.join(_shared(ranked.where("len > 1").select("wid"), "8"), "wid", "left_semi"), lists(index, ranked, 1), ["rid", "start", "wid"]), "second_lists")
     rest = F.slice("t", 3, F.greatest(F.lit(1), F.col("len") - 2))
@@ -109,22 +109,45 @@ def occurrences(index: DataFrame, wins: DataFrame) -> DataFrame:
     return whole.select(*columns).unionByName(short)
 
 
-def proximity(index: DataFrame, wins: DataFrame, slop: int) -> DataFrame:
+def proximity(index: DataFrame, wins: DataFrame, slop: int, ranked: DataFrame | None = None) -> DataFrame:
     """The (rid, wid) where some run of ``slop`` words more than the window holds all terms of the window, in any order.
 
-    Postings of the rarest term are held against those of the others in the same stretch of
-    the document or the next, so no document's lists are multiplied out.
+    Windows with the same two rarest terms share their candidates: the rarest's postings that
+    have one of the next rarest within reach.  Only these look for the windows' other terms,
+    in the cells of the document where they may be, so no list is repeated for each window of its term.
     """
-    ranked = ranked_terms(index, wins)
+    ranked = ranked_terms(index, wins) if ranked is None else ranked
     distinct = F.array_distinct(F.transform("t", lambda x: x["term"]))
     listed = ranked.select("wid", (F.col("len") + slop).alias("reach"), distinct.alias("terms"))
-    listed = materialise(listed.select("wid", "reach", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term")), "window_terms")
-    found = index.join(_shared(listed), "term").select("rid", "wid", "reach", "n", "k", "pos", F.expr("pos div reach").alias("cell"))
-    anchors = materialise(found.where("k = 0"), "anchors")
-    spread = anchors.where("n > 1").select("rid", "wid", "reach", "n", F.col("pos").alias("at"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    on = ["rid", "wid", "cell"]
-    others = tested(found.where("k > 0").withColumn("__tf_h", F.xxhash64(*on)), spread.select(F.xxhash64(*on).alias("__tf_h")), "__tf_h").where("__tf_maybe").select(*on, "k", "pos")
-    near = spread.join(others, on).where(F.abs(F.col("pos") - F.col("at")) < F.col("reach"))
+    named = materialise(listed.select(F.explode("terms").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id()), "term_ids")
+    numbered = listed.select("wid", "reach", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term")).join(named, "term")
+    numbered = numbered.groupBy("wid", "reach", "n").agg(F.sort_array(F.collect_list(F.struct("k", "tid"))).alias("t"))
+    numbered = materialise(numbered.select("wid", "reach", "n", F.get("t", F.lit(0))["tid"].alias("first"), F.get("t", F.lit(1))["tid"].alias("second"), F.slice("t", 2, F.greatest(F.lit(1), F.col("n") - 1)).alias("others")), "window_terms")
+    width = 2 * (numbered.agg(F.max("reach")).first()[0] or 1)  # so that what is in reach is in two cells at most
+    pair = ["reach", "first", "second"]
+
+    def placed(tids: DataFrame) -> DataFrame:
+        return index.join(_shared(named.join(tids.distinct(), "tid")), "term").select("rid", "tid", "pos", F.expr(f"pos div {width}").alias("cell"))
+
+    def cells() -> Column:
+        return F.explode(F.sequence(F.expr(f"greatest(0, at - reach + 1) div {width}"), F.expr(f"(at + reach - 1) div {width}")))
+
+    def found(probes: DataFrame, tids: DataFrame) -> DataFrame:
+        on = ["rid", "tid", "cell"]
+        near = tested(placed(tids).withColumn("__tf_h", F.xxhash64(*on)), probes.select(F.xxhash64(*on).alias("__tf_h")), "__tf_h")
+        return near.where("__tf_maybe").select(*on, "pos")
+
+    first = placed(numbered.select(F.col("first").alias("tid"))).select("rid", F.col("tid").alias("first"), F.col("pos").alias("at"))
+    pairs = numbered.where("n > 1").select(*pair).distinct()
+    anchors = materialise(first.join(_shared(pairs, "8"), "first").select("rid", *pair, "at"), "anchors")
+    spread = anchors.select("rid", *pair, "at", F.col("second").alias("tid"), cells().alias("cell"))
+    seconds = found(spread, pairs.select(F.col("second").alias("tid"))).hint("merge")
+    close = spread.join(seconds, (spread["rid"] == seconds["rid"]) & (spread["tid"] == seconds["tid"]) & (spread["cell"] == seconds["cell"]) & (F.abs(seconds["pos"] - spread["at"]) < spread["reach"]), "left_semi")
+    close = close.select("rid", *pair, "at").distinct()
+    candidates = materialise(close.join(_shared(numbered.where("n > 1"), "8 * n"), pair).select("rid", "wid", "at", "reach", "n", "others"), "candidates")
+    probes = candidates.select("rid", "wid", "at", "reach", "n", "others", cells().alias("cell")).select("rid", "wid", "at", "reach", "n", "cell", F.inline("others"))
+    others = found(probes, numbered.where("n > 1").select(F.explode("others.tid").alias("tid")))
+    near = probes.join(others.hint("merge"), ["rid", "tid", "cell"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("reach"))
     held = near.groupBy("rid", "wid", "at", "reach", "n").agg(F.collect_list(F.struct("k", "pos")).alias("held"))  # of 2 * reach words at most
     begins = F.sequence(F.col("at") - F.col("reach") + 1, F.col("at"))
 
@@ -133,7 +156,8 @@ def proximity(index: DataFrame, wins: DataFrame, slop: int) -> DataFrame:
         return F.size(F.array_distinct(F.transform(inside, lambda h: h["k"]))) == F.col("n") - 1
 
     several = held.where(F.exists(begins, full)).select("rid", "wid")
-    return several.unionByName(anchors.where("n = 1").select("rid", "wid")).distinct()
+    single = first.join(_shared(numbered.where("n = 1").select("wid", "first"), "8"), "first").select("rid", "wid")
+    return several.unionByName(single).distinct()
 
 
 @finished("matches")
@@ -141,8 +165,9 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
     """Per document and window that it holds, exactly or nearly: doc_id, window (its words), n_exact and near."""
     index = postings(docs)
     wins = materialise(windows(items), "item_windows")
-    exact = occurrences(index, wins).groupBy("rid", "wid").agg(F.count(F.lit(1)).alias("n_exact"))
-    near = proximity(index, wins, slop).withColumn("near", F.lit(True))
+    ranked = ranked_terms(index, wins)
+    exact = occurrences(index, wins, ranked).groupBy("rid", "wid").agg(F.count(F.lit(1)).alias("n_exact"))
+    near = proximity(index, wins, slop, ranked).withColumn("near", F.lit(True))
     both = near.join(exact, ["rid", "wid"], "left").join(lengths(index).select("rid", "doc_id"), "rid")
     text = wins.select("wid", F.array_join("window", " ").alias("window")).distinct()
     return both.join(text, "wid").select("doc_id", "window", F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"), "near")

@@ -109,3 +109,21 @@ def test_clean_documents_keep_their_columns(spark, rows, docs, items):
     got = M.clean_documents(docs, bench)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows if r[0] not in bad)
+
+
+def test_near_matches_move_no_list_for_each_window(spark, monkeypatch):
+    """Eight windows share a rare word: its list is held once for each next rarest word, and only what is near both goes on."""
+    words = [f"w{i}" for i in range(15)]
+    docs = [(i, "w7 other text") for i in range(200)] + [(200 + i, " ".join(words[:7] + words[9:])) for i in range(300)] + [(600 + i, "w8 alone") for i in range(250)] + [(900, " ".join(words))]
+    rows, kept = {}, M.materialise
+
+    def counted(df, name, *args, **named):
+        out = kept(df, name, *args, **named)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(M, "materialise", counted)
+    items = [(1, " ".join(words))]
+    got = M.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {900} and got.count() == 8
+    assert rows["anchors"] == 2 * 201 and rows["candidates"] == 8
