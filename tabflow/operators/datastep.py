@@ -8,7 +8,7 @@ where the state is set, or set and added to; other bodies fall back to a sequent
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 from tabflow.errors import Refusal, invalid
 from tabflow.functions.columns import Compiler, Typed, literal, truthy
-from tabflow.functions.expr import Binary, Expr, Lit, Ref, references
+from tabflow.functions.expr import Binary, Call, Expr, Lit, Logic, Ref, references
 from tabflow.functions.types import spark_type, unify
-from tabflow.operators.fold import RowCompiler, Runner
+from tabflow.operators.fold import Carrier, RowCompiler, Runner
 from tabflow.relation import Relation, hidden_name
 from tabflow.workers import importable
 
@@ -522,25 +522,123 @@ def evaluate(e: Expr, get: Callable[[str], object], formats: Mapping) -> object:
     return RowCompiler({n: literal(v).type for n, v in names.items()}, formats)(e)[0]({n.lower(): v for n, v in names.items()})
 
 
+def sliced(body: Sequence[Stmt], wanted: set[str]) -> tuple[Stmt, ...]:
+    """The statements that set one of these variables, with the control flow around them, and those that end rows."""
+    out: list[Stmt] = []
+    for s in body:
+        if isinstance(s, Branch):
+            cases, otherwise = tuple((e, sliced(b, wanted)) for e, b in s.cases), None if s.otherwise is None else sliced(s.otherwise, wanted)
+            if otherwise or any(b for _, b in cases):
+                out.append(replace(s, cases=cases, otherwise=otherwise))
+        elif isinstance(s, Loop):
+            inner = sliced(s.body, wanted)
+            if inner or s.name.lower() in wanted:
+                out.append(replace(s, body=inner))
+        elif isinstance(s, Subset) or (isinstance(s, Assign) and s.name.lower() in wanted):
+            out.append(s)
+    return tuple(out)
+
+
+class _NotLinear(Exception):
+    pass
+
+
+def linear(body: Sequence[Stmt], retain: Sequence[str], kinds: Mapping[str, str], formats: Mapping) -> tuple[Stmt, ...] | None:
+    """What of the body the states depend on, if a row makes of each whole-number state a multiple of itself and a sum; else None."""
+    wanted = {r.lower() for r in retain}
+    while (more := wanted | {r.lower() for e in expressions(sliced(body, wanted)) for r in references(e)}) != wanted:
+        wanted = more
+    cut = sliced(body, wanted)
+    kind_of = RowCompiler(kinds, formats)
+    held: dict[str, frozenset[str]] = {r.lower(): frozenset([r.lower()]) for r in retain}
+
+    def states(e: Expr) -> frozenset[str]:
+        """The states that the expression is linear in."""
+        if isinstance(e, Lit):
+            return frozenset()
+        if isinstance(e, Ref):
+            found = held.get(e.name.lower(), frozenset())
+        else:
+            parts = [states(x) for x in (e.args if isinstance(e, Logic | Call) else (e.left, e.right))]
+            found = frozenset().union(*parts)
+            sums = isinstance(e, Binary) and (e.op in ("+", "-") or (e.op == "*" and not all(parts)))
+            choices = isinstance(e, Call) and (e.name == "coalesce" or (e.name == "if" and not parts[0]))
+            if found and not (sums or choices):
+                raise _NotLinear
+        if found and kind_of(e)[1] != "int":
+            raise _NotLinear
+        return found
+
+    def walk(part: Sequence[Stmt], always: bool) -> None:
+        for s in part:
+            if isinstance(s, Assign):
+                name, made = s.name.lower(), states(s.value)
+                held[name] = made if always else made | held.get(name, frozenset())
+                if held[name] and kind_of(Ref(name))[1] != "int":
+                    raise _NotLinear
+            elif isinstance(s, Subset):
+                always = False
+                if states(s.test):
+                    raise _NotLinear
+            elif isinstance(s, Branch):
+                for e, inner in s.cases:
+                    if states(e):
+                        raise _NotLinear
+                    walk(inner, False)
+                walk(s.otherwise or (), False)
+            else:
+                for _ in range(len(held) + len(wanted) + 1):  # what is handed from one variable to the next has come through
+                    held[s.name.lower()] = held.get(s.name.lower(), frozenset())
+                    walk(s.body, False)
+
+    try:
+        walk(cut, True)
+    except _NotLinear:
+        return None
+    return cut if all(held[r.lower()] <= {r.lower()} for r in retain) else None
+
+
+def carried(df: DataFrame, place: Column, runner: Runner, body: Sequence[Stmt], order: list[Column]) -> tuple[DataFrame, str, str]:
+    """Rows in stretches of the order, each of which knows the states that it is handed; and the columns of both.
+
+    Stretches are run twice: first for what they make of any state, of which a row each
+    meets in one task, then from the state that they are handed.
+    """
+    at, given = hidden_name("z"), hidden_name("y")
+    used = {r.lower() for e in expressions(body) for r in references(e)}
+    carrier = Carrier(body, runner.kinds, runner.formats, [c for c in runner.columns if c.lower() in used], {k: v for k, v in runner.group.items() if k.lower() in used}, runner.retain, at)
+    df = df.withColumn(at, place.cast("int"))
+    made = df.repartition(F.col(at)).sortWithinPartitions(at, *order).select(at, *dict.fromkeys(c for _, c in carrier.inputs)).mapInArrow(carrier.rows, "stretch int, images binary")
+    states = made.repartition(1).sortWithinPartitions("stretch").mapInArrow(carrier.given, "stretch int, given array<bigint>")
+    states = states.select(F.col("stretch").alias(at), F.col("given").alias(given))
+    return df.join(F.broadcast(states), at).repartition(F.col(at)).sortWithinPartitions(at, *order), at, given  # a row for each of at most STRETCHES + 1 stretches
+
+
 def fold(rel: Relation, group: dict[str, str], step: Step, retain: list[str], formats: Mapping) -> dict[str, Relation]:
-    """Run the body row by row.  Without state rows are independent; with it, rows of a by group
-    are if every state is reset at its first row; else all rows go through one task in order."""
+    """Run the body row by row.  Without state rows are independent; with it, rows of a by group are if every state is
+    reset at its first row, and stretches of the order if each state is multiplied and added to; else all rows go
+    through one task in order."""
     importable(rel.df.sparkSession)
     kinds, words = infer(rel, step, retain, formats)
     names = finish(rel, step, list(rel.columns), [n for n in kinds if n not in rel.columns])
     schema = T.StructType([*[T.StructField(f"c{i}", kinds[n]) for i, n in enumerate(names)], *[T.StructField(f"o{i}", rel.df.schema[o].dataType) for i, o in enumerate(rel.order)], T.StructField("at", T.LongType()), T.StructField("target", T.StringType())])
     explicit = any(isinstance(s, Output) for s in statements(step.body))
-    columns, order = list(rel.columns), list(rel.order)
+    read = {n.lower() for n in names} | {r.lower() for e in expressions(step.body) for r in references(e)} | {s.name.lower() for s in statements(step.body) if isinstance(s, Assign | Loop)}
+    columns, order = [c for c in rel.columns if c.lower() in read], list(rel.order)
     runner = Runner(step.body, words, formats, schema, columns, group, retain, names, order, explicit)
-    needed = [*columns, *[o for o in order if o not in columns], *group.values()]
-    df = rel.df.select(*[F.col(f"`{c}`") for c in needed])
     depth = min((reset_depth(step, r) for r in retain), default=0) if retain else 0
+    keys = [F.col(f"`{rel.resolve(k)}`") for k in step.by[:depth]]
+    needed = dict.fromkeys([*columns, *order, *group.values(), *[rel.resolve(k) for k in step.by[:depth]]])
+    df = rel.df.select(*[F.col(f"`{c}`") for c in needed])
+    body = linear(step.body, retain, words, formats) if retain and not depth else None
     if not retain:
         df = df.mapInArrow(lambda it: runner.rows(it, {}), schema)
+    elif body is not None and (place := stretch(rel)) is not None:
+        df, at, given = carried(df, place, runner, body, rel.order_columns())
+        df = df.mapInArrow(lambda it: runner.rows(it, {}, at, given), schema)
     else:
         # a group starts anew where its by keys change: its state is set there before it is read,
         # so the rows of a partition pass one by one and no group is held whole
-        keys = [F.col(f"`{rel.resolve(k)}`") for k in step.by[:depth]]
         df = df.repartition(*keys) if keys else df.repartition(1)
         df = df.sortWithinPartitions(*[k.asc_nulls_first() for k in keys], *rel.order_columns()).mapInArrow(lambda it: runner.rows(it, {}), schema)
     new = {a.lower(): b for a, b in step.rename}

@@ -8,6 +8,7 @@ travel as Arrow batches: whole numbers, decimals and missing values keep their e
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from decimal import ROUND_HALF_UP, Context, Decimal
 
@@ -60,11 +61,34 @@ def convert(v: object, kind: str) -> object:
     if kind == "decimal":
         exact = v if isinstance(v, Decimal) else Decimal(repr(v)) if isinstance(v, float) else Decimal(int(v))
         return exact.quantize(SCALE, context=EXACT)
-    return int(v) if kind == "int" else v
+    return int(v) if kind == "int" and not isinstance(v, Linear) else v
+
+
+class Linear:
+    """``a`` times a whole number that isn't known yet, and ``b`` more."""
+
+    __slots__ = ("a", "b")
+
+    def __init__(self, a: int, b: int):
+        self.a, self.b = a, b
+
+    def __add__(self, o: Linear | int) -> Linear:
+        return Linear(self.a + o.a, self.b + o.b) if isinstance(o, Linear) else Linear(self.a, self.b + o)
+
+    def __mul__(self, o: int) -> Linear:
+        return Linear(self.a * o, self.b * o)
+
+    def __sub__(self, o: Linear | int) -> Linear:
+        return self + o * -1
+
+    def __rsub__(self, o: int) -> Linear:
+        return self * -1 + o
+
+    __radd__, __rmul__ = __add__, __mul__
 
 
 def _whole(v: int) -> int:
-    if not -LONG <= v < LONG:
+    if not isinstance(v, Linear) and not -LONG <= v < LONG:
         raise OverflowError("ARITHMETIC_OVERFLOW: a whole number leaves 64 bits")
     return v
 
@@ -293,13 +317,17 @@ class Runner:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_program": None}
 
-    def rows(self, batches: Iterator[pa.RecordBatch], state: dict[str, object]) -> Iterator[pa.RecordBatch]:
+    def rows(self, batches: Iterator[pa.RecordBatch], state: dict[str, object], stretch: str | None = None, given: str | None = None) -> Iterator[pa.RecordBatch]:
+        """The rows' results.  Where the column ``stretch`` changes, the state is that of ``given``, in the order of ``retain``."""
         program = self._program = self._program or Program(self.body, self.kinds, self.formats)
         made = arrow_schema(self.schema)
         out: list[list] = []
-        place = 0
+        place, at = 0, None
         for batch in batches:
             for record in batch.to_pylist():
+                if stretch is not None and (at is None or record[stretch] != at):
+                    at = record[stretch]
+                    state = dict(zip([r.lower() for r in self.retain], record[given] or [None] * len(self.retain), strict=True))
                 env: Env = {c.lower(): record[c] for c in self.columns}
                 env |= {k.lower(): record[v] for k, v in self.group.items()}
                 env |= {r.lower(): state.get(r.lower()) for r in self.retain}
@@ -320,3 +348,79 @@ class Runner:
     def _batch(self, out: list[list], made: pa.Schema) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) if out else [[]] * len(made)
         return pa.RecordBatch.from_arrays([pa.array([_stored(v, f.dataType) for v in c], type=a.type) for c, f, a in zip(cols, self.schema.fields, made, strict=True)], schema=made)
+
+
+#: What a state comes to where the row fails for it; if it is so, the row fails when it runs.
+FAILS = "fails"
+
+
+def after(image: object, value: object) -> object:
+    """An image, (of a missing state, of a whole number), of a value: missing, ``FAILS``, a number, or ``Linear`` of an earlier one."""
+    if isinstance(value, str):
+        return FAILS
+    none, some = image
+    if value is None:
+        return none
+    if not isinstance(some, Linear):
+        return some
+    return value * some.a + some.b
+
+
+class Carrier:
+    """What the rows of each stretch make of the states, whatever these were before; each depends on itself at most, linearly."""
+
+    #: Images kept, by the values that a row's image depends on.
+    KEPT = 10_000
+
+    def __init__(self, body: Sequence, kinds: Mapping[str, str], formats: Mapping, columns: Sequence[str], group: Mapping[str, str], retain: Sequence[str], stretch: str):
+        self.body, self.kinds, self.formats, self.stretch = tuple(body), dict(kinds), dict(formats), stretch
+        self.inputs = [(c.lower(), c) for c in columns] + [(k.lower(), v) for k, v in group.items()]
+        self.states = [r.lower() for r in retain]
+
+    def images(self, program: Program, values: tuple) -> list[tuple]:
+        """Of each state, what the row makes of a missing one and of a number."""
+        made = []
+        for before in (None, Linear(1, 0)):
+            env: Env = {n: v for (n, _), v in zip(self.inputs, values, strict=True)} | dict.fromkeys(self.states, before)
+            try:
+                program.run(env, lambda target: None)
+                made.append([env[s] for s in self.states])
+            except Exception:  # noqa: BLE001 - the row fails, with this error, only if the state is so
+                made.append([FAILS] * len(self.states))
+        return list(zip(*made, strict=True))
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each stretch: its number and the pickled images."""
+        program, kept, at, total = Program(self.body, self.kinds, self.formats), {}, None, []
+        for batch in batches:
+            stretches = batch.column(self.stretch).to_pylist()
+            columns = [batch.column(c).to_pylist() for _, c in self.inputs]
+            for place, values in zip(stretches, zip(*columns, strict=True) if columns else [()] * len(stretches), strict=True):
+                if place != at:
+                    if at is not None:
+                        yield self.batch(at, total)
+                    at, total = place, [(None, Linear(1, 0))] * len(self.states)
+                found = kept.get(values)
+                if found is None:
+                    found = self.images(program, values)
+                    if len(kept) < self.KEPT:
+                        kept[values] = found
+                total = [(after(f, none), after(f, some)) for f, (none, some) in zip(found, total, strict=True)]
+        if at is not None:
+            yield self.batch(at, total)
+
+    @staticmethod
+    def batch(at: int, total: list[tuple]) -> pa.RecordBatch:
+        plain = [[(v.a, v.b) if isinstance(v, Linear) else v for v in image] for image in total]
+        return pa.RecordBatch.from_pydict({"stretch": pa.array([at], pa.int32()), "images": pa.array([pickle.dumps(plain)], pa.binary())})
+
+    def given(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The states that each stretch is handed, from the stretches in order."""
+        states: list = [None] * len(self.states)
+        for batch in batches:
+            for record in batch.to_pylist():
+                # what leaves 64 bits or fails does so in an earlier stretch, when its rows run
+                shown = [v if isinstance(v, int) and -LONG <= v < LONG else None for v in states]
+                yield pa.RecordBatch.from_pydict({"stretch": pa.array([record["stretch"]], pa.int32()), "given": pa.array([shown], pa.list_(pa.int64()))})
+                images = [tuple(Linear(*v) if isinstance(v, tuple) else v for v in i) for i in pickle.loads(record["images"])]  # noqa: S301 - written by ``batch``
+                states = [after(i, v) for i, v in zip(images, states, strict=True)]

@@ -99,6 +99,23 @@ def test_states_are_carried_over_stretches(spark, body, stretches, monkeypatch):
     assert fast == [tuple(r) for r in run(spark, text, {"x": rel()}).relation("out").ordered().collect()]
 
 
+@pytest.mark.parametrize("stretches", [3, 40])
+@pytest.mark.parametrize("body", ["retain s; s = coalesce(s, 3) * if(v == 5, 0, if(v == 4, -1, 1)) + k;", "retain s n; if v == . then s = .; else if v == 1 then s = 2; if n == 1 then q = 1; t = s; if v != 2; s = t * v - i + 9007199254740993 * 0 + coalesce(s, k); n = 1 - coalesce(n, 0); w = s * n; if s > 9 then w = 0;"])
+def test_multiplied_states_are_carried_over_stretches(spark, body, stretches, monkeypatch):
+    """Stretches of the order give what one task gives that sees all rows, and no task sees all rows."""
+    rng = random.Random(9)
+    data = [(i // 3, i, rng.choice([None, *range(7)])) for i in range(60)]
+    df = spark.createDataFrame(data, "k int, i long, v long").repartition(5)
+    monkeypatch.setattr(datastep, "STRETCHES", stretches)
+    text = f"proc sort data=x out=t; by i; run; data out; set t; {body} run;"
+    made = lambda: run(spark, text, {"x": Relation(df, ("k", "i", "v"), ("k", "i"))})
+    shown = lambda r: [tuple(v) for v in r.relation("out").ordered().collect()]
+    many = made()
+    assert "hashpartitioning(__tf_z" in many["out"]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(datastep, "linear", lambda *args: None)
+    assert shown(many) == shown(made())
+
+
 def test_failures(spark, rows, monkeypatch):
     monkeypatch.setattr(datastep, "UNROLL", 0)
     for body, message in (("y = 1 / (k - k);", "DIVIDE_BY_ZERO"), ("y = i * i * i;", "ARITHMETIC_OVERFLOW")):
