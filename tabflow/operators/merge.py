@@ -89,10 +89,13 @@ def joined(sides: list[DataFrame], keys: list[str], known: list[bool], at: str)
 
 
 def grouped(sides: list[DataFrame], keys: list[str], at: str) -> tuple[DataFrame, list[Column], list[Column]]:
-    """All tables in one union, shuffled once by the key: the rows of the table with several (else of the first that has
-    the key) stay, and windows over the key bring the others' row to them."""
+    """All tables in one union, shuffled and sorted once by the key and the tables' orders: the rows of the table with
+    several (else of the first that has the key) stay, and windows over the key bring the others' row to them.  Group
+    flags of the result take the same sort."""
     n_tables = len(sides)
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+    rows = rows.withColumn(at, F.struct(*[f"__tf_o{n}" for n in range(n_tables)])).drop(*[f"__tf_o{n}" for n in range(n_tables)])
+    rows = rows.repartition(*keys).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in (*keys, at)])
     group = Window.partitionBy(*keys)
     rows = rows.select("*", *[F.count_if(F.col("__tf_t") == n).over(group).alias(f"__tf_n{n}") for n in range(n_tables)], *[F.first(f"__tf_v{n}", ignorenulls=True).over(group).alias(f"__tf_w{n}") for n in range(n_tables)])
     counts = [F.col(f"__tf_n{n}") for n in range(n_tables)]
@@ -101,6 +104,4 @@ def grouped(sides: list[DataFrame], keys: list[str], at: str) -> tuple[DataFrame
     if n_tables > 1:
         lead = F.when(several > 1, F.raise_error(F.lit(MANY)).cast("int")).otherwise(lead)
     rows = rows.where(F.col("__tf_t") == lead)
-    within = Window.partitionBy(*keys).orderBy(*[F.col(f"__tf_o{n}").asc_nulls_first() for n in range(n_tables)])
-    rows = rows.withColumn(at, F.row_number().over(within))
     return rows, counts, [F.when(F.col("__tf_t") == n, F.col(f"__tf_v{n}")).otherwise(F.col(f"__tf_w{n}")) for n in range(n_tables)]

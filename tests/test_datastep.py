@@ -159,3 +159,14 @@ data out; merge lb_s(in=inlb) subj(in=insubj) base(in=inbase); by subjid; if inl
 """
     got = out(run(spark, text, {"dm": inline(dm), "ex": inline(ex), "lb": inline(lb)}))
     assert [(r[0], r[1], r[2], r[3], r[4], round(r[5], 5)) for r in got] == [(101, "2023-01-13", "001", 96, 14, 14.58333), (101, "2023-01-20", "001", 96, 4, 4.16667), (102, "2023-01-15", "001", 90, 1, 1.11111)]
+
+
+def test_merge_and_flags_share_one_sort(spark):
+    """A merge of tables not known to have a key once, and the flags of its groups, sort rows once: a task holds one sorter."""
+    one = spark.createDataFrame([(k, k * 10) for k in (1, 2, 4)], "k long, v long").repartition(2)
+    many = spark.createDataFrame([(k, i) for i, k in enumerate((3, 1, 1, 2, 2, 2, None, None))], "k long, w long").repartition(3)
+    text = "proc sort data=one out=a; by k; run; proc sort data=many out=b; by k w; run; data out; merge a(in=p) b(in=q); by k; f = if(first.k, 1, 0); l = if(last.k, 1, 0); keep k v w f l; run;"
+    out = run(spark, text, {"one": one, "many": many})["out"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    want = [(None, None, 6, 1, 0), (None, None, 7, 0, 1), (1, 10, 1, 1, 0), (1, 10, 2, 0, 1), (2, 20, 3, 1, 0), (2, 20, 4, 0, 0), (2, 20, 5, 0, 1), (3, None, 0, 1, 1), (4, 40, None, 1, 1)]
+    assert sorted(map(tuple, out.select("k", "v", "w", "f", "l").collect()), key=str) == sorted(want, key=str)
