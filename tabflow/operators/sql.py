@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.errors import invalid, runtime
 from tabflow.functions.columns import Compiler, Typed, predicate, truthy, typed
-from tabflow.functions.expr import COMPARE, Binary, Expr, Logic
+from tabflow.functions.expr import COMPARE, Binary, Expr, Logic, references
+from tabflow.functions.types import NUMERIC
 from tabflow.operators.aggregate import grouped
 from tabflow.relation import Relation, hidden_name
 
@@ -72,7 +74,11 @@ def run(query: Query, tables: Mapping[str, Relation], formats: Mapping | None =
         if df is None:
             df = right
         else:
-            df = df.join(right, join_condition(compiler, s.on), "inner" if s.kind == "inner" else "left")
+            on = join_condition(compiler, s.on)
+            aliases = {c.lower(): a for a, c, _ in scope} | {f"{a}.{c.lower()}": a for a, c, _ in scope}
+            compared = inequality(s.on, compiler, aliases, s.alias.lower()) if s.kind == "inner" else None
+            binned = in_bins(df, right, *compared, on, [o for o in order if o in df.columns]) if compared else None
+            df = binned if binned is not None else df.join(right, on, "inner" if s.kind == "inner" else "left")
     if query.where is not None:
         df = df.where(predicate(compiler, query.where))
     plain = [i for i in query.items if i.func is None]
@@ -99,6 +105,48 @@ def run(query: Query, tables: Mapping[str, Relation], formats: Mapping | None =
     return Relation(df, tuple(names), tuple(order))
 
 
+#: Joins on inequalities of more pairs than this are dealt out by bins of the right value, and by salts of the left row.
+PAIRS, BINS, SALTS = 100_000_000, 64, 8
+
+
+def inequality(e: Expr, compiler: Compiler, aliases: Mapping[str, str], alias: str) -> tuple[Column, Column, bool] | None:
+    """Left value, right value and whether the left is the larger, of an inequality of numbers; None without one or with an equality."""
+    parts, found = [e], None
+    while parts:
+        x = parts.pop()
+        if isinstance(x, Logic) and x.op == "and":
+            parts += x.args
+        elif isinstance(x, Binary) and x.op in COMPARE:
+            left, right = ({aliases[r.lower()] == alias for r in references(y)} for y in (x.left, x.right))
+            if {True, False} not in (left, right) and left | right == {True, False}:
+                if x.op == "==":
+                    return None
+                a, b = compiler(x.left), compiler(x.right)
+                if x.op != "!=" and a.type in NUMERIC and b.type in NUMERIC:
+                    larger = x.op in (">", ">=")
+                    found = (b.col, a.col, not larger) if left == {True} else (a.col, b.col, larger)
+    return found
+
+
+def in_bins(left: DataFrame, right: DataFrame, a: Column, b: Column, larger: bool, on: Column, names: list[str]) -> DataFrame | None:
+    """The inner join as an equi-join, by shuffles: a row of the left goes to all bins of right values that may satisfy it.
+
+    A missing value is in a bin below all others, not-a-number in the last; ``names`` tell rows of the left apart.  None for few pairs.
+    """
+    n, cuts = right.agg(F.count(F.lit(1)), F.percentile_approx(b.cast("double"), [i / BINS for i in range(1, BINS)], 1000)).first()
+    if n * left.count() <= PAIRS:
+        return None
+    ends = F.array(*[F.lit(c) for c in sorted({c for c in cuts or [] if c == c})]).cast("array<double>")
+    bin_of = lambda v: F.when(v.isNull(), -1).otherwise(F.size(F.filter(ends, lambda c: c < v.cast("double"))))
+    at, to, salt, salts = (hidden_name(t) for t in "btsu")
+    bins = F.sequence(F.lit(-1), bin_of(a)) if larger else F.sequence(bin_of(a), F.lit(BINS))
+    dealt = left.withColumn(salt, F.pmod(F.hash(*names), F.lit(SALTS))).withColumn(at, F.explode(bins))
+    copies = right.withColumn(to, bin_of(b)).withColumn(salts, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.sparkSession.sparkContext.defaultParallelism)
+    dealt, copies = dealt.repartition(parts, at, salt), copies.repartition(parts, to, salts)
+    return dealt.hint("merge").join(copies, (F.col(at) == F.col(to)) & (F.col(salt) == F.col(salts)) & on, "inner").drop(at, salt, to, salts)
+
+
 def join_condition(compiler: Compiler, e: Expr):
     """Conjuncts one by one, so that null-safe equalities become join keys."""
     if isinstance(e, Logic) and e.op == "and":

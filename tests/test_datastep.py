@@ -170,3 +170,19 @@ def test_merge_and_flags_share_one_sort(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     want = [(None, None, 6, 1, 0), (None, None, 7, 0, 1), (1, 10, 1, 1, 0), (1, 10, 2, 0, 1), (2, 20, 3, 1, 0), (2, 20, 4, 0, 0), (2, 20, 5, 0, 1), (3, None, 0, 1, 1), (4, 40, None, 1, 1)]
     assert sorted(map(tuple, out.select("k", "v", "w", "f", "l").collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("test", ["a.x > b.y", "a.x <= b.y and a.k != b.j", "b.y < a.x and b.j >= 2"])
+def test_joins_on_inequalities_are_dealt_by_bins(spark, test, monkeypatch):
+    """Large joins on an inequality are equi-joins on bins and salts, with missing values and ties as in the nested loop."""
+    from tabflow.operators import sql
+
+    one = spark.createDataFrame([(k, None if k % 9 == 0 else float("nan") if k == 4 else float(k % 13)) for k in range(60)], "k long, x double").repartition(2)
+    two = spark.createDataFrame([(j, None if j % 7 == 0 else j % 11) for j in range(50)], "j long, y int").repartition(2)
+    text = f"proc sql; create table out as select a.k, b.j from one a inner join two b on {test}; quit;"
+    made = lambda: run(spark, text, {"one": one, "two": two})["out"]
+    want = sorted(map(tuple, made().collect()))
+    monkeypatch.setattr(sql, "PAIRS", 0, raising=False)
+    many = made()
+    assert "NestedLoop" not in (plan := many._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+    assert sorted(map(tuple, many.collect())) == want
